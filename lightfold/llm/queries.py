@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from .embedding import op2_embedding
 from .pii import op9_pii
 from .quality import op8_quality_rules
 from .sharding import op5_sharding
+from .simhash import op4_simhash
 
 QUERIES = {
+    "op2_embedding": op2_embedding,
+    "op4_simhash": op4_simhash,
     "op5_sharding": op5_sharding,
     "op8_quality_rules": op8_quality_rules,
     "op9_pii": op9_pii,
