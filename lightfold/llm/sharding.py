@@ -74,9 +74,10 @@ def differencing(parts: np.ndarray) -> np.ndarray:
 
 def _one_chunk(shards: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(list(batches))
-        if not t.num_rows:
+        given = [b for b in batches if b.num_rows]
+        if not given:
             return
+        t = pa.Table.from_batches(given)
         chunks = t.column("chunk").to_numpy()
         keys, size = np.array(t.column("key").to_pylist(), object), t.column("bytes").to_numpy()
         for c in np.unique(chunks):
