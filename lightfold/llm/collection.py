@@ -129,7 +129,6 @@ class Collection:
             fresh = new[order]
             q = np.flatnonzero(fresh)
             s = sym[order[q]]
-            to = np.empty(n, np.int64) if n < 0 else None  # noqa: F841
             at = first[s] + seen[s] + (q - start[s])
             back = np.empty(len(q), np.int64)
             back[np.searchsorted(here, order[q])] = at

@@ -7,6 +7,7 @@ from .pii import op9_pii
 from .quality import op8_quality_rules
 from .sharding import op5_sharding
 from .simhash import op4_simhash
+from .suffix import op10_suffix
 
 QUERIES = {
     "op2_embedding": op2_embedding,
@@ -14,5 +15,6 @@ QUERIES = {
     "op5_sharding": op5_sharding,
     "op8_quality_rules": op8_quality_rules,
     "op9_pii": op9_pii,
+    "op10_suffix": op10_suffix,
 }
 ORACLES: dict[str, str] = {}
