@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .embedding import op2_embedding
+from .packing import op1_packing
 from .pii import op9_pii
 from .quality import op8_quality_rules
 from .sharding import op5_sharding
@@ -10,6 +11,7 @@ from .simhash import op4_simhash
 from .suffix import op10_suffix
 
 QUERIES = {
+    "op1_packing": op1_packing,
     "op2_embedding": op2_embedding,
     "op4_simhash": op4_simhash,
     "op5_sharding": op5_sharding,
