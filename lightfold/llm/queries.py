@@ -3,18 +3,24 @@
 from __future__ import annotations
 
 from .embedding import op2_embedding
+from .html import op7_html
 from .packing import op1_packing
+from .pieces import op6_pieces
 from .pii import op9_pii
 from .quality import op8_quality_rules
 from .sharding import op5_sharding
 from .simhash import op4_simhash
 from .suffix import op10_suffix
+from .toxicity import op3_toxicity
 
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_embedding": op2_embedding,
+    "op3_toxicity": op3_toxicity,
     "op4_simhash": op4_simhash,
     "op5_sharding": op5_sharding,
+    "op6_pieces": op6_pieces,
+    "op7_html": op7_html,
     "op8_quality_rules": op8_quality_rules,
     "op9_pii": op9_pii,
     "op10_suffix": op10_suffix,
