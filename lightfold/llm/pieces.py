@@ -2,13 +2,15 @@
 
 The lattice of a text holds every way to cut it into vocabulary pieces, characters outside the
 vocabulary as their bytes. A segmentation's probability is proportional to the product of its
-pieces' weights, piece of rank r weighing 1 / (r + ZIPF) to the power ALPHA. The forward pass sums
+pieces' weights, a piece of rank r weighing 1 / (r + ZIPF) to the power ALPHA. The forward pass sums
 weights over all segmentations of each prefix; the backward pass draws a segmentation exactly from
 that distribution. No piece joins text across the start of a run of spaces or across a line
-end, so the lattice is a chain of independent chunks; a chunk's forward pass is remembered.
+end, so the lattice is a chain of independent chunks. Texts are taken together, about SCAN
+characters at a time: the forward pass runs over their different chunks, column by column, and
+the backward pass over all chunks, step by step.
 
 Uniform numbers come from a counter-based generator keyed by SEED and the row's key (doc_id), so
-a row's segmentation does not depend on partitions, order or retries.
+a row's segmentation does not depend on partitions, order, batches or retries.
 
 Decoding joins the pieces: U+2581 in a piece is a space, and U+2581 in a text is spelled in bytes,
 so every text comes back exactly. Null text counts as empty (no ids). Rows with null doc_id share
@@ -35,15 +37,30 @@ from .common import prepare, table
 MODEL = "piece_bpe_32k.model"
 ALPHA = 1.0
 ZIPF = 10.0
-BYTE = -16.0  # log weight of a byte piece
+UNKNOWN = -10.0  # log weight of a character in bytes; it has no other way, so this changes nothing
+LIFT = 5.0  # log weight that every character adds to every segmentation alike, against underflow
 SEED = 5
-CACHE = 50_000
-LONG = 24  # characters from which a chunk takes a uniform number a step
-_CHUNK = re.compile(r"\n| *[^ \n]+| +")
+LONG = 32  # chunks with more characters are passed one by one
+SCAN = 800_000
+_BASE = 0x9E3779B97F4A7C15 | 1
+_U = np.uint64
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    """splitmix64's finish."""
+    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
+    return x ^ (x >> _U(31))
+
+
+def uniform(key: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The n-th number in [0, 1) of each key."""
+    start = _mix(key.astype(np.uint64) + _U(SEED * 0xD6E8FEB86659FD93 % 2**64))
+    return (_mix(start + (n.astype(np.uint64) + _U(1)) * _U(_BASE)) >> _U(11)).astype(np.float64) * 2.0**-53
 
 
 class Lattice:
-    """Vocabulary, weights, and remembered chunks."""
+    """Vocabulary and weights."""
 
     def __init__(self, model: str = MODEL, alpha: float = ALPHA):
         import public_tokenizers
@@ -52,113 +69,228 @@ class Lattice:
         sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(model))
         self.bytes_of: list[bytes] = []
         self.ids: dict[str, int] = {}
-        self.weight: list[float] = []
-        self.byte_id = [0] * 256
+        self.byte_id = np.zeros(256, np.int64)
+        size = sp.get_piece_size()
+        self.weight = np.zeros(size)
         rank = 0
-        for i in range(sp.get_piece_size()):
+        for i in range(size):
             piece = sp.id_to_piece(i)
             if sp.is_byte(i):
                 self.byte_id[int(piece[3:5], 16)] = i
                 self.bytes_of.append(bytes([int(piece[3:5], 16)]))
-                self.weight.append(BYTE * alpha)
             elif sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i):
                 self.bytes_of.append(b"")
-                self.weight.append(-math.inf)
             else:
                 rank += 1
-                self.bytes_of.append(piece.replace("▁", " ").encode())
-                self.weight.append(-alpha * math.log(rank + ZIPF))
                 plain = piece.replace("▁", " ")
+                self.bytes_of.append(plain.encode())
+                self.weight[i] = -alpha * math.log(rank + ZIPF) + LIFT * len(plain)
                 if "\n" not in plain and not re.search(r"[^ ] ", plain):
                     self.ids[plain] = i
         self.longest = max(map(len, self.ids))
-        self.known: dict[str, list] = {}
-
-    def edges(self, chunk: str, j: int) -> list[tuple[int, tuple[int, ...], float]]:
-        """(start, ids, log weight) of the pieces that end at j."""
-        out = []
-        for i in range(max(0, j - self.longest), j):
-            got = self.ids.get(chunk[i:j])
-            if got is not None:
-                out.append((i, (got,), self.weight[got]))
-        if not out or out[-1][0] != j - 1:
-            raw = tuple(self.byte_id[b] for b in chunk[j - 1].encode("utf-8", "surrogatepass"))
-            out.append((j - 1, raw, sum(self.weight[b] for b in raw)))
+        # by id; the last two places are for -2, a character in bytes, and -1, no piece
+        self.linear = np.concatenate((np.exp(self.weight), [math.exp(UNKNOWN + LIFT), 0.0]))
+        self._tables()
+
+    def _tables(self) -> None:
+        """Pieces by the hash of their characters: two tables, the second for what collides in the first."""
+        names = list(self.ids)
+        self.number = np.array([self.ids[n] for n in names], np.int64)
+        keys = np.zeros(len(names), np.uint64)
+        for i, n in enumerate(names):
+            h = 0
+            for k, c in enumerate(reversed(n)):
+                h = (h + (ord(c) + 1) * pow(_BASE, k, 1 << 64)) % (1 << 64)
+            keys[i] = h
+        if len(np.unique(keys)) < len(keys):
+            raise ValueError("two pieces share a hash")
+        self.keys, self.bits, self.slots = keys, 20, []
+        left = np.arange(len(keys))
+        for odd in (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xA0761D6478BD642F):
+            t = np.full(1 << self.bits, -1, np.int32)
+            at = (keys[left] * _U(odd)) >> _U(64 - self.bits)
+            t[at[::-1]] = left[::-1]
+            self.slots.append((_U(odd), t))
+            left = left[t[at] != left]
+        if len(left):
+            raise ValueError("the tables are too small for the vocabulary")
+
+    def lookup(self, h: np.ndarray) -> np.ndarray:
+        """The id of the piece with each hash, or -1."""
+        out = np.full(len(h), -1, np.int64)
+        todo = np.arange(len(h))
+        for odd, t in self.slots:
+            hs = h[todo]
+            got = t[(hs * odd) >> _U(64 - self.bits)]
+            there = got >= 0
+            todo, got, hs = todo[there], got[there], hs[there]
+            ok = self.keys[got] == hs
+            out[todo[ok]] = self.number[got[ok]]
+            todo = todo[~ok]
+        return out
+
+    def pieces_ending(self, chars: np.ndarray, inside: np.ndarray) -> np.ndarray:
+        """ids[k, l - 1] of the piece of l characters that ends with chars[k], where inside[k] >= l
+        characters of its chunk are there; -1: none, -2: the character in bytes."""
+        n = len(chars)
+        out = np.full((n, self.longest), -1, np.int64)
+        h, power = np.zeros(n, np.uint64), 1
+        plus = chars.astype(np.uint64) + _U(1)
+        rows = np.arange(n)
+        for l in range(1, self.longest + 1):
+            rows = rows[inside[rows] >= l]
+            if not len(rows):
+                break
+            h[rows] += plus[rows - (l - 1)] * _U(power)
+            power = power * _BASE % (1 << 64)
+            out[rows, l - 1] = self.lookup(h[rows])
+        out[out[:, 0] < 0, 0] = -2
         return out
 
-    def filtered(self, chunk: str) -> list[tuple[list[float], list[int], list[bytes]]]:
-        """The forward pass: for each prefix the pieces that may end it, as cumulative shares of the
-        summed weight of the prefix's segmentations (all but the last), starts and ids."""
-        logs = [0.0] * (len(chunk) + 1)
-        out = []
-        for j in range(1, len(chunk) + 1):
-            edges = self.edges(chunk, j)
-            if len(edges) == 1:
-                i, ids, w = edges[0]
-                logs[j] = logs[i] + w
-                out.append(([], [i], [self._raw(ids)]))
-                continue
-            got = [logs[i] + w for i, _, w in edges]
-            top = max(got)
-            mass = [math.exp(x - top) for x in got]
+    def forward(self, length: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Cumulative shares of the pieces that end at each character of chunks of given lengths."""
+        weight = self.linear[ids]
+        first = np.cumsum(length) - length
+        total = np.zeros(len(ids))
+        for j in range(int(length.max(initial=0))):
+            rows = first[length > j] + j
+            w = weight[rows]
+            for l in range(1, min(j, self.longest) + 1):
+                w[:, l - 1] *= total[rows - l]
+            w[:, j + 1 :] = 0.0
+            s = w.sum(1)
+            total[rows] = s
+            weight[rows] = w / s[:, None]
+        return np.cumsum(weight, 1)
+
+    def sample_many(self, texts: list[str], keys: list[int]) -> list[np.ndarray]:
+        """The ids of a sampled segmentation of each text."""
+        out: list[np.ndarray] = []
+        some, size = 0, 0
+        for i, t in enumerate(texts):
+            size += len(t)
+            if size >= SCAN or i == len(texts) - 1:
+                out += self._together(texts[some : i + 1], keys[some : i + 1])
+                some, size = i + 1, 0
+        return out
+
+    def _together(self, texts: list[str], keys: list[int]) -> list[np.ndarray]:
+        size = np.array([len(t) for t in texts], np.int64)
+        chars = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+        n = len(chars)
+        none = np.zeros(0, np.uint32)
+        if not n:
+            return [none for _ in texts]
+        doc_at = np.cumsum(size) - size
+        prev = np.concatenate(([0], chars[:-1]))
+        new = (chars == 10) | (prev == 10) | ((chars == 32) & (prev != 32))
+        new[doc_at[size > 0]] = True
+        start = np.flatnonzero(new)
+        length = np.diff(np.append(start, n))
+        doc = np.repeat(np.arange(len(texts)), size)[start]
+        order = np.arange(len(start)) - np.searchsorted(doc, doc)
+        key = np.array([k & (2**64 - 1) for k in keys], np.uint64)
+        u = uniform(key[doc], order)
+        # different chunks, by hash and length
+        power = np.full(n, _U(_BASE))
+        power[0] = 1
+        power = np.multiply.accumulate(power)
+        back = np.full(n, _U(pow(_BASE, -1, 1 << 64)))
+        back[0] = 1
+        back = np.multiply.accumulate(back)
+        summed = np.concatenate((np.zeros(1, np.uint64), np.cumsum((chars.astype(np.uint64) + _U(1)) * power, dtype=np.uint64)))
+        name = _mix((summed[start + length] - summed[start]) * back[start]) + length.astype(np.uint64)
+        _, first, kind = np.unique(name, return_index=True, return_inverse=True)
+        short = length <= LONG
+        use = length[first] <= LONG
+        begin, wide = start[first[use]], length[first[use]]
+        base = np.full(len(first), -1, np.int64)
+        base[use] = np.cumsum(wide) - wide
+        at = np.repeat(begin - (np.cumsum(wide) - wide), wide) + np.arange(wide.sum())
+        inside = np.arange(len(at)) - np.repeat(np.cumsum(wide) - wide, wide) + 1
+        ids = self.pieces_ending(chars[at], inside)
+        share = self.forward(wide, ids)
+        # backward, one step of every chunk at a time
+        who = np.flatnonzero(short)
+        j, v, of = length[who].copy(), u[who], base[kind[who]]
+        steps: list[tuple[np.ndarray, np.ndarray]] = []
+        count = np.zeros(len(start), np.int64)
+        while len(who):
+            rows = of + j - 1
+            c = share[rows]
+            k = (v[:, None] >= c[:, :-1]).sum(1)
+            k = np.minimum(k, np.minimum(j, self.longest) - 1)
+            got = ids[rows, k]
+            while (bad := np.flatnonzero(got == -1)).size:  # rounding at the end of the shares
+                k[bad] -= 1
+                got[bad] = ids[rows[bad], k[bad]]
+            r = np.arange(len(rows))
+            low = np.where(k > 0, c[r, k - 1], 0.0)
+            v = np.clip((v - low) / np.maximum(c[r, k] - low, 1e-300), 0.0, 1 - 2.0**-53)
+            count[who] += 1
+            # a character in bytes is kept as minus its code point, less two
+            steps.append((who, np.where(got == -2, -2 - chars[start[who] + j - 1].astype(np.int64), got)))
+            j = j - (k + 1)
+            go = j > 0
+            who, j, v, of = who[go], j[go], v[go], of[go]
+        long: dict[int, np.ndarray] = {}
+        for i in np.flatnonzero(~short):
+            long[i] = self._alone("".join(map(chr, chars[start[i] : start[i] + length[i]].tolist())), int(key[doc[i]]), int(order[i]))
+            count[i] = len(long[i])
+        place = np.cumsum(count) - count
+        flat = np.zeros(int(count.sum()), np.int64)
+        for step, (w, got) in enumerate(steps):
+            flat[place[w] + count[w] - 1 - step] = got
+        for i, got in long.items():
+            flat[place[i] : place[i] + len(got)] = got
+        ends = np.append(place, len(flat))
+        lo, hi = np.searchsorted(doc, np.arange(len(texts))), np.searchsorted(doc, np.arange(len(texts)), side="right")
+        return [self._spelled(flat[ends[a] : ends[b]]) if b > a else none for a, b in zip(lo, hi)]
+
+    def _spelled(self, got: np.ndarray) -> np.ndarray:
+        """ids with the characters outside the vocabulary replaced by their bytes."""
+        odd = np.flatnonzero(got < 0)
+        if not len(odd):
+            return got.astype(np.uint32)
+        code = -2 - got[odd]
+        if code.max() < 128:
+            got[odd] = self.byte_id[code]
+            return got.astype(np.uint32)
+        parts, at = [], 0
+        for i, c in zip(odd.tolist(), code.tolist()):
+            parts += [got[at:i], self.byte_id[list(chr(c).encode("utf-8", "surrogatepass"))]]
+            at = i + 1
+        return np.concatenate([*parts, got[at:]]).astype(np.uint32)
+
+    def _alone(self, chunk: str, key: int, order: int) -> np.ndarray:
+        """One long chunk: the same two passes in log weights, a uniform number a step."""
+        n = len(chunk)
+        logs, edges = np.zeros(n + 1), []
+        for j in range(1, n + 1):
+            here = [(j - l, i) for l in range(1, min(j, self.longest) + 1) if (i := self.ids.get(chunk[j - l : j])) is not None]
+            if not here or here[0][0] != j - 1:
+                here.insert(0, (j - 1, -2 - ord(chunk[j - 1])))
+            w = [logs[s] + (self.weight[i] if i >= 0 else UNKNOWN + LIFT) for s, i in here]
+            top = max(w)
+            mass = [math.exp(x - top) for x in w]
             total = sum(mass)
             logs[j] = top + math.log(total)
             cum, at = [], 0.0
             for x in mass[:-1]:
                 at += x / total
                 cum.append(at)
-            out.append((cum, [e[0] for e in edges], [self._raw(e[1]) for e in edges]))
-        return out
-
-    @lru_cache(maxsize=100_000)  # noqa: B019
-    def _raw(self, ids: tuple[int, ...]) -> bytes:
-        return np.array(ids, "<u4").tobytes()
-
-    def backward(self, passed: list[tuple[list[float], list[int], list[bytes]]], u: float) -> list[bytes]:
-        """A segmentation drawn backwards from the forward pass; what u leaves of itself draws on."""
-        parts, j = [], len(passed)
-        while j:
-            cum, starts, raws = passed[j - 1]
-            k = 0
-            if cum:
-                k = bisect_right(cum, u)
-                low = cum[k - 1] if k else 0.0
-                u = (u - low) / ((cum[k] if k < len(cum) else 1.0) - low)
-            parts.append(raws[k])
-            j = starts[k]
-        parts.reverse()
-        return parts
-
-    def backward_long(self, passed: list[tuple[list[float], list[int], list[bytes]]], us: np.ndarray) -> list[bytes]:
-        """The same with a number of its own for each step."""
-        parts, j, step = [], len(passed), 0
+            edges.append((cum, here))
+        us = uniform(np.full(n, (key * 31 + order + 1) % 2**64, np.uint64), np.arange(n))
+        parts, j, step = [], n, 0
         while j:
-            cum, starts, raws = passed[j - 1]
-            k = bisect_right(cum, us[step]) if cum else 0
-            parts.append(raws[k])
-            j, step = starts[k], step + 1
-        parts.reverse()
-        return parts
+            cum, here = edges[j - 1]
+            j, got = here[bisect_right(cum, us[step])]
+            parts.append(got)
+            step += 1
+        return np.array(parts[::-1], np.int64)
 
     def sample(self, text: str, key: int) -> bytes:
-        """The ids of a sampled segmentation, as little-endian unsigned 32-bit numbers."""
-        chunks = _CHUNK.findall(text)
-        word = key & (2**64 - 1)
-        us = np.random.Generator(np.random.Philox(key=[SEED, word])).random(len(chunks)).tolist()
-        out: list[bytes] = []
-        known, back = self.known, self.backward
-        for n, (c, u) in enumerate(zip(chunks, us)):
-            if len(c) > LONG:
-                steps = np.random.Generator(np.random.Philox(key=[SEED + 1 + n, word])).random(len(c))
-                out += self.backward_long(self.filtered(c), steps)
-                continue
-            passed = known.get(c)
-            if passed is None:
-                if len(known) >= CACHE:
-                    known.clear()
-                passed = known[c] = self.filtered(c)
-            out += back(passed, u)
-        return b"".join(out)
+        return self.sample_many([text], [key])[0].astype("<u4").tobytes()
 
     def decode(self, ids: bytes) -> bytes:
         """The text's UTF-8 bytes."""
@@ -177,7 +309,7 @@ def encode(docs: DataFrame, model: str = MODEL, alpha: float = ALPHA) -> DataFra
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lat = lattice(model, alpha)
         for b in batches:
-            got = [np.frombuffer(lat.sample(t or "", d or 0), "<u4").astype(np.int32) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+            got = [x.astype(np.int32) for x in lat.sample_many([t or "" for t in b.column(1).to_pylist()], [d or 0 for d in b.column(0).to_pylist()])]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, "doc_id long, ids array<int>")
@@ -204,13 +336,14 @@ def digest(docs: DataFrame, model: str = MODEL, alpha: float = ALPHA) -> DataFra
         lat = lattice(model, alpha)
         for b in batches:
             n, ids_crc, text_crc, same = [], [], [], []
-            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ids = lat.sample(t or "", d or 0)
+            texts = [t or "" for t in b.column(1).to_pylist()]
+            for t, got in zip(texts, lat.sample_many(texts, [d or 0 for d in b.column(0).to_pylist()])):
+                ids = got.astype("<u4").tobytes()
                 back = lat.decode(ids)
-                n.append(len(ids) // 4)
+                n.append(len(got))
                 ids_crc.append(zlib.crc32(ids))
                 text_crc.append(zlib.crc32(back))
-                same.append(back == (t or "").encode("utf-8", "surrogatepass"))
+                same.append(back == t.encode("utf-8", "surrogatepass"))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids_crc, pa.int64()), pa.array(text_crc, pa.int64()), pa.array(same, pa.bool_())], ["doc_id", "n_ids", "ids_crc32", "decoded_crc32", "lossless"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, "doc_id long, n_ids long, ids_crc32 long, decoded_crc32 long, lossless boolean")
