@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import shutil
 import tempfile
@@ -46,10 +47,17 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
-def cut(df: DataFrame, label: str) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it back, so that lineage ends here."""
+def cut(df: DataFrame, label: str, free: bool = False) -> DataFrame:
+    """Writes df as Parquet in the shared folder and reads it back, so that lineage ends here.
+
+    free: then lets the driver's JVM collect its garbage, on which Spark deletes the shuffle files
+    of the job just done. Worth it after jobs that shuffle whole texts.
+    """
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    if free:
+        gc.collect()
+        df.sparkSession._jvm.System.gc()
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .blocks import grouped, runs
 from .collection import Collection, least_owner
-from .common import cut, drop_tmp, prepare, table, task_tmp
+from .common import cut, discard, drop_tmp, prepare, table, task_tmp
 
 LENGTH = 50
 SHORT = 16
@@ -262,14 +262,16 @@ def with_removals(docs: DataFrame) -> DataFrame:
     pairs = given.select("k", "t").mapInArrow(_keys, "m long, k long")
     shared = pairs.repartition("m").mapInArrow(_shared, "m long, k long")
     least = given.groupBy("k").agg(F.min("ord").alias("first"))
-    wanted = cut(shared.groupBy("k").agg(F.collect_set("m").alias("ms")).join(least, "k"), "wanted")
+    wanted = cut(shared.groupBy("k").agg(F.collect_set("m").alias("ms")).join(least, "k"), "wanted", free=True)
     texts = given.join(wanted, "k").filter("ord = first").select("k", "first", "t", "ms")
-    parts = cut(texts.mapInArrow(_contents, "m long, body binary, k long, first long, start long"), "segments")
+    parts = cut(texts.mapInArrow(_contents, "m long, body binary, k long, first long, start long"), "segments", free=True)
+    discard(wanted)
     h = F.xxhash64("body").alias("h")
     different = parts.groupBy("m", "body").agg(F.min("first").alias("owner")).select("m", "body", h, "owner")
     owners = grouped(different, ["m"]).mapInArrow(_owners, "m long, h long, owners array<long>")
     found = parts.select("k", "first", "start", "m", h).join(owners, ["m", "h"]).select("k", "first", "start", "owners").mapInArrow(_runs_removed, "k long, a long, z long")
-    spans = cut(found.groupBy("k").agg(F.collect_list(F.struct("a", "z")).alias("_spans")), "spans")
+    spans = cut(found.groupBy("k").agg(F.collect_list(F.struct("a", "z")).alias("_spans")), "spans", free=True)
+    discard(parts)
     known = least.join(spans, "k", "left")
     out = docs.withColumn("_k", k).withColumn("_ord", order).join(known.withColumnRenamed("k", "_k"), "_k", "left")
     whole = F.array(F.struct(F.lit(0).cast("long").alias("a"), F.lit(-1).cast("long").alias("z")))
