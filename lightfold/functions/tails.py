@@ -51,16 +51,31 @@ def _each(f, *cols: pd.Series) -> pd.Series:
     return pd.Series([f(*v) if o else None for o, *v in zip(ok, *cols)], dtype="float64")
 
 
-@F.pandas_udf("double")
-def poisson_upper(k: pd.Series, mean: pd.Series) -> pd.Series:
-    return _each(poisson_tail, k, mean)
+def _udf(f):
+    # made when a query is built: workers import this module without a session
+    return F.pandas_udf(f, "double")
 
 
-@F.pandas_udf("double")
-def binomial_upper(k: pd.Series, n: pd.Series, p: pd.Series) -> pd.Series:
-    return _each(lambda a, b, c: binomial_tail(int(a), int(b), c), k, n, p)
+def poisson_upper(k, mean):
+    """P(X >= k) of a Poisson column."""
 
+    def tail(k: pd.Series, mean: pd.Series) -> pd.Series:
+        return _each(poisson_tail, k, mean)
 
-@F.pandas_udf("double")
-def gaussian_upper(x: pd.Series) -> pd.Series:
-    return _each(gaussian_tail, x)
+    return _udf(tail)(k, mean)
+
+
+def binomial_upper(k, n, p):
+    """P(X >= k) of a binomial column."""
+
+    def tail(k: pd.Series, n: pd.Series, p: pd.Series) -> pd.Series:
+        return _each(lambda a, b, c: binomial_tail(int(a), int(b), c), k, n, p)
+
+    return _udf(tail)(k, n, p)
+
+
+def gaussian_upper(x):
+    def tail(x: pd.Series) -> pd.Series:
+        return _each(gaussian_tail, x)
+
+    return _udf(tail)(x)

@@ -76,11 +76,11 @@ def secondary_scan(lc: DataFrame, eph: DataFrame, scatter: DataFrame, windows: i
     p = lc.join(eph, key).withColumn("x", folded("t", "period", "epoch")).filter(F.abs("x") >= VETOES.exclusion * F.col("duration"))
     at = F.floor((F.col("x") + F.col("period") / 2) / (F.col("duration") / 2))
     base = p.groupBy(key).agg(F.median("y").alias("base"))
-    w = p.withColumn("window", F.explode(F.array(at - 1, at))).groupBy(key, "window").agg(F.median("y").alias("level"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= 3)
+    w = p.withColumn("slot", F.explode(F.array(at - 1, at))).groupBy(key, "slot").agg(F.median("y").alias("level"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= 3)
     snr = (F.col("base") - F.col("level")) / (VETOES.median_factor * F.col("scatter") / F.sqrt("n"))
     s = w.join(base, key).join(scatter.select(key, "scatter"), key).filter("scatter > 0").withColumn("snr", snr)
-    best = F.max(F.struct("snr", (-F.col("window")).alias("w"))).alias("best")
-    return s.groupBy(key).agg(best, F.count(F.lit(1)).alias("windows")).select(key, "windows", F.col("best.snr").alias("snr"), (-F.col("best.w")).alias("window"))
+    best = F.max(F.struct("snr", (-F.col("slot")).alias("w"))).alias("best")
+    return s.groupBy(key).agg(best, F.count(F.lit(1)).alias("windows")).select(key, "windows", F.col("best.snr").alias("snr"), (-F.col("best.w")).alias("slot"))
 
 
 def event_support(lc: DataFrame, eph: DataFrame, key: str = "star") -> DataFrame:

@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def _scatter(x: np.ndarray) -> float:
@@ -77,7 +78,7 @@ def savgol_trend(y: np.ndarray, width: int, order: int = 2, rounds: int = 3, sig
 def detrended(lc: DataFrame, window: float, gap: float, method: str = "biweight", key: str = "star") -> DataFrame:
     """y over its trend."""
 
-    def one(k, pdf: pd.DataFrame) -> pd.DataFrame:
+    def one(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("t")
         t, y = pdf["t"].to_numpy(), pdf["y"].to_numpy()
         if method == "biweight":
@@ -96,7 +97,7 @@ def detrended(lc: DataFrame, window: float, gap: float, method: str = "biweight"
 def single_events(lc: DataFrame, durations: list[float], threshold: float, gap: float, most: int = 20, key: str = "star") -> DataFrame:
     """Box-matched single events: depth and significance, less those without points on both sides."""
 
-    def one(k, pdf: pd.DataFrame) -> pd.DataFrame:
+    def one(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("t")
         t, r = pdf["t"].to_numpy(), 1.0 - pdf["y"].to_numpy()
         s = _scatter(np.diff(r)) / np.sqrt(2) if len(r) > 2 else float("nan")
@@ -138,7 +139,7 @@ def seeded(seed: int, *key: object) -> np.random.Generator:
 def scrambled(lc: DataFrame, gap: float, seed: int, key: str = "star") -> DataFrame:
     """Each segment's y shifted circularly by a number of points that seed, star and segment fix."""
 
-    def one(k, pdf: pd.DataFrame) -> pd.DataFrame:
+    def one(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("t")
         t, y = pdf["t"].to_numpy(), pdf["y"].to_numpy().copy()
         for i, s in enumerate(pieces(t, gap)):
@@ -154,7 +155,7 @@ def scrambled(lc: DataFrame, gap: float, seed: int, key: str = "star") -> DataFr
 def bootstrap_medians(rows: DataFrame, value: str, resamples: int, seed: int, key: str = "star") -> DataFrame:
     """Spread of a group's median over seeded resamples."""
 
-    def one(k, pdf: pd.DataFrame) -> pd.DataFrame:
+    def one(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         x = np.sort(pdf[value].to_numpy())
         draws = seeded(seed, k[0]).integers(0, len(x), (resamples, len(x)))
         mids = np.median(x[draws], axis=1)
@@ -167,7 +168,7 @@ def bootstrap_medians(rows: DataFrame, value: str, resamples: int, seed: int, ke
 def edge_bias(lc: DataFrame, window: float, cuts: int, seed: int, key: str = "star") -> DataFrame:
     """Difference of the trend near an edge made by truncation from the trend of the whole series."""
 
-    def one(k, pdf: pd.DataFrame) -> pd.DataFrame:
+    def one(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("t")
         t, y = pdf["t"].to_numpy(), pdf["y"].to_numpy()
         whole = biweight_trend(t, y, window, np.inf)
@@ -198,7 +199,7 @@ def transit_model(t: np.ndarray, period: float, epoch: float, ratio: float, a_ov
 def posterior(lc: DataFrame, eph: DataFrame, steps: int, seed: int, key: str = "star") -> DataFrame:
     """Metropolis sampling of radius ratio and impact parameter at each star's ephemeris."""
 
-    def one(k, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def one(k: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame(columns=[key, "ratio", "ratio_error", "impact", "accepted"])
         t, y, e = left["t"].to_numpy(), left["y"].to_numpy(), right.iloc[0]
@@ -222,4 +223,5 @@ def posterior(lc: DataFrame, eph: DataFrame, steps: int, seed: int, key: str = "
         return pd.DataFrame({key: [k[0]], "ratio": [c[:, 0].mean()], "ratio_error": [c[:, 0].std()], "impact": [c[:, 1].mean()], "accepted": [taken / steps]})
 
     kind = lc.schema[key].dataType.simpleString()
-    return lc.select(key, "t", "y").groupBy(key).cogroup(eph.select(key, "period", "epoch", "a_over_r").groupBy(key)).applyInPandas(one, f"{key} {kind}, ratio double, ratio_error double, impact double, accepted double")
+    right = eph.select(F.col(key).alias("_k"), "period", "epoch", "a_over_r")
+    return lc.select(key, "t", "y").groupBy(key).cogroup(right.groupBy("_k")).applyInPandas(one, f"{key} {kind}, ratio double, ratio_error double, impact double, accepted double")

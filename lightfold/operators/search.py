@@ -67,7 +67,7 @@ def periodograms(lc: DataFrame, low: float, high: float, count: int, durations:
     """Periodograms of whole series, one Arrow group a star."""
     periods = 1 / np.linspace(1 / low, 1 / high, count)
 
-    def one(k, pdf: pd.DataFrame) -> pd.DataFrame:
+    def one(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("t")
         out = periodogram(pdf["t"].to_numpy(), pdf["y"].to_numpy(), periods, np.array(durations))
         out.insert(0, key, k[0])
@@ -97,7 +97,7 @@ def independent_peaks(periods: list[float], powers: list[float], separation: flo
 def top_peaks(powers: DataFrame, separation: float, count: int, near: float | None = None, key: str = "star", period: str = "period") -> DataFrame:
     """Independent peaks of each star with their rank; with near, only those within that share of the best."""
 
-    def one(k, pdf: pd.DataFrame) -> pd.DataFrame:
+    def one(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["power", period], ascending=[False, True]).reset_index(drop=True)
         if near is not None and len(pdf):
             pdf = pdf[pdf["power"] >= pdf["power"].iloc[0] * (1 - near)]
@@ -112,7 +112,7 @@ def top_peaks(powers: DataFrame, separation: float, count: int, near: float | No
 def without_overlap(events: DataFrame, start: str, stop: str, score: str, most: int, key: str = "star") -> DataFrame:
     """Events kept by falling score when they overlap none kept before, `most` a star."""
 
-    def one(k, pdf: pd.DataFrame) -> pd.DataFrame:
+    def one(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([score, start], ascending=[False, True])
         kept: list[tuple[float, float, float]] = []
         for a, b, s in zip(pdf[start], pdf[stop], pdf[score]):
