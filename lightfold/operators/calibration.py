@@ -51,4 +51,4 @@ def gates(df: DataFrame) -> DataFrame:
 
 def empirical_p(observed: Column, null: DataFrame, value: str) -> DataFrame:
     """One-sided p and enrichment of an observed number against drawn ones."""
-    return null.agg(((F.count_if(F.col(value) >= observed) + 1) / (F.count(F.lit(1)) + 1)).alias("p"), (observed / F.avg(value)).alias("enrichment"))
+    return null.agg(((F.count_if(F.col(value) >= observed) + 1) / (F.count(F.lit(1)) + 1)).alias("p"), F.try_divide(observed, F.avg(value)).alias("enrichment"))

@@ -19,7 +19,7 @@ def difference_image(px: DataFrame, eph: DataFrame, key: str = "star") -> DataFr
 def centroid(image: DataFrame, key: str = "star") -> DataFrame:
     """Mean position weighted by positive differences."""
     w = F.greatest(F.col("difference"), F.lit(0.0))
-    return image.filter(F.col("difference").isNotNull()).groupBy(key).agg((F.sum(F.col("row") * w) / F.sum(w)).alias("row"), (F.sum(F.col("col") * w) / F.sum(w)).alias("col"))
+    return image.filter(F.col("difference").isNotNull()).groupBy(key).agg(F.try_divide(F.sum(F.col("row") * w), F.sum(w)).alias("row"), F.try_divide(F.sum(F.col("col") * w), F.sum(w)).alias("col"))
 
 
 def on_target(found: DataFrame, target: DataFrame, most: float = 1.0, key: str = "star") -> DataFrame:
@@ -33,12 +33,12 @@ def aperture_depths(px: DataFrame, eph: DataFrame, target: DataFrame, radii: tup
     sums = near.withColumn("radius", F.explode(F.array(*map(F.lit, radii)))).filter("_d <= radius").groupBy(key, "radius", "t").agg(F.sum("flux").alias("flux"))
     off = folded_offset("t", "period", "epoch")
     got = sums.join(eph, key).groupBy(key, "radius").agg(F.median(F.when(off <= F.col("duration") / 2, F.col("flux"))).alias("_i"), F.median(F.when(off >= F.col("duration"), F.col("flux"))).alias("_o"))
-    return got.select(key, "radius", ((F.col("_o") - F.col("_i")) / F.col("_o")).alias("depth"))
+    return got.select(key, "radius", F.try_divide(F.col("_o") - F.col("_i"), F.col("_o")).alias("depth"))
 
 
 def growth(depths: DataFrame, inner: float = 1.0, outer: float = 3.0, key: str = "star") -> DataFrame:
     g = depths.groupBy(key).agg(F.max(F.when(F.col("radius") == inner, F.col("depth"))).alias("inner"), F.max(F.when(F.col("radius") == outer, F.col("depth"))).alias("outer"))
-    rise = (F.col("outer") - F.col("inner")) / F.greatest(F.abs("inner"), F.abs("outer"))
+    rise = F.try_divide(F.col("outer") - F.col("inner"), F.greatest(F.abs("inner"), F.abs("outer")))
     return g.withColumn("growth", rise).withColumn("verdict", F.when(F.col("inner").isNull() | (F.col("inner") <= 0), "no_depth_in_target_aperture").when(rise >= 0.5, "contaminating").when(rise >= 0.2, "flagged").otherwise("clean"))
 
 

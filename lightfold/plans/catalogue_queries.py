@@ -375,7 +375,7 @@ def difference_image(s, d):
 @query("pixel_centroid", W + PX + ", " + PEPH + ", " + PIMG + ", c AS (SELECT star, sum(row * greatest(difference, 0)) / nullif(sum(greatest(difference, 0)), 0) AS row, sum(col * greatest(difference, 0)) / nullif(sum(greatest(difference, 0)), 0) AS col FROM im WHERE difference IS NOT NULL GROUP BY star) SELECT star, round(row, 5) AS row, round(col, 5) AS col, sqrt((row - 2) * (row - 2) + (col - 2) * (col - 2)) <= 1 AS on_target FROM c WHERE row IS NOT NULL")
 def pixel_centroid(s, d):
     im = pixels.difference_image(*_px(s, d))
-    c = pixels.centroid(im).filter("row is not null and not isnan(row)")
+    c = pixels.centroid(im).filter("row is not null")
     t = c.select("star", F.lit(2.0).alias("target_row"), F.lit(2.0).alias("target_col"))
     return c.join(pixels.on_target(c, t), "star").select("star", r("row", 5).alias("row"), r("col", 5).alias("col"), "on_target")
 

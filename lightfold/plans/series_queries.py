@@ -197,7 +197,7 @@ def lc_detrend_savgol(s, d):
 def lc_single_events(s, d):
     x = lcc(s, d)
     mid = x.groupBy("star").agg(F.median("y").alias("m"))
-    return kernels.single_events(x.join(mid, "star").select("star", "t", (1 + (F.col("y") - F.col("m")) / 1e5).alias("y")), [0.1, 0.25], 2.0, 0.5)
+    return kernels.single_events(x.join(mid, "star").select("star", "t", (1 + (F.col("y") - F.col("m")) / 1e5).alias("y")), [0.1, 0.25], 1.0, 0.5)
 
 
 @query("lc_scramble")
