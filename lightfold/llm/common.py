@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import shutil
 import tempfile
@@ -47,18 +46,24 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
-def cut(df: DataFrame, label: str, free: bool = False) -> DataFrame:
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def cut(df: DataFrame, label: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back, so that lineage ends here.
 
-    free: then lets the driver's JVM collect its garbage, on which Spark deletes the shuffle files
-    of the job just done. Worth it after jobs that shuffle whole texts.
+    The written table takes the place of the job's shuffle files, which Spark therefore deletes at
+    the job's end instead of when the driver happens to collect garbage.
     """
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    if free:
-        gc.collect()
-        df.sparkSession._jvm.System.gc()
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out
 
@@ -115,4 +120,5 @@ def components(edges: DataFrame, label: str = "cc") -> DataFrame:
         if got == seen:
             break
         seen = got
-    return now.groupBy(F.greatest("a", "b").alias("node")).agg(F.min(F.least("a", "b")).alias("component"))
+    found = now.groupBy(F.greatest("a", "b").alias("node")).agg(F.min(F.least("a", "b")).alias("component"))
+    return found.union(found.select("component", "component").distinct())
