@@ -139,3 +139,33 @@ def harmonic_powers(powers: DataFrame, best: DataFrame, window: float = 0.005, k
     at = best.select(key, F.col(period).alias("_p"), F.col("power").alias("_w"), marks)
     near = powers.join(at, key).filter(F.abs(F.col(period) - F.col("_p") * F.col("m.factor")) <= window * F.col("_p") * F.col("m.factor"))
     return near.groupBy(key, F.col("m.name").alias("harmonic")).agg((F.max("power") / F.first("_w")).alias("share"))
+
+
+def alias_ladder(lc: DataFrame, eph: DataFrame, noise: DataFrame, ratios: tuple[float, ...], margin: float = 1.1, key: str = "star") -> DataFrame:
+    """Each star's period or the alias of it that its series supports clearly better.
+
+    Every ratio is tried as an ephemeris of its own (a few a star); the score is S/N times the share
+    of possible events that were seen. A change needs margin times the reported score.
+    """
+    from .events import ephemeris_support
+
+    tried = eph.select(key, F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(float(r)).alias("r")) for i, r in enumerate(ratios)))).alias("x"), "period", "epoch", "duration")
+    tried = tried.select(F.concat_ws("|", F.col(key).cast("string"), F.col("x.i").cast("string")).alias("_id"), key, F.col("x.r").alias("ratio"), (F.col("period") * F.col("x.r")).alias("period"), "epoch", "duration").filter(F.col("period") > 2 * F.col("duration"))
+    series = lc.join(tried.select(key, "_id"), key).select("_id", "t", "y")
+    level = tried.select("_id", key).join(noise.select(key, "noise"), key).select("_id", "noise")
+    got = ephemeris_support(series, tried.select("_id", "period", "epoch", "duration"), level, key="_id")
+    span = lc.groupBy(key).agg((F.max("t") - F.min("t")).alias("span"))
+    s = got.join(tried, "_id").join(span, key).withColumn("score", F.greatest(F.lit(0.0), F.col("snr")) * F.least(F.lit(1.0), F.col("events") / F.greatest(F.lit(1.0), F.floor(F.col("span") / F.col("period")))))
+    own = s.filter("ratio = 1.0").select(key, F.col("score").alias("own"))
+    best = s.groupBy(key).agg(F.max_by(F.struct("ratio", "period", "score"), F.struct("score", -F.abs(F.log("ratio")))).alias("b"))
+    out = best.join(own, key).withColumn("changed", F.col("b.score") > margin * F.col("own"))
+    return out.select(key, F.when(F.col("changed"), F.col("b.ratio")).otherwise(1.0).alias("ratio"), "changed", "own", F.col("b.score").alias("best"))
+
+
+def sensitivity(lc: DataFrame, noise: DataFrame, periods: list[float], depths: list[float], duration: float, least_snr: float, key: str = "star") -> DataFrame:
+    """The smallest depth that would be seen at each period: in-event points and noise fix the S/N of a box."""
+    p = F.explode(F.array(*map(F.lit, periods))).alias("period")
+    pts = lc.select(key, "t", p).groupBy(key, "period").agg(F.count_if(F.abs(F.pmod(F.col("t") + F.col("period") / 2, F.col("period")) - F.col("period") / 2) <= duration / 2).alias("n_in"))
+    d = pts.join(noise.select(key, "noise"), key).withColumn("depth", F.explode(F.array(*map(F.lit, depths))))
+    ok = (F.col("n_in") >= 3) & (F.col("noise") > 0) & (F.col("depth") / F.nullif(F.col("noise"), F.lit(0.0)) * F.sqrt("n_in") >= least_snr)
+    return d.groupBy(key, "period").agg(F.min(F.when(ok, F.col("depth"))).alias("depth"))

@@ -82,3 +82,13 @@ def test_gates_need_measurements(spark):
     cols = "inverted_rate double, scrambled_rate double, baseline_rate double, median_bias double, edge_gap double, epoch_enrichment double"
     got = calibration.gates(spark.createDataFrame([(0.0, 0.0, 0.01, 0.0, 0.0, 1.0), (0.0, None, 0.01, 0.0, 0.0, 1.0)], cols)).collect()
     assert [r["released"] for r in got] == [True, False]
+
+
+def test_signatures():
+    from lightfold.functions import signatures
+
+    a = signatures.scientific("c1", "p", "t")
+    assert a == signatures.scientific("c1", "p", "t") != signatures.scientific("c2", "p", "t")
+    rows = [(2, "b"), (1, "a")]
+    assert signatures.campaign("t", {"x": 1, "execution": 4}, rows) == signatures.campaign("t", {"x": 1, "storage_retention": 2}, rows[::-1])
+    assert signatures.positions([(1.0000000001, 2.0)]) == signatures.positions([(1.0, 2.0)])
