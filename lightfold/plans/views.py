@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import STATUSES
+from ..session import workers_find_package
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -24,7 +27,7 @@ def query(name: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return workers_find_package(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def r(column, digits: int = 6):
@@ -73,8 +76,6 @@ _CASE = " ".join(f"WHEN {i} THEN '{s}'" for i, s in enumerate(SLUGS) if s)
 EVID = f"""ev0 AS (SELECT l_orderkey AS tic, l_returnflag AS kind, l_suppkey AS source, min(round_even(l_discount * 100, 0)::INT) AS i, min(l_tax) AS tax, min(l_partkey) AS part, max(l_extendedprice) AS score FROM lineitem GROUP BY ALL),
 evid AS (SELECT tic, tic * 100000 + source * 4 + CASE kind WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS evidence_id, kind, source, CASE i {_CASE} END AS verdict, CASE WHEN tax >= 0.07::DOUBLE THEN 0 ELSE 1 END AS affects_state, CASE WHEN part % 7 <> 0 THEN 'sig' || (part % 3)::VARCHAR END AS signature, score FROM ev0)"""
 
-from ..config import STATUSES  # noqa: E402
-
 REGISTRY = "reg AS (SELECT * FROM (VALUES " + ", ".join(f"('{s}', {a}, {b})" for s, a, b in STATUSES) + ") v(verdict, stage, precedence))"
 FOLD = "ranked AS (SELECT e.*, stage, precedence, row_number() OVER (PARTITION BY tic ORDER BY stage DESC, precedence DESC, evidence_id DESC) AS rn FROM evid e JOIN reg USING (verdict) WHERE affects_state = 1), state AS (SELECT tic, verdict AS status, evidence_id AS decided_by, kind FROM ranked WHERE rn = 1)"
 EVS = EVID + ", " + REGISTRY + ", " + FOLD
