@@ -25,4 +25,23 @@ QUERIES = {
     "op9_pii": op9_pii,
     "op10_suffix": op10_suffix,
 }
-ORACLES: dict[str, str] = {}
+
+#: Links by cosine over all pairs of vectors, components by recursion.
+_EMBEDDING = """WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), l AS MATERIALIZED (SELECT a.vec_id AS i, b.vec_id AS j FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95),
+r AS (SELECT vec_id AS i, vec_id AS j FROM v UNION SELECT r.i, l.j FROM r JOIN l ON r.j = l.i), n AS (SELECT i, count(*) AS c FROM l GROUP BY i), m AS (SELECT i, min(j) AS component_id FROM r GROUP BY i)
+SELECT m.i AS vec_id, coalesce(c, 0) AS n_links, component_id, m.i = component_id AS kept FROM m LEFT JOIN n USING (i)"""
+
+#: Owners of all 50-byte windows, removed runs as gaps and islands, kept bytes joined again.
+_SUFFIX = """WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, i, md5(b[i + 1 : i + 50]) AS s FROM d, unnest(range(greatest(n - 49, 0))) u(i)),
+o AS (SELECT s, min(doc_id) AS least FROM w GROUP BY s),
+f AS (SELECT doc_id, i FROM w JOIN o USING (s) WHERE least < doc_id),
+g AS (SELECT doc_id, i, CASE WHEN i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 1 ELSE 0 END AS cut FROM f),
+h AS (SELECT doc_id, i, sum(cut) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS k FROM g),
+spans AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS z FROM h GROUP BY doc_id, k),
+keep AS (SELECT doc_id, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS a, a AS z FROM spans UNION ALL SELECT d.doc_id, coalesce(max(s.z), 0), any_value(n) FROM d LEFT JOIN spans s USING (doc_id) GROUP BY d.doc_id),
+kept AS (SELECT doc_id, string_agg(hex(b[keep.a + 1 : keep.z]), '' ORDER BY keep.a) FILTER (keep.z > keep.a) AS h FROM keep JOIN d USING (doc_id) GROUP BY doc_id),
+tot AS (SELECT doc_id, sum(z - a)::BIGINT AS r, count(*) AS c FROM spans GROUP BY doc_id)
+SELECT d.doc_id, n AS n_bytes, coalesce(r, 0) AS n_removed, coalesce(c, 0) AS n_spans, sha256(unhex(coalesce(h, ''))) AS kept_sha256 FROM d JOIN kept USING (doc_id) LEFT JOIN tot USING (doc_id)"""
+
+ORACLES: dict[str, str] = {"op2_embedding": _EMBEDDING, "op10_suffix": _SUFFIX}
