@@ -7,10 +7,12 @@ A byte goes if a LENGTH-byte string over it also starts in a document with a sma
    occur in one text alone are done with.
 2. Texts with other keys give their segments; equal segments are collapsed to their least doc_id,
    so a passage in very many documents is one string, not one a document.
-3. The different segments of a task's keys form collections. Each collection's Burrows-Wheeler
-   transform and common prefixes are built column by column in files (see collection); rows with
-   common prefixes of 50 or more are equal windows, and each window learns the least doc_id
-   that holds it. A key with a single segment needs no construction: that segment's owner is known.
+3. Of a key's different segments, windows that by a second hash order are in one segment alone are
+   left out, and what is then equal is collapsed again. The strings of all keys that still have
+   several form collections. Each collection's Burrows-Wheeler transform and common prefixes are
+   built column by column in files (see collection); rows with common prefixes of 50 or more are
+   equal windows, and each window learns the least doc_id that holds it. A key left with a single
+   string needs no construction: that string's owner is known.
 4. Windows whose least doc_id is smaller than their document's are removed from its text.
 
 Equal texts are one text with the least doc_id of its rows; its other rows lose every byte if
@@ -46,14 +48,14 @@ _BYTES = np.random.default_rng(77).integers(0, 2**63, 256).astype(np.uint64) * n
 _ODD = (np.random.default_rng(78).integers(0, 2**63, 8).astype(np.uint64) | np.uint64(1)).tolist()
 
 
-def window_keys(buf: np.ndarray) -> np.ndarray:
-    """For each LENGTH-byte window of buf the least hash of its SHORT-byte strings."""
+def window_keys(buf: np.ndarray, order: int = 0) -> np.ndarray:
+    """For each LENGTH-byte window of buf the least hash of its SHORT-byte strings, by one of several orders."""
     h, m = _BYTES[buf], 1
     while m < SHORT:
         h = h[:-m] * np.uint64(_ODD[m.bit_length() - 1]) + h[m:]
         m *= 2
     h ^= h >> np.uint64(31)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h *= np.uint64((0xBF58476D1CE4E5B9, 0xD6E8FEB86659FD93)[order])
     h ^= h >> np.uint64(29)
     w, m = LENGTH - SHORT + 1, 1
     while m * 2 <= w:
@@ -178,6 +180,41 @@ def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(key[i : i + 50_000].view(np.int64)), pa.array(body, pa.binary()), k.take(pa.array(t)), first.take(pa.array(t)), pa.array(s, pa.int64())], ["m", "body", "k", "first", "start"])
 
 
+def trimmed(data: np.ndarray, first: np.ndarray, size: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(string, start, windows): the runs of windows that another string of the group may hold too.
+
+    Equal windows also name the same least hash by a second order, so a window whose second key is
+    in one string of its group alone is in no other string.
+    """
+    none = np.zeros(0, np.int64)
+    if len(data) < LENGTH:
+        return none, none, none
+    key = window_keys(data, 1)
+    string = np.repeat(np.arange(len(size)), size)[: len(key)]
+    pos = np.arange(len(key)) - first[string]
+    whole = pos + LENGTH <= size[string]
+    key = key ^ (group[string].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    new = whole.copy()
+    new[1:] &= (key[1:] != key[:-1]) | (string[1:] != string[:-1])
+    at = np.flatnonzero(new)
+    held = np.concatenate(([0], np.cumsum(whole)))
+    n = held[np.append(at[1:], len(key))] - held[at]
+    k, owner = key[at], string[at]
+    o = np.lexsort((owner, k))
+    begin = np.flatnonzero(np.append(True, k[o][1:] != k[o][:-1]))
+    several = owner[o][begin] != owner[o][np.append(begin[1:], len(o)) - 1]
+    ok = np.zeros(len(at), bool)
+    ok[o] = np.repeat(several, np.diff(np.append(begin, len(o))))
+    at, n, owner = at[ok], n[ok], owner[ok]
+    if not len(at):
+        return none, none, none
+    start = pos[at]
+    joins = np.zeros(len(at), bool)
+    joins[1:] = (owner[1:] == owner[:-1]) & (start[1:] == start[:-1] + n[:-1])
+    head = np.flatnonzero(~joins)
+    return owner[head], start[head], np.add.reduceat(n, head)
+
+
 def _owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each different segment the least owner of each of its windows."""
 
@@ -187,16 +224,40 @@ def _owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def build(tables: list[pa.Table]):
         t = pa.concat_tables(tables)
+        m, own = t.column("m").to_numpy(), t.column("owner").to_numpy()
         body = t.column("body").combine_chunks()
         size = pa.compute.binary_length(body).to_numpy().astype(np.int64)
-        data = np.frombuffer(b"".join(body.to_pylist()), np.uint8)
-        folder = task_tmp()
-        try:
-            c = Collection(data, np.cumsum(size) - size, size, LENGTH, folder)
-            flat, firsts = least_owner(c, t.column("owner").to_numpy(), LENGTH)
-        finally:
-            drop_tmp(folder)
-        return emit(t.column("m").to_numpy(), t.column("h").to_numpy(), flat, firsts, size - LENGTH + 1)
+        raw = b"".join(body.to_pylist())
+        data, first, n = np.frombuffer(raw, np.uint8), np.cumsum(size) - size, size - LENGTH + 1
+        flat, firsts = np.repeat(own, n), np.cumsum(n) - n
+        string, start, w = trimmed(data, first, size, m)
+        # equal runs of a group are one string with the least owner
+        known: dict[tuple[int, bytes], int] = {}
+        a = (first[string] + start).tolist()
+        kind = np.array([known.setdefault((g, raw[x:y]), len(known)) for g, x, y in zip(m[string].tolist(), a, (first[string] + start + w + LENGTH - 1).tolist())], np.int64)
+        if len(known):
+            least = np.full(len(known), LAST, np.int64)
+            np.minimum.at(least, kind, own[string])
+            group = np.array([g for g, _ in known], np.int64)
+            _, back, copies = np.unique(group, return_inverse=True, return_counts=True)
+            texts = [x for _, x in known]
+            width = np.array([len(x) for x in texts], np.int64) - LENGTH + 1
+            begin = np.cumsum(width) - width
+            values = np.repeat(least, width)
+            rest_ = np.flatnonzero(copies[back] > 1)
+            if len(rest_):
+                part = [texts[i] for i in rest_]
+                long = np.array([len(x) for x in part], np.int64)
+                folder = task_tmp()
+                try:
+                    c = Collection(np.frombuffer(b"".join(part), np.uint8), np.cumsum(long) - long, long, LENGTH, folder)
+                    got, _ = least_owner(c, least[rest_], LENGTH)
+                finally:
+                    drop_tmp(folder)
+                values[np.repeat(begin[rest_], width[rest_]) + np.arange(len(got)) - np.repeat(np.cumsum(width[rest_]) - width[rest_], width[rest_])] = got
+            run = np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w)
+            flat[np.repeat(firsts[string] + start, w) + run] = values[np.repeat(begin[kind], w) + run]
+        return emit(m, t.column("h").to_numpy(), flat, firsts, n)
 
     held, size = [], 0
     for t, start in runs(batches, ["m"]):
@@ -267,11 +328,12 @@ def with_removals(docs: DataFrame) -> DataFrame:
     parts = cut(texts.mapInArrow(_contents, "m long, body binary, k long, first long, start long"), "segments")
     discard(wanted)
     h = F.xxhash64("body").alias("h")
-    different = parts.groupBy("m", "body").agg(F.min("first").alias("owner")).select("m", "body", h, "owner")
+    different = cut(parts.groupBy("m", "body").agg(F.min("first").alias("owner")).select("m", "body", h, "owner"), "different")
     owners = grouped(different, ["m"]).mapInArrow(_owners, "m long, h long, owners array<long>")
     found = parts.select("k", "first", "start", "m", h).join(owners, ["m", "h"]).select("k", "first", "start", "owners").mapInArrow(_runs_removed, "k long, a long, z long")
     spans = cut(found.groupBy("k").agg(F.collect_list(F.struct("a", "z")).alias("_spans")), "spans")
     discard(parts)
+    discard(different)
     known = least.join(spans, "k", "left")
     out = docs.withColumn("_k", k).withColumn("_ord", order).join(known.withColumnRenamed("k", "_k"), "_k", "left")
     whole = F.array(F.struct(F.lit(0).cast("long").alias("a"), F.lit(-1).cast("long").alias("z")))
