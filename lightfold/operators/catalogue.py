@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ephemeris import col, period_relation, to_relative_julian
 
+# Object classes by what a match to them means.
 PLANETS = ("confirmed_planet", "toi")
 BINARIES = ("eclipsing_binary",)
 VARIABLES = ("variable_star", "spectroscopic_binary", "astrometric_binary")

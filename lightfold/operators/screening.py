@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..config import SEARCH, VETOES
 from ..functions.ephemeris import col, expected_duration_hours, stellar_density
 
+# The sentences by which rejections are known.
 REASONS = (
     ("snr", "white-noise BLS depth S/N is below 7.1"),
     ("events", "fewer than two transit events are represented"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import catalogue_queries, evidence_queries, review_queries, series_queries  # noqa: F401
+from . import catalogue_queries, evidence_queries, review_queries, series_queries, stream_queries  # noqa: F401
 from .views import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]

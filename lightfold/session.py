@@ -15,3 +15,16 @@ def workers_find_package(spark: SparkSession) -> SparkSession:
     if ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
     return spark
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new folder's path under spark.checkpoint.dir, or under a temporary folder where all runs in one process."""
+    import tempfile
+    import uuid
+
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="lightfold-")
+    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
