@@ -7,8 +7,8 @@ A byte goes if a LENGTH-byte string over it also starts in a document with a sma
    occur in one text alone are done with.
 2. Texts with other keys give their segments; equal segments are collapsed to their least doc_id,
    so a passage in very many documents is one string, not one a document.
-3. Of a key's different segments, windows that by a second hash order are in one segment alone are
-   left out, and what is then equal is collapsed again. The strings of all keys that still have
+3. Of a key's different segments, windows whose second key, the least hash of their LONGER-byte
+   strings, is in one segment alone are left out, and what is then equal is collapsed again. The strings of all keys that still have
    several form collections. Each collection's Burrows-Wheeler transform and common prefixes are
    built column by column in files (see collection); rows with common prefixes of 50 or more are
    equal windows, and each window learns the least doc_id that holds it. A key left with a single
@@ -40,6 +40,7 @@ from .common import cut, discard, drop_tmp, prepare, table, task_tmp
 
 LENGTH = 50
 SHORT = 16
+LONGER = 48  # bytes of the strings that a window's second key is the least hash of
 LONGEST = 64  # windows in a segment
 COLLECTION = 8 << 20  # bytes of different segments in one collection
 SCAN = 4 << 20  # bytes of text that are hashed at once
@@ -48,16 +49,21 @@ _BYTES = np.random.default_rng(77).integers(0, 2**63, 256).astype(np.uint64) * n
 _ODD = (np.random.default_rng(78).integers(0, 2**63, 8).astype(np.uint64) | np.uint64(1)).tolist()
 
 
-def window_keys(buf: np.ndarray, order: int = 0) -> np.ndarray:
-    """For each LENGTH-byte window of buf the least hash of its SHORT-byte strings, by one of several orders."""
-    h, m = _BYTES[buf], 1
-    while m < SHORT:
+def window_keys(buf: np.ndarray, short: int = SHORT) -> np.ndarray:
+    """For each LENGTH-byte window of buf the least hash of its `short`-byte strings; short is a multiple of 8."""
+    h, m, done = _BYTES[buf], 1, {}
+    while m * 2 <= short:
         h = h[:-m] * np.uint64(_ODD[m.bit_length() - 1]) + h[m:]
         m *= 2
-    h ^= h >> np.uint64(31)
-    h *= np.uint64((0xBF58476D1CE4E5B9, 0xD6E8FEB86659FD93)[order])
+        done[m] = h
+    if m < short:
+        more = done[short - m]
+        n = len(buf) - short + 1
+        h = h[:n] * np.uint64(_ODD[7]) + more[m : m + n]
+    h = h ^ (h >> np.uint64(31))
+    h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(29)
-    w, m = LENGTH - SHORT + 1, 1
+    w, m = LENGTH - short + 1, 1
     while m * 2 <= w:
         h = np.minimum(h[:-m], h[m:])
         m *= 2
@@ -183,13 +189,13 @@ def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def trimmed(data: np.ndarray, first: np.ndarray, size: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(string, start, windows): the runs of windows that another string of the group may hold too.
 
-    Equal windows also name the same least hash by a second order, so a window whose second key is
+    Equal windows also name the same least hash of longer strings, so a window whose second key is
     in one string of its group alone is in no other string.
     """
     none = np.zeros(0, np.int64)
     if len(data) < LENGTH:
         return none, none, none
-    key = window_keys(data, 1)
+    key = window_keys(data, LONGER)
     string = np.repeat(np.arange(len(size)), size)[: len(key)]
     pos = np.arange(len(key)) - first[string]
     whole = pos + LENGTH <= size[string]
