@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import discard, keep
+
 
 def round_robin(df: DataFrame, groups: list[str], order: list, limit: int) -> DataFrame:
     """The first of every group, then the second, until limit rows."""
@@ -60,3 +65,68 @@ def farthest_points(rows: np.ndarray, count: int, first: int | None = None) -> l
         chosen.append(int(near.argmax()))
         near = np.minimum(near, ((z - z[chosen[-1]]) ** 2).sum(1))
     return chosen
+
+
+def spread_out(df: DataFrame, key: str, vector: str, count: int, every: int = 10) -> list:
+    """Keys (numbers) of the greedy k-centre order over all rows of a table of any size; ties go to the least key.
+
+    As farthest_points, with mean, deviation and each pick as aggregates: a pick is one max_by, and the
+    driver gets one row of it. The least distance so far is written with the rows every few picks.
+    """
+    given = df.select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v"))
+    n = given.count()
+    number = F.when(F.abs("x") < float("inf"), F.col("x"))  # null for a missing, unbounded or NaN value
+    long = given.select(F.posexplode("v").alias("at", "x")).select("at", number.alias("x"))
+    stats = {r["at"]: r for r in long.groupBy("at").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("sd")).collect()}
+    size = max(stats, default=-1) + 1
+    gaps = [i for i in range(size) if stats[i]["n"] < n]
+    fill = np.zeros(size)
+    mean, sd = (np.array([stats[i][c] or 0.0 for i in range(size)]) for c in ("mean", "sd"))
+    if gaps:
+        for r in long.filter(F.col("at").isin(gaps)).groupBy("at").agg(F.median("x").alias("m")).collect():
+            fill[r["at"]] = r["m"] or 0.0
+        # values that were missing stand at the median before mean and deviation are taken
+        seen = np.array([stats[i]["n"] for i in range(size)]) / n
+        whole = seen * mean + (1 - seen) * fill
+        sd = np.sqrt(seen * (sd**2 + (mean - whole) ** 2) + (1 - seen) * (fill - whole) ** 2)
+        mean = whole
+    sd = np.where(sd > 0, sd, 1.0)
+
+    def standard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            z = np.tile(fill, (b.num_rows, 1))
+            for i, v in enumerate(b.column(1).to_pylist()):
+                x = np.array(v or [], float)
+                z[i, : len(x)] = np.where(np.isfinite(x), x, fill[: len(x)])
+            z = (z - mean) / sd
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(z) + 1) * size, pa.int32()), pa.array(z.ravel()))
+            yield pa.RecordBatch.from_arrays([b.column(0), lists, pa.array((z**2).sum(1))], ["key", "z", "near"])
+
+    def nearer(points: np.ndarray, first: bool):
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                z = b.column("z").flatten().to_numpy().reshape(b.num_rows, size)
+                near = np.full(b.num_rows, np.inf) if first else b.column("near").to_numpy()
+                for p in points:
+                    near = np.minimum(near, ((z - p) ** 2).sum(1))
+                yield pa.RecordBatch.from_arrays([b.column("key"), b.column("z"), pa.array(near), b.column("row")], ["key", "z", "near", "row"])
+
+        return work
+
+    kind = given.schema["key"].dataType.simpleString()
+    rows = keep(given.mapInArrow(standard, f"key {kind}, z array<double>, near double").withColumn("row", F.monotonically_increasing_id()), "spread")
+    now, keys, taken, points, first = rows, [], [], [], True
+    while len(keys) < min(count, n):
+        best = now.filter(~F.col("row").isin(taken)) if taken else now
+        r = best.agg(F.max_by(F.struct("key", "row", "z"), F.struct("near", -F.col("key"), -F.col("row"))).alias("r")).first()["r"]
+        keys.append(r["key"])
+        taken.append(r["row"])
+        points.append(np.array(r["z"]))
+        now = rows.mapInArrow(nearer(np.array(points), first), rows.schema)
+        if len(points) == every:
+            new = keep(now, "spread")
+            discard(rows)
+            rows = now = new
+            points, first = [], False
+    discard(rows)
+    return keys

@@ -290,12 +290,9 @@ def strided_pick(s, d):
 
 @query("farthest_points")
 def farthest_points(s, d):
-    """Spread-out vectors of a hash-ordered sample of at most 500, as a calibration sample is chosen."""
-    import numpy as np
-
-    rows = table(s, d, "embeddings").orderBy(F.xxhash64("vec_id"), "vec_id").limit(500).collect()
-    x = np.array([v["embedding"] for v in rows], float)
-    return s.createDataFrame([(i + 1, rows[j]["vec_id"]) for i, j in enumerate(ranking.farthest_points(x, 50))], "rank long, vec_id long")
+    """Spread-out vectors of the whole table, as archetypes are chosen for a calibration sample."""
+    found = ranking.spread_out(table(s, d, "embeddings"), "vec_id", "embedding", 50)
+    return s.createDataFrame(list(enumerate(found, 1)), "rank long, vec_id long")
 
 
 @query("top_targets", W + STAR + " SELECT tic, magnitude FROM star ORDER BY magnitude, tic LIMIT 50")
