@@ -15,8 +15,12 @@ from .views import query, r, table
 def _events(s, d):
     """The table as a stream of files; it may be one file or a folder of them."""
     read = workers_find_package(s).readStream.schema(streams.EVENTS)
-    from_file = read.option("pathGlobFilter", "events.parquet").parquet(d)
-    return from_file.withColumn("at", F.col("ts").cast("timestamp"))
+    path = s.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{d}/events.parquet")
+    if path.getFileSystem(s.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
+        found = read.parquet(f"{d}/events.parquet")
+    else:
+        found = read.option("pathGlobFilter", "events.parquet").parquet(d)
+    return found.withColumn("at", F.col("ts").cast("timestamp"))
 
 
 def _run(s, stream, mode):

@@ -1,11 +1,17 @@
 """Queries do the whole job: no sample, no lost rows, on any form of their input."""
 
+import os
+import shutil
+
 import numpy as np
 import pandas as pd
+import pytest
 
 from lightfold.operators import ranking
 from lightfold.plans import catalog
 
+DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+
 
 def test_farthest_points_of_all_rows(spark, tmp_path):
     rng = np.random.default_rng(3)
@@ -23,3 +29,12 @@ def test_farthest_points_of_equal_rows(spark, tmp_path):
     pd.DataFrame({"vec_id": [4, 2, 9, 3], "embedding": [[1.0, 2.0]] * 3 + [[5.0, 2.0]]}).to_parquet(tmp_path / "embeddings.parquet")
     got = catalog.QUERIES["farthest_points"](spark, str(tmp_path)).orderBy("rank").collect()
     assert [r["vec_id"] for r in got] == [3, 2, 4, 9]
+
+
+@pytest.mark.parametrize("name", ["stream_tumbling", "stream_rolling_rate", "stream_sessions", "stream_distinct", "stream_leases"])
+def test_streams_read_a_file_or_a_folder(spark, tmp_path, name):
+    (tmp_path / "one").mkdir()
+    shutil.copy(f"{DATA}/events.parquet", tmp_path / "one" / "events.parquet")
+    spark.read.parquet(f"{DATA}/events.parquet").repartition(3).write.parquet(f"{tmp_path}/many/events.parquet")
+    one, many = (sorted(map(tuple, catalog.QUERIES[name](spark, str(tmp_path / x)).collect()), key=repr) for x in ("one", "many"))
+    assert one and one == many
