@@ -9,7 +9,8 @@ A byte goes if a LENGTH-byte string over it also starts in a document with a sma
    so a passage in very many documents is one string, not one a document.
 3. Of a key's different segments, windows whose second key, the least hash of their LONGER-byte
    strings, is in one segment alone are left out, and what is then equal is collapsed again. The strings of all keys that still have
-   several form collections. Each collection's Burrows-Wheeler transform and common prefixes are
+   several form collections. Of a key with more than MANY segments the windows are dealt by both
+   keys, so that no task holds all its segments. Each collection's Burrows-Wheeler transform and common prefixes are
    built column by column in files (see collection); rows with common prefixes of 50 or more are
    equal windows, and each window learns the least doc_id that holds it. A key left with a single
    string needs no construction: that string's owner is known.
@@ -42,6 +43,7 @@ LENGTH = 50
 SHORT = 16
 LONGER = 48  # bytes of the strings that a window's second key is the least hash of
 LONGEST = 64  # windows in a segment
+MANY = 20_000  # different segments of a key that are brought together; those of other keys are dealt by both keys
 COLLECTION = 8 << 20  # bytes of different segments in one collection
 SCAN = 4 << 20  # bytes of text that are hashed at once
 LAST = (1 << 63) - 1
@@ -186,36 +188,57 @@ def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(key[i : i + 50_000].view(np.int64)), pa.array(body, pa.binary()), k.take(pa.array(t)), first.take(pa.array(t)), pa.array(s, pa.int64())], ["m", "body", "k", "first", "start"])
 
 
-def trimmed(data: np.ndarray, first: np.ndarray, size: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(string, start, windows): the runs of windows that another string of the group may hold too.
-
-    Equal windows also name the same least hash of longer strings, so a window whose second key is
-    in one string of its group alone is in no other string.
-    """
+def second_runs(data: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(second key, string, start, windows) of each run of windows with one least hash of LONGER-byte strings."""
     none = np.zeros(0, np.int64)
     if len(data) < LENGTH:
-        return none, none, none
+        return none.astype(np.uint64), none, none, none
     key = window_keys(data, LONGER)
     string = np.repeat(np.arange(len(size)), size)[: len(key)]
     pos = np.arange(len(key)) - first[string]
     whole = pos + LENGTH <= size[string]
-    key = key ^ (group[string].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     new = whole.copy()
     new[1:] &= (key[1:] != key[:-1]) | (string[1:] != string[:-1])
     at = np.flatnonzero(new)
     held = np.concatenate(([0], np.cumsum(whole)))
     n = held[np.append(at[1:], len(key))] - held[at]
-    k, owner = key[at], string[at]
+    return key[at], string[at], pos[at], n
+
+
+def _second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(m, q, h, at, owner, body): the runs of one second key q of each segment, with their bytes."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        m, h, owner, body = (b.column(i) for i in range(4))
+        raw = body.to_pylist()
+        size = np.array([len(x) for x in raw], np.int64)
+        q, string, start, n = second_runs(np.frombuffer(b"".join(raw), np.uint8), np.cumsum(size) - size, size)
+        part = [raw[i][a : a + w] for i, a, w in zip(string.tolist(), start.tolist(), (n + LENGTH - 1).tolist())]
+        of = pa.array(string)
+        yield pa.RecordBatch.from_arrays([m.take(of), pa.array(q.view(np.int64)), h.take(of), pa.array(start), owner.take(of), pa.array(part, pa.binary())], ["m", "q", "h", "at", "owner", "body"])
+
+
+def trimmed(data: np.ndarray, first: np.ndarray, size: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(string, start, windows): the runs of windows that another string of the group may hold too.
+
+    Equal windows also name the same least hash of longer strings, so a window whose second key is
+    in one string of its group alone is in no other string.
+    """
+    none = np.zeros(0, np.int64)
+    key, owner, start, n = second_runs(data, first, size)
+    if not len(key):
+        return none, none, none
+    k = key ^ (group[owner].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     o = np.lexsort((owner, k))
     begin = np.flatnonzero(np.append(True, k[o][1:] != k[o][:-1]))
     several = owner[o][begin] != owner[o][np.append(begin[1:], len(o)) - 1]
-    ok = np.zeros(len(at), bool)
+    ok = np.zeros(len(k), bool)
     ok[o] = np.repeat(several, np.diff(np.append(begin, len(o))))
-    at, n, owner = at[ok], n[ok], owner[ok]
-    if not len(at):
+    start, n, owner = start[ok], n[ok], owner[ok]
+    if not len(start):
         return none, none, none
-    start = pos[at]
-    joins = np.zeros(len(at), bool)
+    joins = np.zeros(len(start), bool)
     joins[1:] = (owner[1:] == owner[:-1]) & (start[1:] == start[:-1] + n[:-1])
     head = np.flatnonzero(~joins)
     return owner[head], start[head], np.add.reduceat(n, head)
@@ -314,6 +337,24 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def dealt(segments_: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Owners (m, h, owners, at) of the windows of segments (m, h, owner, body) whose keys have very many, and a table to discard.
+
+    Their windows are dealt by both keys, so what meets in a task holds one LONGER-byte string and
+    LENGTH - LONGER further bytes a window. Second keys of a single segment are done with before
+    bytes are moved, equal strings are collapsed before a collection is built.
+    """
+    whole = segments_.select("m", "h", F.expr(f"array_repeat(owner, octet_length(body) - {LENGTH - 1})").alias("owners"), F.lit(0).cast("long").alias("at"))
+    pieces = segments_.select("m", "h", "owner", "body").mapInArrow(_second, "m long, q long, h long, at long, owner long, body binary")
+    several = pieces.groupBy("m", "q").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).filter("lo < hi").select("m", "q")
+    # a hash of both keys may join groups, whose strings still are compared byte by byte
+    g, name = F.xxhash64("m", "q").alias("g"), F.xxhash64("body").alias("s")
+    shared = cut(pieces.join(several, ["m", "q"], "left_semi").select(g, name, "m", "h", "at", "owner", "body"), "dealt")
+    strings = shared.groupBy("g", "body").agg(F.min("owner").alias("owner")).select(F.col("g").alias("m"), "body", F.xxhash64("body").alias("h"), "owner")
+    owners = grouped(strings, ["m"]).mapInArrow(_owners, "m long, h long, owners array<long>").withColumnsRenamed({"m": "g", "h": "s"})
+    return whole.union(shared.select("g", "s", "m", "h", "at").join(owners, ["g", "s"]).select("m", "h", "owners", "at")), shared
+
+
 def with_removals(docs: DataFrame) -> DataFrame:
     """docs with _spans: the byte ranges to remove, as struct<a, z>; null where nothing goes.
 
@@ -335,11 +376,22 @@ def with_removals(docs: DataFrame) -> DataFrame:
     discard(wanted)
     h = F.xxhash64("body").alias("h")
     different = cut(parts.groupBy("m", "body").agg(F.min("first").alias("owner")).select("m", "body", h, "owner"), "different")
-    owners = grouped(different, ["m"]).mapInArrow(_owners, "m long, h long, owners array<long>")
-    found = parts.select("k", "first", "start", "m", h).join(owners, ["m", "h"]).select("k", "first", "start", "owners").mapInArrow(_runs_removed, "k long, a long, z long")
+    hot = cut(different.groupBy("m").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > MANY).select("m"), "hot")
+    done, few = [hot], different
+    any_hot = bool(hot.take(1))
+    if any_hot:
+        few = different.join(hot, "m", "left_anti").select("m", "body", "h", "owner")
+    owners = grouped(few, ["m"]).mapInArrow(_owners, "m long, h long, owners array<long>").withColumn("at", F.lit(0).cast("long"))
+    if any_hot:
+        more, shared_runs = dealt(different.join(hot, "m", "left_semi"))
+        owners = owners.union(more)
+        done.append(shared_runs)
+    found = parts.select("k", "first", "start", "m", h).join(owners, ["m", "h"]).select("k", "first", (F.col("start") + F.col("at")).alias("start"), "owners").mapInArrow(_runs_removed, "k long, a long, z long")
     spans = cut(found.groupBy("k").agg(F.collect_list(F.struct("a", "z")).alias("_spans")), "spans")
     discard(parts)
     discard(different)
+    for t in done:
+        discard(t)
     known = least.join(spans, "k", "left")
     out = docs.withColumn("_k", k).withColumn("_ord", order).join(known.withColumnRenamed("k", "_k"), "_k", "left")
     whole = F.array(F.struct(F.lit(0).cast("long").alias("a"), F.lit(-1).cast("long").alias("z")))
