@@ -31,7 +31,6 @@ from pyspark.sql import functions as F
 from .common import prepare, table
 
 PATH, WORDS, COUNTS = 64, 32, 8
-OPENING = 240  # characters of a block whose words are hashed; its text is never cut
 HIDDEN = 16
 PAGES = 900
 EPOCHS = 7
@@ -39,10 +38,14 @@ SEED = 17
 BLOCK = frozenset("address article aside blockquote body button center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title svg math iframe object".split())
+FOREIGN = frozenset(("svg", "math"))  # the only ones that a closing slash ends
 #: What an opening tag closes: an open element of the same set, up to the nearest of the stops.
 CLOSES = {"p": ({"p"}, {"div", "article", "section", "td", "li", "blockquote", "body", "main", "aside"}), "li": ({"li", "p"}, {"ul", "ol", "menu"}), "td": ({"td", "th", "p"}, {"tr", "table"}), "th": ({"td", "th", "p"}, {"tr", "table"}), "tr": ({"tr", "td", "th", "p"}, {"table"}), "dt": ({"dt", "dd", "p"}, {"dl"}), "dd": ({"dt", "dd", "p"}, {"dl"}), "option": ({"option"}, {"select"})}
-# at most 512 parts of attributes a tag, so that a page of open quotes takes linear time
-_TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*>?|(/?)([a-zA-Z][^\s/>]*)((?>[^>"']+|"[^"]*"|'[^']*'){0,512}+)>)""", re.S)
+_MARK = re.compile(r"<(?=[!?a-zA-Z]|/[a-zA-Z])")
+_SKIP = re.compile(r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*>?)", re.S)
+_NAMED = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
+_PLAIN = re.compile(r"[^>\"']*+")
+_BARE = re.compile(r"=\s*[^\s\"'=]*/\Z")  # a last slash that belongs to a value without quotes
 _ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _NAME = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
@@ -50,6 +53,52 @@ _WORD = re.compile(r"\w+")
 _END = {n: re.compile(rf"</{n}\s*>", re.I) for n in RAW}
 
 
+class _Tags:
+    """The tags and comments of a page, in order; a tag ends at the first > outside quotes.
+
+    What is known to have no end is remembered, so that a page of open quotes takes linear time.
+    """
+
+    def __init__(self, page: str):
+        self.page = page
+        self.name_until = self.plain_until = 0  # a name or a run without quotes up to here has no end
+        self.dead: set[int] = set()  # opening quotes behind which there is no end
+
+    def after(self, at: int) -> tuple[int, int, str, str, str] | None:
+        """(start, end, slash, name, attributes) of the next one; the name of a comment is empty."""
+        page = self.page
+        for m in _MARK.finditer(page, at):
+            s = m.start()
+            if page[s + 1] in "!?":
+                return s, _SKIP.match(page, s).end(), "", "", ""
+            if s < self.name_until and page[s + 1] != "/":
+                continue
+            k = _NAMED.match(page, s)
+            end = self._end(k.end()) if k.end() > self.plain_until else None
+            if end:
+                return s, end, k[1], k[2].lower(), page[k.end() : end - 1]
+            self.name_until = k.end()
+        return None
+
+    def _end(self, at: int) -> int | None:
+        page, opened, i = self.page, [], at
+        first = None
+        while True:
+            i = _PLAIN.match(page, i).end()
+            first = i if first is None else first
+            if page[i : i + 1] == ">":
+                return i + 1
+            if i >= len(page) or i in self.dead:
+                break
+            opened.append(i)
+            i = page.find(page[i], i + 1) + 1
+            if not i:
+                break
+        self.dead.update(opened)
+        self.plain_until = first
+        return None
+
+
 def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, float]]:
     """(path, text, share of the text inside links) of each leaf block, in page order."""
     page = page or ""
@@ -83,17 +132,18 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, float]]:
 
     at = 0
     size = len(page)
+    tags = _Tags(page)
     while at < size:
-        m = _TAG.search(page, at)
-        if not m:
+        tag = tags.after(at)
+        if not tag:
             say(page[at:])
             break
-        say(page[at : m.start()])
-        at = m.end()
-        name = (m.group(2) or "").lower()
+        start, end, slash, name, given = tag
+        say(page[at:start])
+        at = end
         if not name:
             continue
-        if m.group(1):
+        if slash:
             if name in BLOCK:
                 close()
             for i in range(len(stack) - 1, -1, -1):
@@ -105,6 +155,8 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, float]]:
         if name == "br":
             say(" ")
             continue
+        if name in FOREIGN and given.endswith("/") and not _BARE.search(given):
+            continue
         if name in RAW:
             end = _END[name].search(page, at)
             at = end.end() if end else size
@@ -127,10 +179,10 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, float]]:
                         break
         if name not in VOID:
             mark = name
-            if m.group(3):
-                said = " ".join(x for a in _ATTR.findall(m.group(3)) for x in a[1:] if x).lower()
+            if given:
+                said = " ".join(x for a in _ATTR.findall(given) for x in a[1:] if x).lower()
                 if said:
-                    mark += " " + " ".join(_NAME.findall(said)[:6])
+                    mark += " " + " ".join(_NAME.findall(said))
             stack.append((name, mark))
             links += name == "a"
     close()
@@ -154,13 +206,15 @@ def features(found: list[tuple[tuple[str, ...], str, float]]) -> np.ndarray:
     """One row a block: hashed tag path, hashed words, counts."""
     out = np.zeros((len(found), PATH + WORDS + COUNTS), np.float32)
     n = len(found)
+    known: dict[str, list[int]] = {}
     for i, (path, text, linked) in enumerate(found):
         for depth, mark in enumerate(path):
-            for w in mark.split():
-                out[i, _bucket("t", w, PATH)] = 1.0
+            if mark not in known:
+                known[mark] = sorted({_bucket("t", w, PATH) for w in mark.split()})
+            out[i, known[mark]] = 1.0
             if depth >= len(path) - 1:
-                out[i, _bucket("last", mark.split()[0], PATH)] += 0.5
-        words = _WORD.findall(text[:OPENING].lower())
+                out[i, _bucket("last", mark.split(None, 1)[0], PATH)] += 0.5
+        words = _WORD.findall(text.lower())
         if words:
             out[i, PATH : PATH + WORDS] = np.bincount([_bucket("w", w, WORDS) for w in words], minlength=WORDS) / len(words)
         size = len(text)

@@ -43,7 +43,7 @@ LENGTH = 50
 SHORT = 16
 LONGER = 48  # bytes of the strings that a window's second key is the least hash of
 LONGEST = 64  # windows in a segment
-MANY = 20_000  # different segments of a key that are brought together; those of other keys are dealt by both keys
+MANY = 4_000  # different segments of a key that are brought together; those of other keys are dealt by both keys
 COLLECTION = 8 << 20  # bytes of different segments in one collection
 SCAN = 4 << 20  # bytes of text that are hashed at once
 LAST = (1 << 63) - 1
