@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..session import scratch
+
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
@@ -68,10 +70,19 @@ def leases(requests: DataFrame, ttl_ms: int) -> DataFrame:
 
 
 def run_once(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Runs a stream over all that is there and returns what it gave, from memory."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Runs a stream over all that is there and returns what it gave, from Parquet in the shared folder."""
+    spark = stream.sparkSession
+    path = scratch(spark, "streamed")
+    spark.createDataFrame([], stream.schema).write.parquet(path)  # what is read where no batch runs
+
+    def put(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(path)
+
+    out = stream.writeStream.queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    # a file sink only appends; a complete answer takes the place of the one before
+    q = out.format("parquet").start(path) if mode == "append" else out.foreachBatch(put).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    return spark.read.schema(stream.schema).parquet(path)
 
 
 def append_batches(stream: DataFrame, path: str, key: str, checkpoint: str) -> None:
