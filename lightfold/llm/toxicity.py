@@ -102,9 +102,11 @@ class Machine:
         return float(1 / (1 + np.exp(-np.clip(s, -30, 30))))
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray) -> Machine:
+def fit(rows: list[np.ndarray], y: np.ndarray, each: tuple[float, float] = (1.0, 1.0)) -> Machine:
+    """each: how many labelled documents a sampled one of class 0 or 1 stands for."""
     rng = np.random.default_rng(SEED)
-    share = (y.sum() + 0.5) / (len(y) + 5.0)
+    n1, n0 = float(y.sum()) * each[1], float(len(y) - y.sum()) * each[0]
+    share = (n1 + 0.5) / (n1 + n0 + 5.0)
     none = np.zeros(0, np.int64)
     if len(y) == 0 or y.min() == y.max():
         return Machine(none, float(np.log(share / (1 - share))), np.zeros(0), np.zeros((0, FACTORS)))
@@ -112,7 +114,8 @@ def fit(rows: list[np.ndarray], y: np.ndarray) -> Machine:
     at = [np.flatnonzero(np.isin(terms, r, assume_unique=True)) for r in rows]
     n = len(terms)
     w, v, w0 = np.zeros(n), rng.normal(0, 0.01, (n, FACTORS)), float(np.log(share / (1 - share)))
-    weight = np.where(y > 0, min(3.0, max(1.0, (len(y) - y.sum()) / y.sum())), 1.0)
+    stands = np.where(y > 0, each[1], each[0]) * len(y) / (n1 + n0)  # 1 on average
+    weight = np.where(y > 0, min(3.0, max(1.0, n0 / n1)), 1.0) * stands
     gw, gv, g0 = np.full(n, 1e-3), np.full((n, FACTORS), 1e-3), 1e-3
     for _ in range(EPOCHS):
         order = rng.permutation(len(y))
@@ -145,10 +148,21 @@ def fit(rows: list[np.ndarray], y: np.ndarray) -> Machine:
     return Machine(terms, w0, w, v)
 
 
+def training_labels(labels: DataFrame) -> DataFrame:
+    """(doc_id, toxic) of the labelled documents outside the held-out fold."""
+    known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    return known.filter(fold("doc_id") != 0)
+
+
+def stand_for(labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[float, float]:
+    """How many labelled documents of class 0 and 1 one that training_rows takes stands for."""
+    n = {r["toxic"]: r["n"] for r in training_labels(labels).filter("toxic in (0, 1)").groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return max(1.0, n.get(0, 0) / rows), max(1.0, n.get(1, 0) / rows)
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[list[np.ndarray], np.ndarray]:
     """Terms and labels of at most `rows` labelled documents a class, none of the held-out fold."""
-    known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    known = known.filter(fold("doc_id") != 0)
+    known = training_labels(labels)
     some = [known.filter(f"toxic = {c}").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows) for c in (0, 1)]
     picked = F.broadcast(some[0].union(some[1]))  # 2 * rows ids at most
 
@@ -184,4 +198,4 @@ def score_documents(docs: DataFrame, machine: Machine) -> DataFrame:
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(prepare(spark), sf_dir, "documents"), table(spark, sf_dir, "labels")
-    return score_documents(docs, fit(*training_rows(docs, labels)))
+    return score_documents(docs, fit(*training_rows(docs, labels), stand_for(labels)))
