@@ -200,7 +200,7 @@ def sensitivity(s, d):
 
 @query("html_tables")
 def html_tables(s, d):
-    """Cells of a page's tables and lists, by an Arrow batch parser (a catalogue page is read this way)."""
+    """Number of opening tags of cells and list items in a page's source, those in scripts and comments too."""
     import re
 
     def cells(batches):
