@@ -37,10 +37,12 @@ def grouped(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """Tables of whole groups from batches that are sorted by keys, with the groups' first rows."""
-    left: list[pa.RecordBatch] = []
+    """Tables of whole groups from batches that are sorted by keys, with the groups' first rows.
 
-    def starts(t: pa.Table) -> np.ndarray:
+    A group of many batches is put together once, when its end is seen.
+    """
+
+    def starts(t: pa.Table | pa.RecordBatch) -> np.ndarray:
         new = np.zeros(t.num_rows, bool)
         new[:1] = True
         for k in keys:
@@ -48,21 +50,24 @@ def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[p
             new[1:] |= v[1:] != v[:-1]
         return np.flatnonzero(new)
 
+    held: list[pa.RecordBatch] = []
+    rows, last = 0, None
     for b in batches:
         if not b.num_rows:
             continue
-        left.append(b)
-        if sum(x.num_rows for x in left) < 4000:
+        ends = [b.column(k)[0].as_py() for k in keys] != last or len(starts(b)) > 1
+        held.append(b)
+        rows += b.num_rows
+        last = [b.column(k)[-1].as_py() for k in keys]
+        if rows < 4000 or not ends:
             continue
-        t = pa.Table.from_batches(left)
+        t = pa.Table.from_batches(held)
         s = starts(t)
-        if len(s) == 1:
-            left = t.combine_chunks().to_batches()
-            continue
-        yield t.slice(0, s[-1]), s[:-1]
-        left = t.slice(s[-1]).combine_chunks().to_batches()
-    if left:
-        t = pa.Table.from_batches(left)
+        if len(s) > 1:
+            yield t.slice(0, s[-1]), s[:-1]
+            held, rows = t.slice(s[-1]).to_batches(), t.num_rows - int(s[-1])
+    if held:
+        t = pa.Table.from_batches(held)
         yield t, starts(t)
 
 

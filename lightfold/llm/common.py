@@ -85,8 +85,9 @@ def components(edges: DataFrame, label: str = "cc") -> DataFrame:
     """(node, component) for each node of edges (a, b: long); component is the smallest node reachable.
 
     Alternates large-star and small-star steps (Kiveris et al. 2014) until nothing changes.
-    Each round is a written table, nothing is collected but one checksum a round. A round
-    only aggregates minima, so a hub's neighbours are never gathered in one task.
+    Each round is a written table, nothing is collected but one checksum a round. Minima are
+    partial aggregates; the join that hands a hub's minimum to its neighbours streams their rows
+    (two longs each) and adaptive execution splits such a partition where it is large.
     """
 
     def star(e: DataFrame, large: bool) -> DataFrame:

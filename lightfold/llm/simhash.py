@@ -6,13 +6,20 @@ under 64 variants, one for each bit left out of its segment, so two fingerprints
 radius share at least one (segment, bit left out, remaining bits). An equality join on these
 cells proposes, an exact bit count verifies, and connected components give the classes.
 
-Equal fingerprints are collapsed first, so a group of copies, however large, is one node. A
-cell with very many different fingerprints is compared block by block and returns a spanning
-forest of its links, not its pairs (see blocks).
+Equal fingerprints are collapsed first, so a group of copies, however large, is one node. What
+meets in a task is at most CELL fingerprints of a cell, and it returns a spanning forest of its
+links, not its pairs. A hot cell, one of more members, is dealt into blocks first. Fingerprints
+lie in many cells and are dealt otherwise in each, so this holds most of a dense group together.
+Then only members outside the cell's largest class can add a link: they are compared with all
+its members, block by block, if they are at most FEW. If they are more, the cell is a crowd
+rather than a group; its members agree in the bits that it fixes, so the same cut is made
+again over the bits it leaves free, whose cells are far smaller. No pair is lost either way, and
+rows grow with a cell's members, not with their square.
 
 Null text counts as empty; texts without words have fingerprint zero and link like any others.
 Null doc_ids take part and never become a component's id unless all are null. Repeated rows
-each get their row. An empty table gives an empty result.
+each get their row. An empty table gives an empty result. Only doc_id and text are read; columns
+of other names, whatever they are, are ignored by near_duplicates and kept by keep_first.
 """
 
 from __future__ import annotations
@@ -25,13 +32,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .blocks import forest, grouped, pair_up, runs
-from .common import components, cut, prepare, table
+from .blocks import forest, grouped, runs
+from .common import components, cut, discard, prepare, table
 
 RADIUS = 4
 WORDS = 4
 SEED = 42
-SEGMENTS = ((0, 21), (21, 21), (42, 22))
+CELL = 4096
+FEW = 8 * CELL
 
 
 def fingerprint(text: str | None, words: int = WORDS) -> int:
@@ -72,21 +80,40 @@ def with_fingerprint(docs: DataFrame, keep: list[str]) -> DataFrame:
     return given.mapInArrow(work, schema)
 
 
-def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each fingerprint under the 64 cells of its segments with one bit left out."""
-    for b in batches:
-        fp = b.column(0).to_numpy().view(np.uint64)
-        cells = []
-        for s, (shift, width) in enumerate(SEGMENTS):
-            part = (fp >> np.uint64(shift)) & np.uint64((1 << width) - 1)
-            for bit in range(width):
-                cells.append((part & ~np.uint64(1 << bit)) | np.uint64((s << 60) | (bit << 40)))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(cells).view(np.int64)), pa.array(np.tile(fp.view(np.int64), len(cells)))], ["cell", "fp"])
+def wildcards(fixed: int, parts: int) -> list[int]:
+    """The bits that each variant fixes, given those fixed already: one segment of the others less one bit."""
+    free = [i for i in range(64) if not fixed >> i & 1]
+    ends = [len(free) * i // parts for i in range(parts + 1)]
+    out = []
+    for a, z in zip(ends[:-1], ends[1:]):
+        segment = sum(1 << i for i in free[a:z])
+        out += [fixed | segment ^ (1 << i) for i in free[a:z]]
+    return out
+
+
+def _variants(parts: int):
+    """Rows (fixed, fp) under the cells of all variants; a cell is named by a hash of the bits it fixes and their values."""
+
+    def mixed(x: np.ndarray) -> np.ndarray:
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        return x ^ (x >> np.uint64(31))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            given, prints = b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy().view(np.uint64)
+            for f in np.unique(given):
+                fp = prints[given == f]
+                masks = np.array(wildcards(int(f), parts), np.uint64)
+                cell = mixed((fp & masks[:, None]) + mixed(masks)[:, None])
+                cols = cell.ravel(), np.repeat(masks, len(fp)), np.tile(fp, len(masks))
+                yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in cols], ["cell", "fixed", "fp"])
+
+    return work
 
 
 def _links(radius: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, start in runs(batches, ["cell", "p", "q"]):
+        for t, start in runs(batches, ["cell", "p"]):
             fp = t.column("fp").to_numpy().view(np.uint64)
             size = np.diff(np.append(start, len(fp)))
             group = np.repeat(np.arange(len(start)), size)
@@ -109,16 +136,71 @@ def _links(radius: int):
     return work
 
 
-def link_edges(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Edges (a, b) that hold together all distinct fingerprints (fp) linked within the radius."""
-    cells = prints.mapInArrow(_variants, "cell long, fp long")
-    return grouped(pair_up(cells, "cell", "fp").select("cell", "p", "q", "fp"), ["cell", "p", "q"]).mapInArrow(_links(radius), "a long, b long")
+def _outside(radius: int):
+    """Links between classes, from groups of members outside (1) or inside a cell's largest class."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, start in runs(batches, ["cell", "p", "q"]):
+            fp, name, minor = t.column("fp").to_numpy().view(np.uint64), t.column("class").to_numpy(), t.column("minor").to_numpy()
+            for s, e in zip(start, np.append(start[1:], len(fp))):
+                few, all_ = s + np.flatnonzero(minor[s:e] == 1), s + np.flatnonzero(minor[s:e] == 0)
+                for i in range(0, len(few), 256):
+                    x = few[i : i + 256]
+                    a, b = np.nonzero(np.bitwise_count(fp[x][:, None] ^ fp[all_][None]) <= radius)
+                    e_ = np.unique(np.stack([name[x[a]], name[all_[b]]]), axis=1)
+                    e_ = e_[:, e_[0] != e_[1]]
+                    if e_.size:
+                        yield pa.RecordBatch.from_arrays([pa.array(e_[0]), pa.array(e_[1])], ["a", "b"])
+
+    return work
+
+
+def link_edges(prints: DataFrame, radius: int = RADIUS) -> tuple[DataFrame, list[DataFrame]]:
+    """Edges (a, b) that hold together all distinct fingerprints (fp) linked within the radius, and tables to discard."""
+    parts = radius // 2 + 1  # the fewest segments of which one differs by at most one bit
+    rows, edges, scratch = prints.select(F.lit(0).cast("long").alias("fixed"), "fp"), None, []
+
+    def written(df: DataFrame, label: str) -> DataFrame:
+        scratch.append(cut(df, label))
+        return scratch[-1]
+
+    def deal(of: str, n) -> F.Column:
+        return F.pmod(F.xxhash64(of, "cell"), F.ceil(n / F.lit(CELL)).cast("long"))
+
+    while True:
+        cells = rows.mapInArrow(_variants(parts), "cell long, fixed long, fp long")
+        sizes = written(cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "cells")
+        some = cells.join(sizes, "cell").select("cell", deal("fp", F.col("n")).alias("p"), "fp")
+        found = written(grouped(some, ["cell", "p"]).mapInArrow(_links(radius), "a long, b long"), "links")
+        edges = edges.union(found) if edges else found
+        hot = sizes.filter(F.col("n") > CELL)
+        if not hot.take(1):
+            return edges, scratch
+        named = written(components(edges, "simhash").withColumnsRenamed({"node": "fp", "component": "class"}), "named")
+        members = written(cells.join(hot, "cell").join(named, "fp", "left").select("cell", "n", "fixed", "fp", F.coalesce("class", "fp").alias("class")), "hot")
+        held = members.groupBy("cell", "n", "class").agg(F.count(F.lit(1)).alias("c"))
+        most = held.groupBy("cell", "n").agg(F.max("c").alias("c"), F.max_by("class", "c").alias("largest"))
+        open_ = written(most.select("cell", "largest", (F.col("n") - F.col("c")).alias("rest")).filter("rest > 0"), "open")
+        near = members.join(open_.filter(F.col("rest") <= FEW), "cell")
+        inside = near.withColumn("q", deal("fp", F.col("n")))
+        minor = inside.filter("class <> largest").withColumn("p", deal("fp", F.col("rest")))
+        every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(n / F.lit(CELL)).cast("long") - 1))
+        sides = inside.select("cell", every(F.col("rest")).alias("p"), "q", "fp", "class", F.lit(0).alias("minor"))
+        sides = sides.union(minor.select("cell", "p", every(F.col("n")).alias("q"), "fp", "class", F.lit(1).alias("minor")))
+        edges = edges.union(written(grouped(sides, ["cell", "p", "q"]).mapInArrow(_outside(radius), "a long, b long"), "outside"))
+        crowd = open_.filter(F.col("rest") > FEW)
+        if not crowd.take(1):
+            return edges, scratch
+        rows = written(members.join(crowd, "cell", "left_semi").select("fixed", "fp"), "crowd")
 
 
 def classes(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(fp, component) with the class of each distinct fp of rows, named by its smallest fp."""
     prints = cut(rows.select("fp").distinct(), "prints")
-    comp = components(link_edges(prints, radius), "simhash")
+    edges, scratch = link_edges(prints, radius)
+    comp = cut(components(edges, "simhash"), "classes")
+    for t in scratch:
+        discard(t)
     return prints.join(comp.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"))
 
 
@@ -132,16 +214,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """One row of docs for each class: that with the smallest doc_id (nulls last, then a text hash)."""
-    key = F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), F.coalesce("text", F.lit("")))
-    rows = cut(with_fingerprint(docs.select("doc_id", key.alias("key"), "text"), ["doc_id", "key"]), "fp")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("key").alias("key"))).alias("first")
-    per = rows.groupBy("fp").agg(first)
+    """One row of docs for each class: that with the smallest doc_id (nulls last, then two text hashes)."""
+    names = docs.columns
+    id_, text = F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))
+    key = F.struct(id_.isNull().alias("none"), id_.alias("id"), F.xxhash64(text).alias("h"), F.xxhash64(F.lit(7), text).alias("g")).alias("key")
+    rows = cut(with_fingerprint(docs.select(F.col("doc_id").cast("long").alias("doc_id"), key, "text"), ["doc_id", "key"]), "fp")
+    per = rows.groupBy("fp").agg(F.min("key").alias("first"))
     kept = per.join(classes(rows), "fp").groupBy("component").agg(F.min("first").alias("first"))
-    kept = cut(kept.select(F.col("first.key").alias("_key")), "kept").distinct()
-    once = Window.partitionBy("_key").orderBy(F.col("doc_id"))
-    out = docs.withColumn("_key", key).join(kept, "_key", "left_semi")
-    return out.withColumn("_row", F.row_number().over(once)).filter("_row = 1").select(*docs.columns)
+    kept = cut(kept.select("first.*"), "kept")
+    # the columns of docs ride in one struct, so that none of their names can clash
+    all_ = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), key).select("row", "key.*")
+    match = [all_.h == kept.h, all_.g == kept.g, all_.id.eqNullSafe(kept.id)]
+    out = all_.join(kept, match, "left_semi")
+    once = Window.partitionBy("h", "g", "id").orderBy("h")
+    return out.withColumn("n", F.row_number().over(once)).filter("n = 1").select("row.*")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -234,14 +234,24 @@ def test_simhash_classes_match_brute_force(spark, docs, none):
     assert kept.columns == docs.columns and kept.count() == len(set(comp))
 
 
-@pytest.mark.parametrize("block", [blocks.BLOCK, 8])
-def test_dense_cells_lose_no_link(spark, block, monkeypatch):
+simhash_cell = simhash.CELL
+
+
+@pytest.mark.parametrize("most, few, crowd", [(simhash.CELL, simhash.FEW, False), (8, 64, False), (64, 0, True)])
+def test_dense_cells_lose_no_link(spark, most, few, crowd, monkeypatch):
     r = np.random.default_rng(3)
     center = int(r.integers(0, 2**63))
-    prints = {center ^ sum(1 << int(b) for b in r.choice(64, int(r.integers(0, 8)), replace=False)) for _ in range(150)} | {int(x) for x in r.integers(0, 2**63, 50)}
+    if crowd:  # fingerprints that agree in 21 bits and little else
+        prints = {center & 0x1FFFFF | int(x) << 21 for x in r.integers(0, 2**43, 120)}
+        prints |= {x ^ sum(1 << int(b) for b in r.choice(64, 4, replace=False)) for x in list(prints)[:40]}
+    else:
+        prints = {center ^ sum(1 << int(b) for b in r.choice(64, int(r.integers(0, 8)), replace=False)) for _ in range(150)} | {int(x) for x in r.integers(0, 2**63, 50)}
     signed = [p - (1 << 64) if p >> 63 else p for p in prints]
-    monkeypatch.setattr(blocks.pair_up, "__defaults__", (block, True))
-    got = {x["fp"] % (1 << 64): x["component"] for x in simhash.classes(spark.createDataFrame([(x,) for x in signed], "fp long")).collect()}
+    monkeypatch.setattr(simhash, "CELL", most)
+    monkeypatch.setattr(simhash, "FEW", few)
+    cuts, cut = [], simhash.cut
+    monkeypatch.setattr(simhash, "cut", lambda df, label: cuts.append(label) or cut(df, label))
+    got = {x["fp"] % (1 << 64): x["component"] for x in simhash.classes(spark.createDataFrame([(x,) for x in signed], "fp long").repartition(2)).collect()}
     p = sorted(prints)
     comp = {x: x for x in p}
     while True:
@@ -251,6 +261,16 @@ def test_dense_cells_lose_no_link(spark, block, monkeypatch):
         comp = new
     groups = lambda m: sorted(sorted(x for x in m if m[x] == c) for c in set(m.values()))
     assert groups(got) == groups(comp)
+    assert ("outside" in cuts) == (most < simhash_cell) and ("crowd" in cuts) == crowd
+
+
+def test_simhash_keeps_columns_of_any_name(spark):
+    rows = [(1, "a b c d e f g", 5, 6, "x"), (2, "a b c d e f g", 7, 8, None), (2, "a b c d e f g", 7, 8, None), (None, "some quite other words are here now", 1, 2, "z"), (None, None, 3, 4, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, key long, n long, `row` string")
+    kept = simhash.keep_first(df)
+    assert kept.columns == df.columns
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([rows[0], rows[3], rows[4]], key=str)
+    assert simhash.keep_first(df.filter("false")).count() == 0
 
 
 # ---- 5 sharding
