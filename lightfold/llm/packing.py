@@ -3,16 +3,20 @@
 Documents become token ids, end with END and are cut only where longer than a sequence: into
 whole sequences from the end, so the first piece may be shorter. Whole pieces are sequences
 already. The others are dealt by a hash into shards of about SHARD pieces, and every shard is packed
-on ISLANDS islands, each a task's group: a population of packings evolves by crossover that
-injects whole well-filled bins of one parent into the other, drops the bins that now hold
-duplicates and best-fits the displaced pieces (Falkenauer 1996). Between EPOCHS each island sends
-its elite to the next in a ring. The best island's packing counts. Bins that a shard left
+on ISLANDS islands, each a task's group. An island begins with packings in random orders, best
+fit without sorting, and evolves them by crossover: whole well-filled bins of one parent are injected
+into the other, bins that now hold duplicates are dropped and the displaced pieces are best-fitted,
+longest first (Falkenauer 1996). A packing in falling order of size joins as a further parent
+only if half of the generations haven't met the least number of bins that the sizes allow. Islands stop there;
+of shards that are not there yet each island sends its elite to the next in a ring, EPOCHS times
+at most, and the best island's packing counts. Bins that a shard left
 unfilled are opened and their pieces packed again with those of other shards, level by level,
-until one shard is left or LEVELS is reached.
+until one shard is left or a level fills no more than half of what it was given.
 
 Null text counts as empty: one piece that holds END alone. Repeated rows are packed like others
 (rows are numbered once written, not by doc_id). Every piece is packed; an empty table gives
-an empty result.
+an empty result. Pieces of one size are told apart by their row only. Only doc_id and text are
+read, so columns of any other names change nothing.
 """
 
 from __future__ import annotations
@@ -32,11 +36,10 @@ from .tokens import END, VOCABULARY, encoder
 
 LENGTH = 2048
 SHARD = 4096
-ISLANDS = 2
-EPOCHS = 2
+ISLANDS = 3
+EPOCHS = 3
 POPULATION = 4
-GENERATIONS = 6
-LEVELS = 4
+GENERATIONS = 8
 FULL = 0.995  # bins below this share are opened for the next level
 SEED = 11
 
@@ -145,24 +148,39 @@ def crossover(a: Packing, b: Packing, sizes: list[int], cap: int, rng: np.random
     return best_fit(sizes, loose, cap, bins)
 
 
+def least_bins(sizes: list[int], cap: int) -> int:
+    """No packing has fewer bins (Martello & Toth 1990): the best bound over all sizes k, where items above cap - k
+    share with none of size k or more, those above cap / 2 have a bin each, and those from k on fill what is left."""
+    s = np.sort(np.array(sizes, np.int64))
+    if not len(s):
+        return 0
+    total = np.concatenate(([0], np.cumsum(s)))
+    k = np.unique(np.append(s[2 * s <= cap], 0))
+    low, half, high = (np.searchsorted(s, x, side) for x, side in ((k, "left"), (cap // 2, "right"), (cap - k, "right")))
+    high = np.maximum(high, half)
+    room = (high - half) * cap - (total[high] - total[half])
+    more = np.maximum(0, -(-(total[half] - total[low] - room) // cap))
+    return int((len(s) - half + more).max())
+
+
 def evolve(sizes: list[int], cap: int, start: list[Packing], rng: np.random.Generator, population: int = POPULATION, generations: int = GENERATIONS) -> Packing:
-    """The best packing after some generations; it is never worse than the best of start."""
-    least = -(-sum(sizes) // cap)
+    """The best packing after some generations; it is never worse than the best of start, nor than best fit in falling order."""
+    least = least_bins(sizes, cap)
     people = list(start)
-    if not people:
-        people = [best_fit(sizes, sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)), cap)]
-    while len(people) < population and min(map(len, people)) > least:
-        noise = rng.normal(0, 0.08, len(sizes))
-        people.append(best_fit(sizes, sorted(range(len(sizes)), key=lambda i: -sizes[i] * (1 + noise[i])), cap))
+    while len(people) < population:
+        people.append(best_fit(sizes, rng.permutation(len(sizes)).tolist(), cap))
     people.sort(key=worth)
-    for _ in range(generations):
-        if len(people[0]) <= least or len(people) < 2:
+    for g in range(generations):
+        if len(people[0]) <= least:
             break
-        born = []
+        if not start and g == generations // 2:
+            people[-1] = best_fit(sizes, sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)), cap)
         for _ in range(population):
-            i, j = rng.choice(len(people), 2, replace=False)
-            born.append(crossover(people[i], people[j], sizes, cap, rng))
-        people = sorted(people + born, key=worth)[:population]
+            i, j = rng.choice(population, 2, replace=False)
+            people.append(crossover(people[i], people[j], sizes, cap, rng))
+            if len(people[-1]) <= least:
+                break
+        people = sorted(people, key=worth)[:population]
     return people[0]
 
 
@@ -197,14 +215,14 @@ def _epoch(cap: int, epoch: int):
                 m = len(item)
                 full = lambda v, k: pa.array(np.full(m, v), k)  # noqa: E731, B023
                 yield pa.RecordBatch.from_arrays(
-                    [full(shard, pa.int64()), full(island, pa.int32()), pa.array(rows[item]), pa.array(length, pa.int64()), full(island, pa.int32()), pa.array(where, pa.int32()), pa.array(offset, pa.int64()), pa.array(load, pa.int64()), full(n, pa.int64()), full(energy, pa.int64())],
-                    ["shard", "island", "row", "length", "source", "bin", "offset", "load", "bins", "energy"],
+                    [full(shard, pa.int64()), full(island, pa.int32()), pa.array(rows[item]), pa.array(length, pa.int64()), full(island, pa.int32()), pa.array(where, pa.int32()), pa.array(offset, pa.int64()), pa.array(load, pa.int64()), full(n, pa.int64()), full(energy, pa.int64()), full(least_bins(sizes, cap), pa.int64())],
+                    ["shard", "island", "row", "length", "source", "bin", "offset", "load", "bins", "energy", "least"],
                 )
 
     return work
 
 
-_FOUND = "shard long, island int, row long, length long, source int, bin int, offset long, load long, bins long, energy long"
+_FOUND = "shard long, island int, row long, length long, source int, bin int, offset long, load long, bins long, energy long, least long"
 
 
 def pack_level(rows: DataFrame, n: int, level: int, length: int = LENGTH) -> DataFrame:
@@ -213,34 +231,36 @@ def pack_level(rows: DataFrame, n: int, level: int, length: int = LENGTH) -> Dat
     shard = F.pmod(F.xxhash64("row", F.lit(level)), F.lit(shards)).alias("shard")
     islands = F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island")
     now = rows.select(shard, islands, "row", "length").withColumn("source", F.lit(-1)).withColumn("bin", F.lit(-1))
+    out = None
     for epoch in range(EPOCHS):
-        if epoch:
-            nxt = F.pmod(F.col("island") + 1, F.lit(ISLANDS)).cast("int")
-            now = now.unionByName(now.withColumn("island", nxt))
-        now = grouped(now.select("shard", "island", "row", "length", "source", "bin"), ["shard", "island"]).mapInArrow(_epoch(length, epoch), _FOUND)
-        if epoch < EPOCHS - 1:
-            now = cut(now, "elites")
-    now = cut(now, "packed")
-    best = now.groupBy("shard").agg(F.min(F.struct("bins", -F.col("energy"), "island")).alias("best"))
-    return now.join(best.select("shard", F.col("best.island").alias("island")), ["shard", "island"])
+        now = grouped(now.select("shard", "island", "row", "length", "source", "bin"), ["shard", "island"])
+        now = cut(now.mapInArrow(_epoch(length, epoch), _FOUND), "elites")
+        best = now.groupBy("shard").agg(F.min(F.struct("bins", -F.col("energy"), "island")).alias("best"), F.min("least").alias("least"))
+        ends = F.lit(True) if epoch == EPOCHS - 1 else F.col("best.bins") <= F.col("least")
+        best = cut(best.select("shard", F.col("best.island").alias("island"), ends.alias("ends")), "best")
+        done = now.join(best.filter("ends").select("shard", "island"), ["shard", "island"])
+        out = out.union(done) if out else done
+        open_ = best.filter("not ends")
+        if not open_.take(1):
+            return out
+        kept = now.join(open_.select("shard"), "shard")
+        now = kept.union(kept.withColumn("island", F.pmod(F.col("island") + 1, F.lit(ISLANDS)).cast("int")))
+    return out
 
 
 def pack(pieces: DataFrame, length: int = LENGTH) -> DataFrame:
     """row, sequence_id and offset for pieces (row, length)."""
     done = pieces.filter(F.col("length") >= length).select("row", (F.lit(1 << 60) + F.col("row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    todo = pieces.filter(F.col("length") < length).select("row", "length")
-    for level in range(LEVELS):
-        n = todo.count()
-        if not n:
-            break
+    todo, before, level = pieces.filter(F.col("length") < length).select("row", "length"), None, 0
+    while n := todo.count():
         got = pack_level(todo, n, level, length)
-        last = level == LEVELS - 1 or n <= SHARD
+        last = n <= SHARD or (before is not None and 2 * n > before)
         keep = got if last else got.filter(F.col("load") >= FULL * length)
         name = F.lit(level << 56) + F.shiftleft(F.col("shard"), 16) + F.col("bin")
         done = done.unionByName(keep.select("row", name.alias("sequence_id"), "offset"))
         if last:
             break
-        todo = got.filter(F.col("load") < FULL * length).select("row", "length")
+        todo, before, level = got.filter(F.col("load") < FULL * length).select("row", "length"), n, level + 1
     return done
 
 

@@ -9,6 +9,7 @@ import numpy as np
 
 VOCABULARY = "byte_bpe_50k"
 END = 0
+SPECIAL = "<|endoftext|>"  # the vocabulary's one added token, numbered after all others
 _ODD_SPACE = re.compile(r"\s\s")
 CACHE = 400_000
 
@@ -17,7 +18,7 @@ class Encoder:
     """Ids as the tokenizers file gives them, through the same vocabulary's ranks.
 
     The vocabulary's pattern never joins text across a single space or line end between two
-    other characters, so a text without two white-space characters in a row falls into chunks
+    other characters, and never across SPECIAL, which is one id, so a text without two white-space characters in a row falls into chunks
     that are encoded alone and remembered. All other texts are encoded whole.
     """
 
@@ -30,6 +31,7 @@ class Encoder:
         with open(public_tokenizers.path(f"{name}.tiktoken"), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.whole = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.special = np.array([len(ranks)], "<u4").tobytes()
         self.known: dict[str, bytes] = {}
 
     def _new(self, chunk: str) -> bytes:
@@ -41,6 +43,11 @@ class Encoder:
 
     def __call__(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
+        if SPECIAL in text:
+            return self.special.join(map(self._plain, text.split(SPECIAL)))
+        return self._plain(text)
+
+    def _plain(self, text: str) -> bytes:
         if _ODD_SPACE.search(text) or "  " in text:
             return np.array(self.whole(text), "<u4").tobytes()
         known, new = self.known.get, self._new

@@ -84,8 +84,7 @@ def test_tokens_equal_the_library():
     from tokenizers import Tokenizer
 
     lib = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    lib.encode_special_tokens = True
-    texts = [r[1] or "" for r in awkward()] + [" ", "a ", " a", "\na", "a\n\nb", "a\n b", "x  y", "it's 'll don't\ttab", "\r\na", "1 ３ ½ x²", "<|endoftext|> hi", "日本 語\nテ", "a　b", "\x00 \x0b", "a b c  d"]
+    texts = [r[1] or "" for r in awkward()] + [" ", "a ", " a", "\na", "a\n\nb", "a\n b", "x  y", "it's 'll don't\ttab", "\r\na", "1 ３ ½ x²", "<|endoftext|> hi", "a <|endoftext|><|endoftext|>b  c<|endoftext|>", "<|endoftext|", "x <|endo<|endoftext|>ftext|>  ", "日本 語\nテ", "a　b", "\x00 \x0b", "a b c  d"]
     enc = tokens.Encoder()
     for t, e in zip(texts, lib.encode_batch(texts, add_special_tokens=False)):
         assert np.frombuffer(enc(t), "<u4").tolist() == e.ids, repr(t[:60])
@@ -116,19 +115,62 @@ def test_packing_is_whole_and_fits(docs, none):
     assert packing.pack_documents(none).count() == 0
 
 
-def test_evolution_never_worsens_and_keeps_items():
+def test_evolution_lowers_the_count_by_crossover(monkeypatch):
+    calls, crossover = [], packing.crossover
+    monkeypatch.setattr(packing, "crossover", lambda *a: calls.append(1) or crossover(*a))
+    r = np.random.default_rng(9)
+    fewer = 0
+    for trial in range(6):
+        # triples that fill a bin exactly; best fit in falling order misses most of them
+        a, b = r.integers(380, 500, 40), r.integers(190, 250, 40)
+        sizes = np.stack([a, b, 1000 - a - b], 1).ravel().tolist()
+        falling = packing.best_fit(sizes, sorted(range(len(sizes)), key=lambda i: -sizes[i]), 1000)
+        best = packing.evolve(sizes, 1000, [], np.random.default_rng(trial), generations=60)
+        assert 40 == packing.least_bins(sizes, 1000) <= len(best) <= len(falling)
+        assert sorted(i for _, items in best for i in items) == list(range(len(sizes)))
+        assert all(load == sum(sizes[i] for i in items) <= 1000 for load, items in best)
+        fewer += len(falling) - len(best)
+    assert calls and fewer > 0
+
+
+def test_evolution_is_never_worse_than_its_start():
     r = np.random.default_rng(9)
     sizes = r.integers(1, 700, 400).tolist()
-    order = sorted(range(400), key=lambda i: -sizes[i])
-    first = packing.best_fit(sizes, order, 1000)
+    first = packing.best_fit(sizes, sorted(range(400), key=lambda i: -sizes[i]), 1000)
     best = packing.evolve(sizes, 1000, [first], r)
     assert packing.worth(best) <= packing.worth(first)
-    assert sorted(i for _, items in best for i in items) == list(range(400))
-    assert all(load == sum(sizes[i] for i in items) <= 1000 for load, items in best)
     child = packing.crossover(first, best, sizes, 1000, r)
     assert sorted(i for _, items in child for i in items) == list(range(400))
 
 
+def test_least_bins_is_a_bound():
+    r = np.random.default_rng(4)
+
+    def fewest(sizes, cap):
+        best = len(sizes)
+
+        def place(i, rooms):
+            nonlocal best
+            if len(rooms) >= best:
+                return
+            if i == len(sizes):
+                best = len(rooms)
+                return
+            for j, room in enumerate(rooms):
+                if sizes[i] <= room and room not in rooms[:j]:
+                    place(i + 1, rooms[:j] + [room - sizes[i]] + rooms[j + 1 :])
+            place(i + 1, rooms + [cap - sizes[i]])
+
+        place(0, [])
+        return best
+
+    for _ in range(60):
+        sizes = sorted(r.integers(1, 31, int(r.integers(1, 9))).tolist(), reverse=True)
+        want = fewest(sizes, 30)
+        assert packing.least_bins(sizes, 30) <= want <= len(packing.evolve(sizes, 30, [], r)) <= want + 1
+    assert packing.least_bins([16] * 5, 30) == 5 and packing.least_bins([], 30) == 0 and packing.least_bins([10] * 6, 30) == 2
+
+
 # ---- 2 embeddings
 
 
