@@ -72,6 +72,14 @@ def discard(df: DataFrame) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """name, or name with underscores in front, so that df has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def task_tmp() -> str:
     """A folder of this task alone; the caller deletes it before the task ends."""
     return tempfile.mkdtemp(prefix="lightfold-")
