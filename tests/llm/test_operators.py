@@ -531,11 +531,38 @@ def test_pii_further_spans_and_masks(spark, docs, none):
     assert pii.find_pii(none).count() == 0 and pii.mask_pii(docs).count() == len(awkward())
 
 
+def test_pii_score_weighs_checks_against_words():
+    kinds = lambda t: [k for k, *_ in pii.spans_of(t)[1]]
+    good, bad = "GB82 WEST 1234 5698 7654 32", "GB82 WEST 1234 5698 7654 33"
+    assert kinds(good) == ["iban"] and kinds(bad) == kinds("IBAN " + bad) == []
+    assert kinds("serial " + good) == [] and kinds("serial or IBAN " + good) == ["iban"]
+    amex = "378282246310005"
+    assert kinds(amex) == [] and kinds("card " + amex) == kinds(amex + " is the card") == ["account"] and kinds("order " + amex) == []
+    assert kinds("ssn 078-05-1120") == ["ssn"] and kinds("078-05-1120") == kinds("ssn 000-05-1120") == kinds("order 078-05-1120 ssn") == []
+    assert kinds("syntax 078-05-1120") == []
+    t = "mail a@b.co, card 4539 1488 0343 6467;" + " x" * 30 + " serial 4539 1488 0343 6467"
+    base, _ = pii.spans_of(t)
+    assert [pii.score(t, k, a, b, True if k == "card" else None) for k, a, b in base] == [0.9, 1.0, 0.8]
+
+
+def test_pii_spans_touch_no_others():
+    r = np.random.default_rng(3)
+    parts = ["a@b.co ", "token 9c8b45435718dcc700c184a7e303cdc6 ", "card 378282246310005 ", "GB82WEST12345698765432 ", "ssn 078-05-1120 ", "+1 555 555 1234 ", "x ", "bearer abcDEF1234567890abcd@host.org "]
+    for _ in range(200):
+        t = "".join(r.choice(parts, int(r.integers(1, 30))))
+        base, extra = pii.spans_of(t)
+        used = [(a, b) for _, a, b in base]
+        assert all(s >= pii.ACCEPT for *_, s in pii.scored_spans(t, base))
+        for _, a, b in extra:
+            assert all(b <= x or y <= a for x, y in used)
+            used.append((a, b))
+
+
 def test_pii_scans_are_linear():
     import time
 
     s = time.time()
-    for t in ("a" * 300_000, "1" * 300_000, "a@" * 100_000, "+1" * 100_000, "1." * 150_000):
+    for t in ("a" * 300_000, "1" * 300_000, "a@" * 100_000, "+1" * 100_000, "1." * 150_000, "a@b.co token 9c8b45435718dcc700c184a7e303cdc6 " * 20_000):
         pii.spans_of(t)
     assert time.time() - s < 30
 
