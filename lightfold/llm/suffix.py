@@ -17,11 +17,13 @@ A byte goes if a LENGTH-byte string over it also starts in a document with a sma
 4. Windows whose least doc_id is smaller than their document's are removed from its text.
 
 Equal texts are one text with the least doc_id of its rows; its other rows lose every byte if
-they are LENGTH long. All decisions are on the input, matches never cross documents.
+they are LENGTH long. A text is told by two 64-bit hashes. All decisions are on the input, matches
+never cross documents.
 
 Null text counts as empty. A null doc_id counts as larger than all others, and rows of equal
 doc_id do not remove each other's bytes. Texts shorter than LENGTH lose nothing. Very long
-texts and very many repeats only add rows. An empty table gives an empty result.
+texts and very many repeats only add rows. An empty table gives an empty result. Other columns
+may have any names: report_repeats ignores them, remove_repeats keeps them.
 """
 
 from __future__ import annotations
@@ -37,7 +39,7 @@ from pyspark.sql import functions as F
 
 from .blocks import grouped, runs
 from .collection import Collection, least_owner
-from .common import cut, discard, drop_tmp, prepare, table, task_tmp
+from .common import cut, discard, drop_tmp, fresh, prepare, table, task_tmp
 
 LENGTH = 50
 SHORT = 16
@@ -324,7 +326,8 @@ def _runs_removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         new[1:] = (row[1:] != row[:-1]) | (pos[1:] != pos[:-1] + 1)
         a = np.flatnonzero(new)
         z = np.append(a[1:], len(row)) - 1
-        yield pa.RecordBatch.from_arrays([k.take(pa.array(row[a])), pa.array(pos[a]), pa.array(pos[z] + LENGTH)], ["k", "a", "z"])
+        of = pa.array(row[a])
+        yield pa.RecordBatch.from_arrays([k.take(of), first.take(of), pa.array(pos[a]), pa.array(pos[z] + LENGTH)], ["k", "first", "a", "z"])
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -355,23 +358,30 @@ def dealt(segments_: DataFrame) -> tuple[DataFrame, DataFrame]:
     return whole.union(shared.select("g", "s", "m", "h", "at").join(owners, ["g", "s"]).select("m", "h", "owners", "at")), shared
 
 
-def with_removals(docs: DataFrame) -> DataFrame:
-    """docs with _spans: the byte ranges to remove, as struct<a, z>; null where nothing goes.
+def identity(raw: F.Column) -> tuple[F.Column, F.Column]:
+    """The two names of a text. Keys are counted and dealt by the first; whether texts are equal takes both."""
+    return F.xxhash64(raw, F.octet_length(raw)), F.xxhash64(F.lit(7), raw)
+
+
+SPANS = "spans"
+
+
+def with_removals(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a column of the byte ranges to remove, as array<struct<a, z>>, null where nothing goes, and its name.
 
     A range from 0 to -1 stands for the whole text (a later copy of another row's text).
     """
-    spark = prepare(docs.sparkSession)
+    prepare(docs.sparkSession)
     raw = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    # a text's name: its hash with its length
-    k = F.xxhash64(raw, F.octet_length(raw))
-    order = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
+    k, k2 = identity(raw)
+    order = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("ord")
     long_enough = F.octet_length(raw) >= LENGTH
-    given = docs.select(k.alias("k"), order.alias("ord"), raw.alias("t")).filter(long_enough)
+    given = docs.select(k.alias("k"), k2.alias("k2"), order, raw.alias("t"), long_enough.alias("fits")).filter("fits").drop("fits")
     pairs = given.select("k", "t").mapInArrow(_keys, "m long, k long")
     shared = pairs.repartition("m").mapInArrow(_shared, "m long, k long")
-    least = given.groupBy("k").agg(F.min("ord").alias("first"))
+    least = given.groupBy("k", "k2").agg(F.min("ord").alias("first"))
     wanted = cut(shared.groupBy("k").agg(F.collect_set("m").alias("ms")).join(least, "k"), "wanted")
-    texts = given.join(wanted, "k").filter("ord = first").select("k", "first", "t", "ms")
+    texts = given.join(wanted, ["k", "k2"]).filter("ord = first").select("k", "first", "t", "ms")
     parts = cut(texts.mapInArrow(_contents, "m long, body binary, k long, first long, start long"), "segments")
     discard(wanted)
     h = F.xxhash64("body").alias("h")
@@ -386,16 +396,19 @@ def with_removals(docs: DataFrame) -> DataFrame:
         more, shared_runs = dealt(different.join(hot, "m", "left_semi"))
         owners = owners.union(more)
         done.append(shared_runs)
-    found = parts.select("k", "first", "start", "m", h).join(owners, ["m", "h"]).select("k", "first", (F.col("start") + F.col("at")).alias("start"), "owners").mapInArrow(_runs_removed, "k long, a long, z long")
-    spans = cut(found.groupBy("k").agg(F.collect_list(F.struct("a", "z")).alias("_spans")), "spans")
+    found = parts.select("k", "first", "start", "m", h).join(owners, ["m", "h"]).select("k", "first", (F.col("start") + F.col("at")).alias("start"), "owners").mapInArrow(_runs_removed, "k long, first long, a long, z long")
+    spans = cut(found.groupBy("k", "first").agg(F.collect_list(F.struct("a", "z")).alias("spans")), "spans")
     discard(parts)
     discard(different)
     for t in done:
         discard(t)
-    known = least.join(spans, "k", "left")
-    out = docs.withColumn("_k", k).withColumn("_ord", order).join(known.withColumnRenamed("k", "_k"), "_k", "left")
+    known = least.join(spans, ["k", "first"], "left")
+    # the columns of docs ride in one struct, so that none of their names can clash
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), k.alias("k"), k2.alias("k2"), order)
     whole = F.array(F.struct(F.lit(0).cast("long").alias("a"), F.lit(-1).cast("long").alias("z")))
-    return out.withColumn("_spans", F.when(F.col("_ord") > F.col("first"), whole).otherwise(F.col("_spans"))).drop("_k", "_ord", "first")
+    name = fresh(docs, SPANS)
+    out = rows.join(known, ["k", "k2"], "left")
+    return out.select("row.*", F.when(F.col("ord") > F.col("first"), whole).otherwise(F.col("spans")).alias(name)), name
 
 
 def ranges(spans: list[dict] | None, n: int) -> list[tuple[int, int]]:
@@ -426,7 +439,7 @@ def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def report_repeats(docs: DataFrame) -> DataFrame:
     given = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return with_removals(given).select("doc_id", "text", "_spans").mapInArrow(_report, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return with_removals(given)[0].mapInArrow(_report, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def on_characters(raw: bytes, cuts: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -462,7 +475,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 cols[n] = pa.array([None if t is None else len(t) for t in kept], cols[n].type)
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    return with_removals(docs).select(*names, "_spans").mapInArrow(work, schema)
+    return with_removals(docs)[0].mapInArrow(work, schema)
 
 
 def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
