@@ -5,6 +5,8 @@ from __future__ import annotations
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,9 +62,30 @@ def cut(df: DataFrame, label: str) -> DataFrame:
         spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
+    for made in _open:
+        made.append(out)
     return out
 
 
+_open: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Deletes all tables that cut() writes inside, but for the last, when it ends.
+
+    For work whose last cut() is its result; what that was computed from is not needed any more.
+    """
+    made: list[DataFrame] = []
+    _open.append(made)
+    try:
+        yield
+    finally:
+        _open.remove(made)
+        for t in made[:-1]:
+            discard(t)
+
+
 def discard(df: DataFrame) -> None:
     """Deletes a table that cut() wrote and that nothing reads any more."""
     path = getattr(df, "_scratch", None)

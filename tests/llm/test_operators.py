@@ -70,6 +70,16 @@ def test_components(spark):
     assert got == want
 
 
+def test_scratch_keeps_the_last_table(spark):
+    import os
+
+    with common.scratch():
+        tables = [common.cut(spark.range(3).toDF("x"), "t") for _ in range(3)]
+    there = [os.path.exists(t._scratch.removeprefix("file://")) for t in tables]
+    assert there == [False, False, True] and tables[-1].count() == 3
+    common.discard(tables[-1])
+
+
 def test_forest_links_all():
     x = np.array([0, 1, 2, 10, 11, 30])
     got = blocks.forest(len(x), lambda a, b: np.abs(x[a][:, None] - x[b][None]) <= 1)
