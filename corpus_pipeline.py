@@ -54,7 +54,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows; a stage's scratch tables and its input go once its own table is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = common.cut(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        before = docs
+        with common.scratch():
+            docs = common.cut(stage(spark, before, sf_dir), name.replace(" ", "-"))
+        common.discard(before)
     return docs
