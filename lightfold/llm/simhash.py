@@ -119,7 +119,7 @@ def _links(radius: int):
             group = np.repeat(np.arange(len(start)), size)
             a, b = [], []
             small = size[group] <= 16
-            for lag in range(1, min(16, len(fp))):
+            for lag in range(1, min(16, int(size.max()))):
                 ok = np.flatnonzero(small[lag:] & (group[lag:] == group[:-lag]))
                 ok = ok[np.bitwise_count(fp[ok] ^ fp[ok + lag]) <= radius]
                 a.append(fp[ok])
@@ -169,11 +169,11 @@ def link_edges(prints: DataFrame, radius: int = RADIUS) -> tuple[DataFrame, list
 
     while True:
         cells = rows.mapInArrow(_variants(parts), "cell long, fixed long, fp long")
-        sizes = written(cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "cells")
-        some = cells.join(sizes, "cell").select("cell", deal("fp", F.col("n")).alias("p"), "fp")
+        hot = written(cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CELL), "cells")
+        # how many cells have two members by chance grows with the square of the fingerprints, so cells of one aren't left out
+        some = cells.join(hot, "cell", "left").select("cell", F.coalesce(deal("fp", F.col("n")), F.lit(0)).alias("p"), "fp")
         found = written(grouped(some, ["cell", "p"]).mapInArrow(_links(radius), "a long, b long"), "links")
         edges = edges.union(found) if edges else found
-        hot = sizes.filter(F.col("n") > CELL)
         if not hot.take(1):
             return edges, scratch
         named = written(components(edges, "simhash").withColumnsRenamed({"node": "fp", "component": "class"}), "named")
