@@ -168,7 +168,9 @@ def link_edges(prints: DataFrame, radius: int = RADIUS) -> tuple[DataFrame, list
         return F.pmod(F.xxhash64(of, "cell"), F.ceil(n / F.lit(CELL)).cast("long"))
 
     while True:
-        cells = rows.mapInArrow(_variants(parts), "cell long, fixed long, fp long")
+        # few bytes become many rows, so they are spread before
+        spread = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+        cells = spread.mapInArrow(_variants(parts), "cell long, fixed long, fp long")
         hot = written(cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CELL), "cells")
         # how many cells have two members by chance grows with the square of the fingerprints, so cells of one aren't left out
         some = cells.join(hot, "cell", "left").select("cell", F.coalesce(deal("fp", F.col("n")), F.lit(0)).alias("p"), "fp")
