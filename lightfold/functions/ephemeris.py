@@ -131,13 +131,29 @@ def period_relation(found, known, ratios=ALIAS_RATIOS, names=ALIAS_NAMES, tolera
     factor and error are null unless both periods are positive; of equal errors the first ratio counts.
     """
     p, k = col(found), col(known)
-    tried = F.array(*(F.struct((F.abs(p - k * r) / (k * r)).alias("error"), F.lit(i).alias("i"), F.lit(float(r)).alias("factor"), F.lit(n).alias("name")) for i, (r, n) in enumerate(zip(ratios, names))))
-    best = F.array_min(tried)
+    errors = [F.abs(p - k * r) / (k * r) for r in ratios]
+    best = F.least(*errors)
     ok = (p > 0) & (k > 0)
+
+    tried = F.array(*errors)
+    at = F.array_position(tried, F.array_min(tried)).cast("int")
+
+    def nearest(values) -> Column:
+        return F.element_at(F.array(*values), at)
+
+    ladder = sorted(ratios)
+    if all(a * (1 + tolerance) < b * (1 - tolerance) for a, b in zip(ladder, ladder[1:])):
+        # no period is within the tolerance of two ratios, so none has to be compared with the others
+        relation = F.when(~ok, "none")
+        for e, n in zip(errors, names):
+            relation = relation.when(e <= tolerance, n)
+        relation = relation.otherwise("none")
+    else:
+        relation = F.when(ok & (best <= tolerance), nearest([F.lit(n) for n in names])).otherwise(F.lit("none"))
     return F.struct(
-        F.when(ok & (best["error"] <= tolerance), best["name"]).otherwise(F.lit("none")).alias("relation"),
-        F.when(ok, best["factor"]).alias("factor"),
-        F.when(ok, best["error"]).alias("error"),
+        relation.alias("relation"),
+        F.when(ok, nearest([F.lit(float(r)) for r in ratios])).alias("factor"),
+        F.when(ok, best).alias("error"),
     )
 
 

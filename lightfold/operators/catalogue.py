@@ -36,24 +36,27 @@ def relate(pairs: DataFrame) -> DataFrame:
     Columns: period, epoch, duration_h; cat_period, cat_epoch, cat_duration_h, cat_period_error,
     cat_epoch_error, host_only.
     """
-    r = pairs.withColumn("_r", period_relation("period", "cat_period")).withColumn("_e", epoch_agreement("epoch", "duration_h", "cat_epoch", "cat_period", "cat_duration_h", "cat_period_error", "cat_epoch_error"))
-    related = F.col("_r.relation") != "none"
+    # the relation alone: its factor and error would be worked out for each pair too
+    r = pairs.withColumn("_r", period_relation("period", "cat_period")["relation"]).withColumn("_e", epoch_agreement("epoch", "duration_h", "cat_epoch", "cat_period", "cat_duration_h", "cat_period_error", "cat_epoch_error"))
+    related = F.col("_r") != "none"
     host = F.col("host_only") | ~related | (F.col("_e.verdict") == "disagrees")
     match = F.when(host, "host_match").when(F.col("_e.verdict") == "agrees", "signal_match").otherwise("period_only_match")
-    return r.withColumn("relation", F.col("_r.relation")).withColumn("epoch_verdict", F.col("_e.verdict")).withColumn("match", match).withColumn("kills", match == "signal_match").drop("_r", "_e")
+    return r.withColumn("relation", F.col("_r")).withColumn("epoch_verdict", F.col("_e.verdict")).withColumn("match", match).withColumn("kills", match == "signal_match").drop("_r", "_e")
 
 
 def adjudicate(related: DataFrame, key: str = "tic") -> DataFrame:
     """One verdict a star: planet signal, binary signal, binary host, variable, else unresolved; and conflicts."""
     of = lambda kinds: F.col("object_class").isin(*kinds)
     any_ = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
+    # a hash of the class keeps the aggregate in fixed-width buffers
+    matched = F.when(F.col("match") == "signal_match", F.xxhash64("object_class"))
     got = related.groupBy(key).agg(
         any_(F.col("kills") & of(PLANETS)).alias("_planet"),
         any_(F.col("kills") & of(BINARIES)).alias("_eb"),
         any_(of(BINARIES) & F.col("match").isin("host_match", "period_only_match")).alias("_host"),
         any_(of(VARIABLES) & F.col("match").isin("signal_match", "period_only_match")).alias("_var"),
         F.count(F.lit(1)).alias("rows"),
-        (F.size(F.collect_set(F.when(F.col("match") == "signal_match", F.col("object_class")))) > 1).alias("conflict"),
+        F.coalesce(F.min(matched) != F.max(matched), F.lit(False)).alias("conflict"),
     )
     status = F.when(F.col("_planet"), F.lit(None)).when(F.col("_eb"), "known_eb_rediscovery").when(F.col("_host"), "known_eb_host_residual_review").when(F.col("_var"), "known_variable_star_review").otherwise("unresolved_transit_like_signal")
     return got.select(key, "rows", status.alias("status"), F.col("_planet").alias("blocked"), "conflict")

@@ -19,15 +19,16 @@ def with_rank(df: DataFrame, status: str = "verdict") -> DataFrame:
     return df.join(F.broadcast(registry(df.sparkSession).withColumnRenamed("status", status)), status)
 
 
-def fold(evidence: DataFrame, key: str = "tic", status: str = "verdict", sequence: str = "evidence_id") -> DataFrame:
-    """The deciding row of each key: highest stage, then precedence, then the latest."""
-    row = F.max_by(F.struct(status, sequence, "kind"), F.struct("stage", "precedence", sequence)).alias("_r")
-    return with_rank(evidence.filter(F.col(status).isNotNull()), status).groupBy(key).agg(row).select(key, F.col(f"_r.{status}").alias("status"), F.col(f"_r.{sequence}").alias("decided_by"), F.col("_r.kind").alias("kind"))
+def fold(evidence: DataFrame, key: str = "tic", status: str = "verdict", sequence: str = "evidence_id", carry: tuple[str, ...] = ()) -> DataFrame:
+    """The deciding row of each key: highest stage, then precedence, then the latest; carry names further columns of it."""
+    row = F.max_by(F.struct(status, sequence, "kind", *carry), F.struct("stage", "precedence", sequence)).alias("_r")
+    got = with_rank(evidence.filter(F.col(status).isNotNull()), status).groupBy(key).agg(row)
+    return got.select(key, F.col(f"_r.{status}").alias("status"), F.col(f"_r.{sequence}").alias("decided_by"), F.col("_r.kind").alias("kind"), *(F.col(f"_r.{c}").alias(c) for c in carry))
 
 
-def state(evidence: DataFrame) -> DataFrame:
+def state(evidence: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """Fold over the rows that vote."""
-    return fold(evidence.filter("affects_state = 1"))
+    return fold(evidence.filter("affects_state = 1"), carry=carry)
 
 
 def append(store: DataFrame, new: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:

@@ -44,13 +44,16 @@ PAIRS = EPH + ", " + CAT + f", pairs AS (SELECT e.*, c.* FROM eph e JOIN cat c O
 
 
 def _pairs(s, d):
-    e = eph(s, d).withColumn("slot", F.col("host") % 500)
+    """Each candidate with the catalogue rows of its slot. Candidates are dealt by their key before they
+    become many rows, so pairs are made in all tasks and later groupings by the key move nothing."""
+    e = eph(s, d).withColumn("slot", F.col("host") % 500).repartition("tic")
     return e.join(cat(s, d), "slot")
 
 
 @query("period_relation", W + PAIRS + " SELECT tic, entry, CASE WHEN b.e <= 0.01::DOUBLE THEN b.n ELSE 'none' END AS relation, round(b.e, 6) AS error FROM rel")
 def period_relation(s, d):
-    return _pairs(s, d).withColumn("x", ep.period_relation("period", "cat_period")).select("tic", "entry", "x.relation", r("x.error").alias("error"))
+    x = ep.period_relation("period", "cat_period")
+    return _pairs(s, d).select("tic", "entry", x["relation"].alias("relation"), r(x["error"]).alias("error"))
 
 
 _FIVE = "[" + ", ".join(f"{{'e': abs(period - cat_period * {x!r}::DOUBLE) / (cat_period * {x!r}::DOUBLE), 'i': {i}}}" for i, x in enumerate((1.0, 0.5, 2.0, 1 / 3, 3.0))) + "]"

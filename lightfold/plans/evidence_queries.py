@@ -44,9 +44,7 @@ def verdict_counts(s, d):
 
 @query("status_by_signature", W + EVS + " SELECT coalesce(signature, 'unversioned') AS signature, status, count(*) AS n FROM state LEFT JOIN (SELECT evidence_id AS decided_by, signature FROM evid) USING (decided_by) GROUP BY 1, 2")
 def status_by_signature(s, d):
-    e = evid(s, d)
-    signed = e.select(F.col("evidence_id").alias("decided_by"), "signature")
-    return evidence.state(e).join(signed, "decided_by", "left").groupBy(F.coalesce("signature", F.lit("unversioned")).alias("signature"), "status").agg(F.count(F.lit(1)).alias("n"))
+    return evidence.state(evid(s, d), ("signature",)).groupBy(F.coalesce("signature", F.lit("unversioned")).alias("signature"), "status").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("status_by_lane", W + EVS + ", " + STAR + " SELECT coalesce(lane, 'unassigned') AS lane, status, count(*) AS n FROM state LEFT JOIN star USING (tic) GROUP BY 1, 2")
