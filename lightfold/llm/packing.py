@@ -36,9 +36,9 @@ from .tokens import END, VOCABULARY, encoder
 
 LENGTH = 2048
 SHARD = 4096
-ISLANDS = 3
+ISLANDS = 2
 EPOCHS = 3
-POPULATION = 4
+POPULATION = 3
 GENERATIONS = 8
 FULL = 0.995  # bins below this share are opened for the next level
 SEED = 11
@@ -128,22 +128,21 @@ def crossover(a: Packing, b: Packing, sizes: list[int], cap: int, rng: np.random
     ranked = sorted(range(len(b)), key=lambda i: -b[i][0])
     good = ranked[: max(1, len(ranked) // 2)]
     chosen = [good[i] for i in np.flatnonzero(rng.random(len(good)) < rng.uniform(0.2, 0.8))] or good[:1]
-    taken = np.zeros(len(sizes), bool)
+    taken = bytearray(len(sizes))
     bins, loose = Bins(cap), []
     for i in chosen:
         load, items = b[i]
-        taken[items] = True
+        for x in items:
+            taken[x] = 1
         bins.add(list(items), load)
-    for load, items in a:
-        hit = taken[items]
-        if not hit.any():
-            # now and then a poorly filled bin is opened too
-            if load < cap and rng.random() < 0.1:
-                loose += items
-            else:
-                bins.add(list(items), load)
+    opened = (rng.random(len(a)) < 0.1).tolist()
+    for (load, items), now in zip(a, opened):
+        left = [x for x in items if not taken[x]]
+        # now and then a poorly filled bin is opened too
+        if len(left) < len(items) or (now and load < cap):
+            loose += left
         else:
-            loose += [i for i, h in zip(items, hit) if not h]
+            bins.add(left, load)
     loose.sort(key=lambda i: (-sizes[i], i))
     return best_fit(sizes, loose, cap, bins)
 
