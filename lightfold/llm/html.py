@@ -10,7 +10,9 @@ whose blocks' parts are known: articles in many kinds of containers among menus,
 sidebars, notices, adverts, forms and reader comments. It is trained with a fixed seed; tests
 measure its accuracy on other generated pages and on given ones.
 
-Scripts, styles, comments, the head and templates never become blocks. Null or empty html gives
+Scripts, styles, comments, the head, drawings (svg), text areas and templates never become blocks;
+text inside noscript, object, iframe and math is read like any other. A script, style, title, text
+area or template left open takes the rest of the page. Null or empty html gives
 an empty text; a page is read to its end however long it is, tags left open end with their
 parent, and broken markup counts as text. Repeated pages get a row each; an empty table gives
 an empty result.
@@ -21,7 +23,7 @@ from __future__ import annotations
 import html
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +39,7 @@ EPOCHS = 7
 SEED = 17
 BLOCK = frozenset("address article aside blockquote body button center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title svg math iframe object".split())
+RAW = frozenset("script style template textarea title svg".split())
 FOREIGN = frozenset(("svg", "math"))  # the only ones that a closing slash ends
 #: What an opening tag closes: an open element of the same set, up to the nearest of the stops.
 CLOSES = {"p": ({"p"}, {"div", "article", "section", "td", "li", "blockquote", "body", "main", "aside"}), "li": ({"li", "p"}, {"ul", "ol", "menu"}), "td": ({"td", "th", "p"}, {"tr", "table"}), "th": ({"td", "th", "p"}, {"tr", "table"}), "tr": ({"tr", "td", "th", "p"}, {"table"}), "dt": ({"dt", "dd", "p"}, {"dl"}), "dd": ({"dt", "dd", "p"}, {"dl"}), "option": ({"option"}, {"select"})}
@@ -50,7 +52,7 @@ _ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))
 _NAME = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 _WORD = re.compile(r"\w+")
-_END = {n: re.compile(rf"</{n}\s*>", re.I) for n in RAW}
+_END = {n: re.compile(rf"</{n}\s*>", re.I) for n in RAW} | {"head": re.compile(r"</head\s*>|<body\b", re.I)}
 
 
 class _Tags:
@@ -99,40 +101,90 @@ class _Tags:
         return None
 
 
-def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, float]]:
+class Path:
+    """The open tags of a block, outermost first; what paths have in common is held once."""
+
+    __slots__ = ("above", "mark", "bits", "last")
+
+    def __init__(self, above: "Path | None" = None, mark: str = ""):
+        self.above, self.mark = above, mark
+        self.bits = above.bits if above else frozenset()  # buckets of all words of the path
+        self.last = -1  # bucket of the innermost tag
+        if mark:
+            more = {_bucket("t", w, PATH) for w in mark.split()}
+            self.bits = self.bits if more <= self.bits else self.bits | more
+            self.last = _bucket("last", mark.split(None, 1)[0], PATH)
+
+    def __iter__(self) -> Iterator[str]:
+        out, node = [], self
+        while node.above:
+            out.append(node.mark)
+            node = node.above
+        return reversed(out)
+
+    def __getitem__(self, i: int) -> str:
+        return tuple(self)[i]
+
+
+class _Open:
+    """The open tags of a page; closing one takes time for what it closes, not for what stays open."""
+
+    def __init__(self):
+        self.names: list[str] = []
+        self.paths = [Path()]
+        self.places: dict[str, list[int]] = {}
+
+    def push(self, name: str, mark: str) -> None:
+        self.places.setdefault(name, []).append(len(self.names))
+        self.names.append(name)
+        self.paths.append(Path(self.paths[-1], mark) if name in BLOCK or name == "a" else self.paths[-1])
+
+    def top(self, names: Iterable[str]) -> int:
+        """Place of the innermost open tag of these names, -1 if there is none."""
+        return max((self.places[n][-1] for n in names if self.places.get(n)), default=-1)
+
+    def cut(self, place: int) -> None:
+        while len(self.names) > place:
+            self.places[self.names.pop()].pop()
+            self.paths.pop()
+
+    def within(self, name: str) -> bool:
+        return bool(self.places.get(name))
+
+
+def blocks(page: str | None) -> list[tuple[Path, str, float]]:
     """(path, text, share of the text inside links) of each leaf block, in page order."""
     page = page or ""
-    out: list[tuple[tuple[str, ...], str, float]] = []
-    stack: list[tuple[str, str]] = []  # tag, its words
+    out: list[tuple[Path, str, float]] = []
+    opened = _Open()
     texts: list[str] = []
-    linked, links = 0, 0
-    path: tuple[str, ...] | None = None
-
-    def where() -> tuple[str, ...]:
-        return tuple(x for t, x in stack if t in BLOCK or t == "a")
+    linked, spoken = 0, False
+    path = opened.paths[-1]
 
     def close() -> None:
-        nonlocal texts, linked
-        if texts:
+        nonlocal texts, linked, spoken
+        if spoken:
             t = _SPACE.sub(" ", "".join(texts)).strip()
-            if t:
-                out.append((path or (), t, min(1.0, linked / max(1, len(t)))))
-        texts, linked = [], 0
+            out.append((path, t, min(1.0, linked / max(1, len(t)))))
+        texts, linked, spoken = [], 0, False
 
     def say(raw: str) -> None:
-        nonlocal path, linked
+        nonlocal path, linked, spoken
         if not raw:
             return
         t = html.unescape(raw) if "&" in raw else raw
-        if not texts or not any(x.strip() for x in texts):
-            path = where()
+        if not spoken:
+            path = opened.paths[-1]
         texts.append(t)
-        if links:
-            linked += len(t.strip())
+        size = len(t.strip())
+        spoken = spoken or size > 0
+        if opened.within("a"):
+            linked += size
 
     at = 0
     size = len(page)
     tags = _Tags(page)
+    endless: set[str] = set()  # names of which no end is left
     while at < size:
         tag = tags.after(at)
         if not tag:
@@ -146,45 +198,37 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, float]]:
         if slash:
             if name in BLOCK:
                 close()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    links -= sum(t == "a" for t, _ in stack[i:])
-                    del stack[i:]
-                    break
+            if opened.within(name):
+                opened.cut(opened.top((name,)))
             continue
         if name == "br":
             say(" ")
             continue
         if name in FOREIGN and given.endswith("/") and not _BARE.search(given):
             continue
-        if name in RAW:
-            end = _END[name].search(page, at)
-            at = end.end() if end else size
-            continue
-        if name == "head":
-            end = re.compile(r"</head\s*>|<body\b", re.I).search(page, at)
+        if name in RAW or name == "head":
+            end = None if name in endless else _END[name].search(page, at)
             if end:
-                at = end.start()
+                at = end.start() if name == "head" else end.end()
+                continue
+            endless.add(name)
+            if name in RAW and name not in FOREIGN:
+                break
             continue
         if name in BLOCK:
             close()
             if name in CLOSES:
                 shut, stop = CLOSES[name]
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] in stop:
-                        break
-                    if stack[i][0] in shut:
-                        links -= sum(t == "a" for t, _ in stack[i:])
-                        del stack[i:]
-                        break
+                place = opened.top(shut)
+                if place > opened.top(stop):
+                    opened.cut(place)
         if name not in VOID:
             mark = name
             if given:
                 said = " ".join(x for a in _ATTR.findall(given) for x in a[1:] if x).lower()
                 if said:
                     mark += " " + " ".join(_NAME.findall(said))
-            stack.append((name, mark))
-            links += name == "a"
+            opened.push(name, mark)
     close()
     return out
 
@@ -202,18 +246,15 @@ def _bucket(kind: str, word: str, n: int) -> int:
     return got
 
 
-def features(found: list[tuple[tuple[str, ...], str, float]]) -> np.ndarray:
+def features(found: list[tuple[Path, str, float]]) -> np.ndarray:
     """One row a block: hashed tag path, hashed words, counts."""
     out = np.zeros((len(found), PATH + WORDS + COUNTS), np.float32)
     n = len(found)
-    known: dict[str, list[int]] = {}
     for i, (path, text, linked) in enumerate(found):
-        for depth, mark in enumerate(path):
-            if mark not in known:
-                known[mark] = sorted({_bucket("t", w, PATH) for w in mark.split()})
-            out[i, known[mark]] = 1.0
-            if depth >= len(path) - 1:
-                out[i, _bucket("last", mark.split(None, 1)[0], PATH)] += 0.5
+        if path:
+            out[i, list(path.bits)] = 1.0
+            if path.last >= 0:
+                out[i, path.last] += 0.5
         words = _WORD.findall(text.lower())
         if words:
             out[i, PATH : PATH + WORDS] = np.bincount([_bucket("w", w, WORDS) for w in words], minlength=WORDS) / len(words)

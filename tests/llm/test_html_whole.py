@@ -39,3 +39,66 @@ def test_broken_tags_take_linear_time(part):
     began = time.time()
     html.blocks(part * 60_000 + '"')
     assert time.time() - began < 8
+
+
+@pytest.mark.parametrize("part", ["<div>x", "<b> </b>", "</i>", "<b>x", "<head>", "<svg>", "<b><p></p>", "<div>x</i>", "<li><b>"])
+def test_deep_pages_take_linear_time(part):
+    began = time.time()
+    found = html.blocks(part * 20_000)
+    assert html.features(found).shape[0] == len(found)
+    assert time.time() - began < 8
+
+
+def test_open_tags_are_closed_as_by_a_plain_scan():
+    """The places of open tags against a scan of the whole stack, on random markup."""
+    names = ["div", "p", "b", "li", "ul", "td", "tr", "table", "a", "i"]
+
+    def plain(parts):
+        stack, out = [], []
+        for part in parts:
+            if part == "x":
+                out.append(tuple(t for t in stack if t in html.BLOCK or t == "a"))
+                continue
+            name = part.strip("</>")
+            if part[1] == "/":
+                for i in range(len(stack) - 1, -1, -1):
+                    if stack[i] == name:
+                        del stack[i:]
+                        break
+                continue
+            shut, stop = html.CLOSES.get(name, ((), ()))
+            for i in range(len(stack) - 1, -1, -1):
+                if stack[i] in stop:
+                    break
+                if stack[i] in shut:
+                    del stack[i:]
+                    break
+            stack.append(name)
+        return out
+
+    rng = np.random.default_rng(3)
+    for _ in range(500):
+        parts = []
+        for _ in range(40):
+            name = names[rng.integers(len(names))]
+            parts += [f"</{name}>" if rng.random() < 0.4 else f"<{name}>", "x"]
+        opened, got = html._Open(), []
+        for part in parts:
+            name = part.strip("</>")
+            if part == "x":
+                got.append(tuple(opened.paths[-1]))
+            elif part[1] == "/":
+                if opened.within(name):
+                    opened.cut(opened.top((name,)))
+            else:
+                shut, stop = html.CLOSES.get(name, ((), ()))
+                if opened.top(shut) > opened.top(stop):
+                    opened.cut(opened.top(shut))
+                opened.push(name, name)
+        assert got == plain(parts)
+
+
+def test_text_inside_other_elements_is_kept():
+    page = "<article><p>a <noscript>n</noscript> b <math><mi>x</mi></math> <object>o</object></p></article>"
+    assert texts(page) == ["a n b x o"]
+    assert texts("<p>one</p><svg><p>two</p>") == ["one", "two"]
