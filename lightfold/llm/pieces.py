@@ -59,6 +59,11 @@ def uniform(key: np.ndarray, n: np.ndarray) -> np.ndarray:
     return (_mix(start + (n.astype(np.uint64) + _U(1)) * _U(_BASE)) >> _U(11)).astype(np.float64) * 2.0**-53
 
 
+def own_keys(key: int, order: np.ndarray) -> np.ndarray:
+    """A key for each chunk of a row; mixed twice, so that no step in order makes up for one in key."""
+    return _mix(_mix(np.full(len(order), key % 2**64, np.uint64)) + order.astype(np.uint64) + _U(1))
+
+
 class Lattice:
     """Vocabulary and weights."""
 
@@ -280,7 +285,7 @@ class Lattice:
                 at += x / total
                 cum.append(at)
             edges.append((cum, here))
-        us = uniform(np.full(n, (key * 31 + order + 1) % 2**64, np.uint64), np.arange(n))
+        us = uniform(own_keys(key, np.full(n, order)), np.arange(n))
         parts, j, step = [], n, 0
         while j:
             cum, here = edges[j - 1]

@@ -357,6 +357,11 @@ def test_differencing_balances_and_chunks_agree(spark):
 # ---- 6 pieces
 
 
+def test_long_chunks_of_rows_have_numbers_of_their_own():
+    keys = np.concatenate([pieces.own_keys(k, np.arange(200)) for k in range(-100, 100)])
+    assert len(np.unique(keys)) == len(keys)
+
+
 def test_pieces_round_trip_and_do_not_depend_on_batches(docs, none):
     got = pieces.digest(docs).collect()
     assert all(r["lossless"] for r in got) and len(got) == len(awkward())
