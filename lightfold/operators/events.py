@@ -108,3 +108,32 @@ def injected(lc: DataFrame, eph: DataFrame, key: str = "star") -> DataFrame:
     """lc with a box dip of the ephemeris' depth."""
     hit = folded_offset("t", "period", "epoch") <= F.col("duration") / 2
     return lc.join(eph, key).select(key, "t", (F.col("y") - F.when(hit, F.col("depth")).otherwise(0.0)).alias("y"))
+
+
+def odd_even_sigma(depths: DataFrame, key: str = "star") -> DataFrame:
+    """odd_even_sigma: difference of the median depths of odd and even events over its robust error.
+
+    Null where one of them has fewer than two events, or where there is no scatter.
+    """
+    from .series import mad
+
+    m = mad(depths.withColumn("_odd", F.pmod(F.col("cycle"), F.lit(2)) == 1), [key, "_odd"], "depth").filter("n >= 2")
+    m = m.select(key, "_odd", "median", (F.col("scatter") / F.sqrt("n")).alias("e"))
+    both = m.filter("_odd").select(key, F.col("median").alias("_mo"), F.col("e").alias("_eo")).join(m.filter("NOT _odd").select(key, F.col("median").alias("_me"), F.col("e").alias("_ee")), key)
+    error = F.sqrt(F.col("_eo") * F.col("_eo") + F.col("_ee") * F.col("_ee"))
+    return both.select(key, F.when(error > 0, F.abs(F.col("_mo") - F.col("_me")) / error).alias("odd_even_sigma"))
+
+
+def secondary_screen(lc: DataFrame, eph: DataFrame, key: str = "star") -> DataFrame:
+    """secondary_depth and secondary_snr half a period from the events, against all points within neither.
+
+    Needs three points there and twenty elsewhere; no S/N without scatter.
+    """
+    from .series import mad
+
+    p = placed(lc, eph, key).withColumn("_away", F.abs(F.col("offset") - F.col("period") / 2))
+    half = F.col("duration") / 2
+    at = p.filter(F.col("_away") <= half).groupBy(key).agg(F.median("y").alias("_level"), F.count(F.lit(1)).alias("_k")).filter("_k >= 3")
+    base = mad(p.filter((F.col("_away") > half) & (F.col("offset") > half)), [key], "y").filter("n >= 20")
+    depth = F.col("median") - F.col("_level")
+    return at.join(base, key).select(key, depth.alias("secondary_depth"), F.when(F.col("scatter") > 0, depth / (F.col("scatter") / F.sqrt("_k"))).alias("secondary_snr"))

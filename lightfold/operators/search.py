@@ -1,10 +1,7 @@
-"""Box searches over period grids, as relations for small grids and as Arrow kernels for large ones."""
+"""Box powers over one small grid of periods as a relation, and what is derived from powers."""
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,77 +35,12 @@ def best_box(powers: DataFrame, key: str = "star", digits: int = 9) -> DataFrame
     return powers.groupBy(key).agg(row).select(key, "_b.*")
 
 
-def periodogram(t: np.ndarray, y: np.ndarray, periods: np.ndarray, durations: np.ndarray, oversample: int = 10) -> pd.DataFrame:
-    """For each period the strongest box over all durations and phases."""
-    out = np.zeros((len(periods), 4))
-    side = durations.min() / oversample
-    widths = np.unique(np.maximum(1, np.floor(durations / side + 0.5).astype(int)))
-    total, n = y.sum(), len(y)
-    for i, p in enumerate(periods):
-        bins = max(int(math.ceil(p / side)), widths.max() + 1)
-        at = np.minimum((np.mod(t, p) / p * bins).astype(int), bins - 1)
-        k, s = np.bincount(at, minlength=bins), np.bincount(at, weights=y, minlength=bins)
-        ck, cs = (np.concatenate(([0], np.cumsum(np.concatenate((x, x[: widths.max()]))))) for x in (k, s))
-        best = (-1.0, 0.0, 0.0, 0.0)
-        for w in widths:
-            kin, sin = ck[w : w + bins] - ck[:bins], cs[w : w + bins] - cs[:bins]
-            ok = (kin > 0) & (kin < n)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                depth = (total - sin) / (n - kin) - sin / kin
-                power = np.where(ok & (depth > 0), 0.5 * depth**2 / (1 / kin + 1 / (n - kin)), -1.0)
-            j = int(power.argmax())
-            if power[j] > best[0]:
-                best = (float(power[j]), float(depth[j]), w * side, (j + w / 2) / bins * p)
-        out[i] = best
-    return pd.DataFrame({"period": periods, "power": out[:, 0], "depth": out[:, 1], "duration": out[:, 2], "epoch": out[:, 3]})
-
-
-def periodograms(lc: DataFrame, low: float, high: float, count: int, durations: list[float], key: str = "star") -> DataFrame:
-    """Periodograms of whole series, one Arrow group a star."""
-    periods = 1 / np.linspace(1 / low, 1 / high, count)
-
-    def one(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t")
-        out = periodogram(pdf["t"].to_numpy(), pdf["y"].to_numpy(), periods, np.array(durations))
-        out.insert(0, key, k[0])
-        return out
-
-    kind = lc.schema[key].dataType.simpleString()
-    return lc.select(key, "t", "y").groupBy(key).applyInPandas(one, f"{key} {kind}, period double, power double, depth double, duration double, epoch double")
-
-
 def detection_efficiency(powers: DataFrame, key: str = "star") -> DataFrame:
     """(max - mean) / population deviation of each star's powers."""
     p = powers.filter(~F.isnan("power"))
     return p.groupBy(key).agg(F.when(F.stddev_pop("power") > 0, (F.max("power") - F.avg("power")) / F.stddev_pop("power")).alias("sde"))
 
 
-def independent_peaks(periods: list[float], powers: list[float], separation: float, count: int) -> list[int]:
-    """Greedy peaks: strongest first, none within separation of one already kept; ties by place."""
-    kept: list[int] = []
-    for i in sorted(range(len(powers)), key=lambda i: (-powers[i], i)):
-        if all(abs(periods[i] - periods[k]) > separation * periods[k] for k in kept):
-            kept.append(i)
-            if len(kept) == count:
-                break
-    return kept
-
-
-def top_peaks(powers: DataFrame, separation: float, count: int, near: float | None = None, key: str = "star", period: str = "period") -> DataFrame:
-    """Independent peaks of each star with their rank; with near, only those within that share of the best."""
-
-    def one(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["power", period], ascending=[False, True]).reset_index(drop=True)
-        if near is not None and len(pdf):
-            pdf = pdf[pdf["power"] >= pdf["power"].iloc[0] * (1 - near)]
-        keep = independent_peaks(pdf[period].tolist(), pdf["power"].tolist(), separation, count)
-        got = pdf.iloc[keep]
-        return pd.DataFrame({key: k[0], "peak": np.arange(1, len(got) + 1), period: got[period].to_numpy(), "power": got["power"].to_numpy()})
-
-    kind = powers.schema[key].dataType.simpleString()
-    return powers.select(key, period, "power").groupBy(key).applyInPandas(one, f"{key} {kind}, peak long, {period} double, power double")
-
-
 def without_overlap(events: DataFrame, start: str, stop: str, score: str, most: int, key: str = "star") -> DataFrame:
     """Events kept by falling score when they overlap none kept before, `most` a star."""
 
@@ -141,27 +73,6 @@ def harmonic_powers(powers: DataFrame, best: DataFrame, window: float = 0.005, k
     return near.groupBy(key, F.col("m.name").alias("harmonic")).agg((F.max("power") / F.first("_w")).alias("share"))
 
 
-def alias_ladder(lc: DataFrame, eph: DataFrame, noise: DataFrame, ratios: tuple[float, ...], margin: float = 1.1, key: str = "star") -> DataFrame:
-    """Each star's period or the alias of it that its series supports clearly better.
-
-    Every ratio is tried as an ephemeris of its own (a few a star); the score is S/N times the share
-    of possible events that were seen. A change needs margin times the reported score.
-    """
-    from .events import ephemeris_support
-
-    tried = eph.select(key, F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(float(r)).alias("r")) for i, r in enumerate(ratios)))).alias("x"), "period", "epoch", "duration")
-    tried = tried.select(F.concat_ws("|", F.col(key).cast("string"), F.col("x.i").cast("string")).alias("_id"), key, F.col("x.r").alias("ratio"), (F.col("period") * F.col("x.r")).alias("period"), "epoch", "duration").filter(F.col("period") > 2 * F.col("duration"))
-    series = lc.join(tried.select(key, "_id"), key).select("_id", "t", "y")
-    level = tried.select("_id", key).join(noise.select(key, "noise"), key).select("_id", "noise")
-    got = ephemeris_support(series, tried.select("_id", "period", "epoch", "duration"), level, key="_id")
-    span = lc.groupBy(key).agg((F.max("t") - F.min("t")).alias("span"))
-    s = got.join(tried, "_id").join(span, key).withColumn("score", F.greatest(F.lit(0.0), F.col("snr")) * F.least(F.lit(1.0), F.col("events") / F.greatest(F.lit(1.0), F.floor(F.col("span") / F.col("period")))))
-    own = s.filter("ratio = 1.0").select(key, F.col("score").alias("own"))
-    best = s.groupBy(key).agg(F.max_by(F.struct("ratio", "period", "score"), F.struct("score", -F.abs(F.log("ratio")))).alias("b"))
-    out = best.join(own, key).withColumn("changed", F.col("b.score") > margin * F.col("own"))
-    return out.select(key, F.when(F.col("changed"), F.col("b.ratio")).otherwise(1.0).alias("ratio"), "changed", "own", F.col("b.score").alias("best"))
-
-
 def sensitivity(lc: DataFrame, noise: DataFrame, periods: list[float], depths: list[float], duration: float, least_snr: float, key: str = "star") -> DataFrame:
     """The smallest depth that would be seen at each period: in-event points and noise fix the S/N of a box."""
     p = F.explode(F.array(*map(F.lit, periods))).alias("period")

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..config import ALIAS_RATIOS
 from ..functions import text
 from ..operators import calibration, review, search, series
 from .views import CAT, EPH, EVS, LC, cat, eph, evid, lc, query, r, star_eph, table
@@ -186,12 +185,6 @@ def alias_split(s, d):
     return table(s, d, "part").select(F.col("p_partkey").alias("k"), F.array_join(names, "|").alias("names"))
 
 
-@query("alias_ladder")
-def alias_ladder(s, d):
-    x = lc(s, d)
-    return search.alias_ladder(x, star_eph(s, d), series.point_noise(x), ALIAS_RATIOS)
-
-
 @query("sensitivity", W + LC + ", d AS (SELECT star, y - lag(y) OVER (PARTITION BY star ORDER BY t) AS dy FROM lc), noise AS (SELECT star, 1.4826 * mad(dy) / sqrt(2.0::DOUBLE) AS noise FROM d WHERE dy IS NOT NULL GROUP BY star), p AS (SELECT unnest([1.5, 2.5, 4.0])::DOUBLE AS period), n AS (SELECT star, period, count(*) FILTER (abs(((t + period / 2) - period * floor((t + period / 2) / period)) - period / 2) <= 0.15::DOUBLE) AS n_in FROM lc, p GROUP BY star, period), q AS (SELECT unnest([10.0, 30.0, 60.0, 120.0])::DOUBLE AS depth) SELECT star, period, min(depth) FILTER (n_in >= 3 AND noise > 0 AND depth / noise * sqrt(n_in) >= 7.1::DOUBLE) AS depth FROM n JOIN noise USING (star), q GROUP BY star, period")
 def sensitivity(s, d):
     x = lc(s, d)

@@ -160,29 +160,6 @@ def lc_detection_efficiency(s, d):
     return search.detection_efficiency(p).select("star", r("sde", 5).alias("sde"))
 
 
-@query("lc_bls_kernel")
-def lc_bls_kernel(s, d):
-    p = search.periodograms(lcc(s, d), 1.0, 6.0, 60, [0.1, 0.2, 0.4])
-    return p.groupBy("star").agg(F.max_by(F.struct("period", "power", "depth", "duration", "epoch"), "power").alias("b")).select("star", "b.*")
-
-
-@query("lc_peaks")
-def lc_peaks(s, d):
-    return search.top_peaks(search.periodograms(lcc(s, d), 1.0, 6.0, 60, [0.1, 0.2, 0.4]), 0.02, 20)
-
-
-@query("lc_near_ties")
-def lc_near_ties(s, d):
-    return search.top_peaks(search.periodograms(lcc(s, d), 1.0, 6.0, 60, [0.1, 0.2, 0.4]), 0.02, 5, near=0.2)
-
-
-@query("lc_harmonic_powers")
-def lc_harmonic_powers(s, d):
-    p = search.periodograms(lcc(s, d), 1.0, 6.0, 60, [0.1, 0.2, 0.4])
-    best = p.groupBy("star").agg(F.max_by("period", "power").alias("period"), F.max("power").alias("power"))
-    return search.harmonic_powers(p, best, 0.05)
-
-
 @query("lc_detrend_biweight")
 def lc_detrend_biweight(s, d):
     return kernels.detrended(lc(s, d), 3.0, 2.0).groupBy("star").agg(F.count(F.lit(1)).alias("n"), F.median("y").alias("mid"))

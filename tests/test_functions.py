@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lightfold.functions import ephemeris as ep
 from lightfold.functions import sky, tails, text
-from lightfold.operators import calibration, kernels, ranking, search
+from lightfold.operators import boxsearch, calibration, kernels, ranking
 
 
 def test_tails():
@@ -49,8 +49,10 @@ def test_text(spark):
     assert r["s"] == [5, 36, 37] and r["c"] == "s3-camunknown-ccd2" and r["d"] is None and r["l"] == "Known eb host"
 
 
-def test_fold_and_peaks():
-    assert search.independent_peaks([1.0, 1.01, 2.0], [3.0, 2.9, 1.0], 0.02, 5) == [0, 2]
+def test_peaks_and_points(spark):
+    rows = [(1, g, p, w) for g, (p, w) in enumerate([(1.0, 3.0), (1.01, 2.9), (2.0, 1.0)])]
+    got = boxsearch.distinct_peaks(spark.createDataFrame(rows, "star long, grid long, period double, power double"), 0.02, 5)
+    assert [r["grid"] for r in got.orderBy("rank").collect()] == [0, 2]
     assert ranking.farthest_points(np.array([[0.0], [1.0], [10.0], [11.0]]), 2) == [0, 3]
 
 
@@ -59,9 +61,10 @@ def test_periodogram_finds_a_box():
     t = np.arange(0, 27, 10 / 1440)
     y = 1 + rng.normal(0, 5e-4, len(t))
     y[np.abs((t - 1.0 + 1.5) % 3.0 - 1.5) < 0.06] -= 0.003
-    p = search.periodogram(t, y, 1 / np.linspace(1 / 1.5, 1 / 5.0, 3000), np.array([0.08, 0.12, 0.2]))
-    best = p.loc[p["power"].idxmax()]
-    assert abs(best["period"] - 3.0) < 0.02 and abs(best["depth"] - 0.003) < 0.0008
+    periods = 1 / np.linspace(1 / 1.5, 1 / 5.0, 3000)
+    found = [boxsearch.scan(*boxsearch.fold(t, y - 1, p, 0.008), len(t), (y - 1).sum(), 5e-4, [10, 15, 25]) for p in periods]
+    best = int(np.argmax([f[0] for f in found]))
+    assert abs(periods[best] - 3.0) < 0.02 and abs(found[best][1] - 0.003) < 0.0008
 
 
 def test_trends():
