@@ -6,12 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import POPULATION, VETOES
-from ..functions.ephemeris import folded_offset, phase_offset, transit_times
-from ..functions.sky import separation_deg
+from ..functions.ephemeris import folded_offset, transit_times
 from ..functions.tails import binomial_upper, poisson_upper
 from .islands import integer_runs
-from .joins import band_join
 from .series import mad
+from .sweep import sharers
 
 BIN_DAYS = POPULATION.bin_minutes / 1440.0
 
@@ -47,25 +46,19 @@ def artifact_bins(counts: DataFrame, keys: list[str], significance: float, stars
 
 
 def shared_ephemerides(eph: DataFrame, campaign: list[str], key: str = "tic") -> DataFrame:
-    """For each fit: fits of other stars with its period (within 2 %) and phase, cameras, spread, verdict."""
-    tol = F.greatest(F.lit(0.02), F.col("duration_h") / 48.0)
-    other = eph.select(*campaign, F.col(key).alias("o_key"), F.col("period").alias("o_period"), F.col("epoch").alias("o_epoch"), F.col("camera").alias("o_camera"), F.col("ra").alias("o_ra"), F.col("dec").alias("o_dec"))
-    pairs = band_join(eph, other, campaign, "period", "o_period", 0.02).filter(F.col("o_key") != F.col(key))
-    share = F.abs(phase_offset("epoch", "o_epoch", "period")) <= tol
-    got = pairs.groupBy(*campaign, key).agg(
-        F.count(F.lit(1)).alias("neighbours"),
-        F.count_if(share).alias("sharers"),
-        F.collect_set(F.when(share, F.col("o_camera"))).alias("_cams"),
-        F.max(F.when(share, separation_deg("ra", "dec", "o_ra", "o_dec"))).alias("spread"),
-    )
-    size = eph.groupBy(*campaign).agg(F.count(F.lit(1)).alias("size"))
-    e = eph.join(got, [*campaign, key], "left").join(size, campaign).na.fill(0, ["neighbours", "sharers"])
-    cams = F.size(F.array_distinct(F.concat(F.coalesce("_cams", F.array().cast("array<int>")), F.array("camera"))))
-    expected = F.col("neighbours") * F.least(F.lit(1.0), 2 * tol / F.col("period"))
-    e = e.withColumn("expected", expected).withColumn("cameras", cams).withColumn("enrichment", F.when(F.col("expected") > 0, F.col("sharers") / F.col("expected")))
+    """For each fit: fits of other stars with its period (within 2 %) and phase, their detectors and spread, verdict.
+
+    Fits are compared tile by tile, so rows grow with the fits even where one period is everybody's.
+    """
+    ccd = F.col("ccd") if "ccd" in eph.columns else F.lit(None)
+    fits = eph.select(*campaign, key, "period", "epoch", "duration_h", F.col("camera").cast("long").alias("camera"), ccd.cast("long").alias("ccd"), "ra", "dec", F.greatest(F.lit(0.02), F.col("duration_h") / 48.0).alias("tolerance"))
+    e = sharers(fits, campaign, 0.02, key=key).join(eph.groupBy(*campaign).agg(F.count(F.lit(1)).alias("size")), campaign)
+    e = e.withColumn("expected", F.col("neighbours") * F.least(F.lit(1.0), 2 * F.col("tolerance") / F.col("period")))
+    e = e.withColumn("enrichment", F.when(F.col("expected") > 0, F.col("sharers") / F.col("expected")).otherwise(F.col("sharers").cast("double")))
+    e = e.withColumn("cameras", F.bit_count("cameras")).withColumn("detectors", F.bit_count("detectors"))
     flagged = (F.col("sharers") >= POPULATION.shared) & (F.col("sharers") / (F.col("size") - 1) >= POPULATION.fraction) & (F.col("enrichment") >= POPULATION.enrichment)
     verdict = F.when(~F.coalesce(flagged, F.lit(False)), "independent_timing").when((F.col("cameras") >= 2) | (F.col("spread") >= POPULATION.spread_deg), "common_mode_systematic").otherwise("localized_coincidence")
-    return e.select(*campaign, key, "neighbours", "sharers", "cameras", "expected", "enrichment", verdict.alias("verdict"))
+    return e.select(*campaign, key, "neighbours", "sharers", "cameras", "detectors", "spread", "expected", "enrichment", verdict.alias("verdict"))
 
 
 def instant_bins(eph: DataFrame, campaign: list[str], width: float = BIN_DAYS, key: str = "tic") -> tuple[DataFrame, DataFrame]:

@@ -8,7 +8,7 @@ from ..config import ALIAS_NAMES, ALIAS_RATIOS, ORBIT_DAYS, ORBIT_RATIOS
 from ..functions import ephemeris as ep
 from ..functions import sky as sk
 from ..functions import text
-from ..operators import calibration, catalogue, joins, pixels, population, screening
+from ..operators import calibration, catalogue, joins, pixels, population, screening, sweep
 from .views import CAT, EPH, LC, SKY, cat, eph, haversine_sql, lc, query, r, sky, table
 
 W = "WITH "
@@ -256,14 +256,30 @@ def context_cascade(s, d):
 
 # ---- population screens over fits
 
-SHARED = EPH + f""", o AS (SELECT campaign, tic, period, epoch, camera, ra, dec FROM eph), pr AS (SELECT e.campaign, e.tic, e.period, greatest(0.02::DOUBLE, e.duration_h / 48) AS tol, {mod('o.epoch - e.epoch', 'e.period')} AS ph, o.camera AS oc, {haversine_sql('e.ra', 'e.dec', 'o.ra', 'o.dec')} AS sep
+SHARED = EPH + f""", o AS (SELECT campaign, tic, period, epoch, camera, ccd, ra, dec FROM eph), pr AS (SELECT e.campaign, e.tic, e.period, greatest(0.02::DOUBLE, e.duration_h / 48) AS tol, {mod('o.epoch - e.epoch', 'e.period')} AS ph, o.camera AS oc, o.ccd AS od, {haversine_sql('e.ra', 'e.dec', 'o.ra', 'o.dec')} AS sep
 FROM eph e JOIN o ON e.campaign = o.campaign AND o.period BETWEEN e.period * (1 - 0.02::DOUBLE) AND e.period * (1 + 0.02::DOUBLE) AND o.tic <> e.tic),
-ps AS (SELECT *, abs(CASE WHEN ph > period / 2 THEN ph - period ELSE ph END) <= tol AS share FROM pr), g AS (SELECT campaign, tic, count(*) AS neighbours, count(*) FILTER (share) AS sharers FROM ps GROUP BY ALL)"""
+ps AS (SELECT *, abs(CASE WHEN ph > period / 2 THEN ph - period ELSE ph END) <= tol AS share FROM pr), g AS (SELECT campaign, tic, count(*) AS neighbours, count(*) FILTER (share) AS sharers, count(DISTINCT oc) FILTER (share) AS cameras, count(DISTINCT oc * 4 + od) FILTER (share) AS detectors, max(sep) FILTER (share) AS spread, list(sep ORDER BY sep) FILTER (share) AS seps FROM ps GROUP BY ALL)"""
 
 
-@query("shared_ephemeris", W + SHARED + " SELECT e.campaign, e.tic, coalesce(neighbours, 0) AS neighbours, coalesce(sharers, 0) AS sharers, round(coalesce(neighbours, 0) * least(1, 2 * greatest(0.02::DOUBLE, duration_h / 48) / period), 6) AS expected FROM eph e LEFT JOIN g ON e.tic = g.tic AND e.campaign = g.campaign")
+_JUDGED = """j AS (SELECT e.campaign, e.tic, coalesce(neighbours, 0) AS neighbours, coalesce(sharers, 0) AS sharers, coalesce(cameras, 0) AS cameras, coalesce(detectors, 0) AS detectors, spread, coalesce(neighbours, 0) * least(1, 2 * greatest(0.02::DOUBLE, duration_h / 48) / period) AS expected, count(*) OVER (PARTITION BY e.campaign) AS size FROM eph e LEFT JOIN g ON e.tic = g.tic AND e.campaign = g.campaign),
+k AS (SELECT *, CASE WHEN expected > 0 THEN sharers / expected ELSE sharers END AS enrichment FROM j)"""
+
+
+@query("shared_ephemeris", W + SHARED + ", " + _JUDGED + """ SELECT campaign, tic, neighbours, sharers, cameras::INT AS cameras, detectors::INT AS detectors, round(spread, 6) AS spread, round(expected, 6) AS expected, round(enrichment, 5) AS enrichment,
+CASE WHEN NOT (sharers >= 10 AND sharers / (size - 1) >= 0.005::DOUBLE AND enrichment >= 10) THEN 'independent_timing' WHEN cameras >= 2 OR spread >= 1 THEN 'common_mode_systematic' ELSE 'localized_coincidence' END AS verdict FROM k""")
 def shared_ephemeris(s, d):
-    return population.shared_ephemerides(eph(s, d), ["campaign"]).select("campaign", "tic", "neighbours", "sharers", r("expected").alias("expected"))
+    got = population.shared_ephemerides(eph(s, d), ["campaign"])
+    return got.select("campaign", "tic", "neighbours", "sharers", "cameras", "detectors", r("spread").alias("spread"), r("expected").alias("expected"), r("enrichment", 5).alias("enrichment"), "verdict")
+
+
+@query("shared_separation", W + SHARED + " SELECT campaign, tic, sharers, round(seps[sharers // 2 + 1], 4) AS median FROM g WHERE sharers > 0")
+def shared_separation(s, d):
+    """The upper median of the separations from a fit's sharers, without a row a pair."""
+    e = eph(s, d)
+    fits = e.select("campaign", "tic", "period", "epoch", F.col("camera").cast("long").alias("camera"), F.col("ccd").cast("long").alias("ccd"), "ra", "dec", F.greatest(F.lit(0.02), F.col("duration_h") / 48.0).alias("tolerance"))
+    shared = sweep.sharers(fits, ["campaign"], 0.02)
+    return sweep.median_separation(shared).join(shared, "rank").select("campaign", "tic", "sharers", r("median", 4).alias("median"))
+
 
 
 INST = EPH + f""", sp AS (SELECT campaign, min(epoch) AS low, max(epoch) AS high, sum(least(1, {population.BIN_DAYS!r}::DOUBLE / period)) AS expected FROM eph GROUP BY campaign),
