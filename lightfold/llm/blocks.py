@@ -1,9 +1,10 @@
 """Comparing the members of index cells without gathering a hot cell in one task.
 
-A cell with at most BLOCK members is one group. A larger one is dealt into blocks by a hash of
-the node, and each pair of blocks becomes a group of its own, so that every pair of members
-still meets, in tasks of bounded size. What a group returns is a spanning forest of the links
-found in it (fewer edges than members), never its pairs.
+A cell with at most BLOCK members is one group. A larger one is dealt into packs by a hash of
+the node: a pack is one row of some thousands of members, and pairs of packs meet, so that every
+pair of members does, in tasks of bounded size and without rows that grow with the square of
+the members. What a group returns is a spanning forest of the links found in it (fewer edges
+than members), never its pairs.
 """
 
 from __future__ import annotations
@@ -12,24 +13,54 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLOCK = 1024
+PACK = 4096
 
 
-def pair_up(rows: DataFrame, cell: str, node: str, block: int = BLOCK, all_pairs: bool = True) -> DataFrame:
-    """Rows of cells with two members or more, with the block pair (p, q) that they are compared in.
+def counted(rows: DataFrame, cell: str) -> DataFrame:
+    """rows of cells with two members or more, with the cell's size n; sizes are partial aggregates, so no cell passes one task."""
+    n = rows.groupBy(cell).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return rows.join(n, cell)
 
-    own tells whether the row belongs to block p (0) or q (1); both are 0 where p = q.
+
+def packs(rows: DataFrame, cell: str, size: int = PACK) -> DataFrame:
+    """Members of cells (counted; node, vector and further longs) dealt into packs: one row of at most some `size` members.
+
+    A pack holds its columns as arrays in one row, so what meets is rows of packs and not of
+    members: a cell of n members makes (n / size) ** 2 pairs of packs.
+    """
+    k = F.ceil(F.col("n") / F.lit(size)).cast("int")
+    dealt = rows.withColumn("k", k).withColumn("b", F.pmod(F.xxhash64("node", F.lit(7)), F.col("k").cast("long")).cast("int"))
+    more = [c for c in rows.columns if c not in (cell, "node", "vector", "n")]
+    fields = [f"{cell} long", "b int", "k int", "nodes array<long>", "vectors array<double>", *(f"{c} array<long>" for c in more)]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, start in runs(batches, [cell, "b"]):
+            for s, e in zip(start, np.append(start[1:], t.num_rows)):
+                g = t.slice(s, e - s)
+                one = [pa.array([g.column(cell)[0].as_py()]), pa.array([g.column("b")[0].as_py()], pa.int32()), pa.array([g.column("k")[0].as_py()], pa.int32()), pa.array([g.column("node").to_numpy()], pa.list_(pa.int64()))]
+                flat = g.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+                one += [pa.array([flat], pa.list_(pa.float64())), *(pa.array([g.column(c).to_numpy()], pa.list_(pa.int64())) for c in more)]
+                yield pa.RecordBatch.from_arrays(one, [f.split()[0] for f in fields])
+
+    return grouped(dealt.select(cell, "b", "k", "node", "vector", *more), [cell, "b"]).mapInArrow(work, ", ".join(fields))
+
+
+def meet(packed: DataFrame, cell: str, also: bool = False) -> DataFrame:
+    """Pairs of packs of one cell: columns of pack p as they are, those of pack q with o_ in front.
+
+    p < q unless also is set; then each pack meets every pack, itself too. A pair is dealt by its
+    q, so the pairs of one cell lie in many tasks.
     """
-    n = F.count(F.lit(1)).over(Window.partitionBy(cell))
-    rows = rows.withColumn("_n", n).filter("_n > 1")
-    k = F.ceil(F.col("_n") / F.lit(block)).cast("int")
-    mine = F.pmod(F.xxhash64(node, F.lit(7)), k.cast("long")).cast("int")
-    other = F.explode(F.when(F.col("_k") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("_k") - 1)))
-    rows = rows.withColumn("_k", k).withColumn("_b", mine).withColumn("_o", other)
-    return rows.withColumn("p", F.least("_b", "_o")).withColumn("q", F.greatest("_b", "_o")).withColumn("own", (F.col("_b") > F.col("_o")).cast("int")).drop("_n", "_k", "_b", "_o")
+    last = F.col("k") - 1
+    first = F.lit(0) if also else F.col("b") + 1
+    todo = packed if also else packed.filter(F.col("b") < last)
+    left = todo.withColumn("q", F.explode(F.sequence(first, last)))
+    right = packed.select(cell, F.col("b").alias("q"), *(F.col(c).alias(f"o_{c}") for c in packed.columns if c not in (cell, "b", "k")))
+    return left.join(right, [cell, "q"])
 
 
 def grouped(rows: DataFrame, keys: list[str]) -> DataFrame:

@@ -20,14 +20,15 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import forest, grouped, pair_up, runs
-from .common import components, cut, prepare, table
+from .blocks import BLOCK, PACK, counted, forest, grouped, meet, packs, runs
+from .common import components, cut, discard, prepare, scratch, table
 
 COSINE = 0.95
 TABLES = 6
@@ -35,6 +36,7 @@ PROBES = 6
 BLOCKS = 2
 SCALE = 0.22  # side of a lattice cell for 64 dimensions; it shrinks with their square root
 SEED = 20240
+STRIP = 512
 
 
 def minimal_vectors() -> np.ndarray:
@@ -108,7 +110,10 @@ def cells(unit: np.ndarray) -> np.ndarray:
 def _unit(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     a = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     flat = a.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    v = flat.reshape(len(a), -1)
+    return unit_rows(flat.reshape(len(a), -1))
+
+
+def unit_rows(v: np.ndarray) -> np.ndarray:
     # scaled first, so that squares neither overflow nor vanish
     v = v / np.abs(v).max(1, keepdims=True)
     return v / np.sqrt((v * v).sum(1, keepdims=True))
@@ -124,8 +129,10 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _links(least: float):
+    """Edges that hold together the linked members of each small cell."""
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, start in runs(batches, ["cell", "p", "q"]):
+        for t, start in runs(batches, ["cell"]):
             node, v = t.column("node").to_numpy(), t.column("vector").combine_chunks()
             a, b = [], []
             for s, e in zip(start, np.append(start[1:], len(node))):
@@ -142,47 +149,157 @@ def _links(least: float):
     return work
 
 
+def _unpacked(b: pa.RecordBatch, i: int, prefix: str = "") -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, unit vectors) of a pack; none where a hash collision has mixed lengths."""
+    nodes = b.column(prefix + "nodes")[i].values.to_numpy()
+    flat = b.column(prefix + "vectors")[i].values.to_numpy(zero_copy_only=False)
+    return (nodes, unit_rows(flat.reshape(len(nodes), -1))) if len(flat) % len(nodes) == 0 else (nodes[:0], np.zeros((0, 1)))
+
+
+def _inside(least: float):
+    """The forest of each pack alone."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                nodes, u = _unpacked(b, i)
+                found = forest(len(u), lambda x, y: u[x] @ u[y].T >= least)  # noqa: B023
+                if found:
+                    a = np.concatenate([np.full(len(o), nodes[s]) for s, o in found])
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(np.concatenate([nodes[o] for _, o in found]))], ["a", "b"])
+
+    return work
+
+
+def _between(least: float):
+    """For each pair of packs an edge for every two sets, connected within their packs, that links join anew."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                (m, u), (n, w) = _unpacked(batch, i), _unpacked(batch, i, "o_")
+                if not len(m) or not len(n) or u.shape[1] != w.shape[1]:
+                    continue
+                of = np.arange(len(m) + len(n))  # what of p and q hangs together already
+                for x, base in ((u, 0), (w, len(m))):
+                    for seed, others in forest(len(x), lambda p, q: x[p] @ x[q].T >= least):  # noqa: B023
+                        of[base + others] = base + seed
+                edges = []
+                for s in range(0, len(m), STRIP):
+                    if len(np.unique(of)) == 1:
+                        break
+                    p, q = np.nonzero(u[s : s + STRIP] @ w.T >= least)
+                    pair = np.stack([of[p + s], of[q + len(m)]])
+                    for at in np.unique(pair, axis=1, return_index=True)[1]:
+                        a, b = of[p[at] + s], of[q[at] + len(m)]
+                        if a != b:
+                            of[of == b] = a
+                            edges.append((m[p[at] + s], n[q[at]]))
+                if edges:
+                    yield pa.RecordBatch.from_arrays([pa.array([int(e[0]) for e in edges]), pa.array([int(e[1]) for e in edges])], ["a", "b"])
+
+    return work
+
+
 def _count(least: float):
+    """Links of each member of a small component."""
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, start in runs(batches, ["component", "p", "q"]):
-            node, copies, own = (t.column(c).to_numpy() for c in ("node", "copies", "own"))
-            v, pairs = t.column("vector").combine_chunks(), t.column("p").to_numpy() != t.column("q").to_numpy()
-            nodes, links = [], []
+        for t, start in runs(batches, ["component"]):
+            node, copies, v = t.column("node").to_numpy(), t.column("copies").to_numpy(), t.column("vector").combine_chunks()
+            links = np.zeros(len(node), np.int64)
             for s, e in zip(start, np.append(start[1:], len(node))):
                 u = _unit(v.slice(s, e - s))
                 near = u @ u.T >= least
-                if pairs[s]:  # members of one block meet in that block's own group
-                    near &= own[s:e, None] != own[None, s:e]
                 np.fill_diagonal(near, False)
-                nodes.append(node[s:e])
-                links.append(near @ copies[s:e])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes)), pa.array(np.concatenate(links).astype(np.int64))], ["node", "links"])
+                links[s:e] = near @ copies[s:e]
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(links)], ["node", "links"])
+
+    return work
+
+
+def _count_packs(least: float):
+    """Links of each member of pack p to those of pack q, itself left out: one row of counts a pair."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                (m, u), (n, w) = _unpacked(b, i), _unpacked(b, i, "o_")
+                copies = b.column("o_copies")[i].values.to_numpy()
+                links = np.zeros(len(m), np.int64)
+                for s in range(0, len(m), STRIP):
+                    near = u[s : s + STRIP] @ w.T >= least
+                    if b.column("b")[i].as_py() == b.column("q")[i].as_py():
+                        np.fill_diagonal(near[:, s:], False)
+                    links[s : s + STRIP] = near @ copies
+                yield pa.RecordBatch.from_arrays([b.column("component").slice(i, 1), b.column("b").slice(i, 1), pa.array([m], pa.list_(pa.int64())), pa.array([links], pa.list_(pa.int64()))], ["component", "b", "nodes", "links"])
 
     return work
 
 
-def near_duplicates(vectors: DataFrame, least: float = COSINE) -> DataFrame:
-    """vec_id, n_links, component_id and kept for each row of vectors (vec_id, embedding)."""
+def _sum_packs(t: pa.Table) -> pa.Table:
+    nodes = t.column("nodes")[0].values
+    return pa.table({"node": nodes, "links": pa.array(np.sum([x.values.to_numpy() for x in t.column("links")], axis=0))})
+
+
+@contextmanager
+def few_rows(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of a few rows, for rows of packs."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "4")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def links_in_cells(keys: DataFrame, nodes: DataFrame, least: float, block: int = BLOCK, size: int = PACK) -> DataFrame:
+    """Edges (a, b) that hold together whatever links share a cell, for keys (cell, node) and nodes (node, vector)."""
+    spark = keys.sparkSession
+    members = counted(keys, "cell").join(nodes, "node")
+    small = cut(grouped(members.filter(F.col("n") <= block).select("cell", "node", "vector"), ["cell"]).mapInArrow(_links(least), "a long, b long"), "links")
+    packed = cut(packs(members.filter(F.col("n") > block), "cell", size), "packs")
+    with few_rows(spark):
+        inside = cut(packed.mapInArrow(_inside(least), "a long, b long"), "inside")
+        between = cut(meet(packed, "cell").mapInArrow(_between(least), "a long, b long"), "between")
+    discard(packed)
+    return small.union(inside).union(between)
+
+
+def count_links(members: DataFrame, least: float, block: int = BLOCK, size: int = PACK) -> DataFrame:
+    """(node, links) for members (component, node, vector, copies): all links of every node, counted within its component."""
+    spark = members.sparkSession
+    sized = counted(members, "component")
+    small = grouped(sized.filter(F.col("n") <= block).drop("n"), ["component"]).mapInArrow(_count(least), "node long, links long")
+    packed = cut(packs(sized.filter(F.col("n") > block), "component", size), "packs")
+    with few_rows(spark):
+        told = cut(meet(packed, "component", also=True).mapInArrow(_count_packs(least), "component long, b int, nodes array<long>, links array<long>"), "counts")
+    discard(packed)
+    return small.union(told.groupBy("component", "b").applyInArrow(_sum_packs, "node long, links long"))
+
+
+def near_duplicates(vectors: DataFrame, least: float = COSINE, block: int = BLOCK, size: int = PACK) -> DataFrame:
+    """vec_id, n_links, component_id and kept for each row of vectors (vec_id, embedding); further columns are ignored, whatever their names."""
     prepare(vectors.sparkSession)
     given = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("vector"))
     whole = F.col("vector").isNotNull() & (F.size("vector") > 0) & F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("vector", lambda x: x != 0)
     # rows that can link, keyed by their class of equal vectors
     usable = F.coalesce(whole, F.lit(False))
-    nodes = given.filter(usable).groupBy("vector").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies"))
-    nodes = cut(nodes.select(F.monotonically_increasing_id().alias("node"), "vector", "least", "copies"), "vectors")
-    keys = nodes.select("node", "vector").mapInArrow(_cells, "cell long, node long")
-    meet = pair_up(keys.distinct(), "cell", "node").select("cell", "p", "q", "node")
-    edges = grouped(meet.join(nodes.select("node", "vector"), "node"), ["cell", "p", "q"]).mapInArrow(_links(least), "a long, b long")
-    comp = cut(components(edges, "embedding"), "components")
-    members = comp.join(nodes, "node")
-    together = pair_up(members.select("component", "node", "vector", "copies"), "component", "node")
-    links = grouped(together, ["component", "p", "q"]).mapInArrow(_count(least), "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
-    ids = members.groupBy("component").agg(F.min("least").alias("component_id"))
-    known = comp.join(ids, "component").join(links, "node", "left").select("node", "component_id", "links")
-    per = cut(nodes.join(known, "node", "left").select("vector", F.coalesce("component_id", "least").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "linked")
-    able = given.filter(usable).join(per, "vector").select("vec_id", "n_links", "component_id")
-    alone = given.filter(~usable).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return able.union(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+    with scratch():
+        nodes = given.filter(usable).groupBy("vector").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies"))
+        nodes = cut(nodes.select(F.monotonically_increasing_id().alias("node"), "vector", "least", "copies"), "vectors")
+        keys = nodes.select("node", "vector").mapInArrow(_cells, "cell long, node long")
+        edges = links_in_cells(cut(keys.distinct(), "cells"), nodes.select("node", "vector"), least, block, size)
+        comp = cut(components(edges, "embedding"), "components")
+        members = cut(comp.join(nodes, "node"), "members")
+        links = count_links(members.select("component", "node", "vector", "copies"), least, block, size)
+        ids = members.groupBy("component").agg(F.min("least").alias("component_id"))
+        known = comp.join(ids, "component").join(links, "node", "left").select("node", "component_id", "links")
+        per = nodes.join(known, "node", "left").select("vector", F.coalesce("component_id", "least").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+        able = given.filter(usable).join(cut(per, "linked"), "vector").select("vec_id", "n_links", "component_id")
+        alone = given.filter(~usable).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+        return cut(able.union(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id"))), "near")
 
 
 def op2_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -195,9 +195,20 @@ def vectors():
     return [(i, v, i % 3, "x") for i, v in enumerate(out)] + [(5, out[5], 0, "x"), (None, out[7], 0, "x")]
 
 
-def test_embedding_matches_brute_force(spark):
-    rows = vectors()
-    got = embedding.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, component_id string")).collect()
+def dense():
+    """A crowd around one centre, a chain that a crowd hangs on, and strays."""
+    r = np.random.default_rng(12)
+    centre = r.normal(size=64)
+    out = [(centre + r.normal(size=64) * np.linalg.norm(centre) * s / 8).tolist() for s in np.linspace(0.05, 0.45, 150)]
+    out += [(r.normal(size=64)).tolist() for _ in range(20)]
+    return [(i, v, 0, "x") for i, v in enumerate(out)] + [(500, out[3], 0, "x"), (501, out[3], 0, "x")]
+
+
+@pytest.mark.parametrize("made,block,size", [(vectors, 1024, 4096), (dense, 1024, 4096), (dense, 8, 16), (vectors, 2, 3)])
+def test_embedding_matches_brute_force(spark, made, block, size):
+    rows = made()
+    given = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, component_id string").withColumns({c: F.lit(1) for c in ("node", "cell", "vector", "n", "k", "b", "q", "copies", "least")})
+    got = embedding.near_duplicates(given, block=block, size=size).collect()
     ok = [v is not None and len(v) > 0 and all(x is not None and math.isfinite(x) for x in v) and any(v) for _, v, *_ in rows]
     unit = [np.array(v, np.float32).astype(float) / np.linalg.norm(np.array(v, np.float32).astype(float)) if o else None for (_, v, *_), o in zip(rows, ok)]
     n = len(rows)
@@ -213,6 +224,23 @@ def test_embedding_matches_brute_force(spark):
     assert sorted(((r["vec_id"], r["n_links"], r["component_id"]) for r in got), key=key) == want
 
 
+def test_embedding_of_no_rows(spark):
+    assert embedding.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
+
+
+def test_dense_components_make_rows_in_proportion(spark):
+    """Four times the vectors of one dense group: four times the rows of members, and few rows of packs."""
+    r = np.random.default_rng(3)
+    centre, made = r.normal(size=16), []
+    for n in (200, 800):
+        rows = [(0, i, (centre + r.normal(size=16) * 0.01).tolist(), 1, n) for i in range(n)]
+        packed = blocks.packs(spark.createDataFrame(rows, "component long, node long, vector array<double>, copies long, n long"), "component", 128)
+        assert sum(len(x["nodes"]) for x in packed.collect()) == n
+        made.append(blocks.meet(packed, "component", also=True).count())
+        assert blocks.meet(packed, "component").count() == -(-n // 128) * (-(-n // 128) - 1) // 2
+    assert made == [4, 49]
+
+
 def test_lattice_recall():
     r = np.random.default_rng(8)
     a = r.normal(size=(1500, 64))
