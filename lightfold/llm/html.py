@@ -5,22 +5,26 @@ of open tags (with id and class words). A bidirectional LSTM in numpy reads the
 of blocks, each as hashed vectors of its tag path and its words plus a few counts, and labels
 every block in the context of all others; blocks labelled main text are joined in page order.
 
-Pages carry no labels, so the labeller is trained here on PAGES generated pages (make_page)
-whose blocks' parts are known: articles in many kinds of containers among menus, headers,
-sidebars, notices, adverts, forms and reader comments. It is trained with a fixed seed; tests
-measure its accuracy on other generated pages and on given ones.
-
-Scripts, styles, comments, the head, drawings (svg), text areas and templates never become blocks;
-text inside noscript, object, iframe and math is read like any other. A script, style, title, text
-area or template left open takes the rest of the page. Null or empty html gives
+Pages carry no labels, so the labeller is trained on PAGES generated pages (make_page)
+whose blocks' parts are known: articles in many kinds of containers, with tables, code, lists,
+figures, captions and sections, among and around menus, headers, sidebars, notices, adverts, forms
+and reader comments. `python -m lightfold.llm.html` trains it with a fixed seed and writes its
+weights beside this file (WEIGHTS), from which queries read them; tests measure them on other
+generated pages, on layouts written by hand and on given pages.
+
+Scripts, styles, comments, the head and text areas never become blocks; text inside noscript,
+object, iframe, template, math and svg is read like any other. A script or style left open takes
+the rest of the page; a title or text area left open takes nothing. Null or empty html gives
 an empty text; a page is read to its end however long it is, tags left open end with their
-parent, and broken markup counts as text. Repeated pages get a row each; an empty table gives
-an empty result.
+parent, and broken markup counts as text. A block whose score is exactly one half is kept.
+Repeated pages get a row each; an empty table gives an empty result. Further columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
 
 import html
+import os
 import re
 import zlib
 from collections.abc import Iterable, Iterator
@@ -32,14 +36,16 @@ from pyspark.sql import functions as F
 
 from .common import prepare, table
 
-PATH, WORDS, COUNTS = 64, 32, 8
+PATH, WORDS, COUNTS = 96, 32, 8
 HIDDEN = 16
-PAGES = 900
-EPOCHS = 7
+PAGES = 2400
+EPOCHS = 8
 SEED = 17
+WEIGHTS = os.path.join(os.path.dirname(os.path.abspath(__file__)), "labeller.npz")
 BLOCK = frozenset("address article aside blockquote body button center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style template textarea title svg".split())
+RAW = frozenset("script style textarea title".split())
+ENDLESS = frozenset(("script", "style"))  # left open, these take the rest of the page
 FOREIGN = frozenset(("svg", "math"))  # the only ones that a closing slash ends
 #: What an opening tag closes: an open element of the same set, up to the nearest of the stops.
 CLOSES = {"p": ({"p"}, {"div", "article", "section", "td", "li", "blockquote", "body", "main", "aside"}), "li": ({"li", "p"}, {"ul", "ol", "menu"}), "td": ({"td", "th", "p"}, {"tr", "table"}), "th": ({"td", "th", "p"}, {"tr", "table"}), "tr": ({"tr", "td", "th", "p"}, {"table"}), "dt": ({"dt", "dd", "p"}, {"dl"}), "dd": ({"dt", "dd", "p"}, {"dl"}), "option": ({"option"}, {"select"})}
@@ -212,7 +218,7 @@ def blocks(page: str | None) -> list[tuple[Path, str, float]]:
                 at = end.start() if name == "head" else end.end()
                 continue
             endless.add(name)
-            if name in RAW and name not in FOREIGN:
+            if name in ENDLESS:
                 break
             continue
         if name in BLOCK:
@@ -393,24 +399,63 @@ def make_page(rng: np.random.Generator) -> str:
             inner = "".join(t if rng.random() < 0.5 and len(items) == 1 else element(pick(["p", "div", "span", "p", "h3"]), t) for t in items)
         return element(pick(homes), inner)
 
+    def number() -> str:
+        return pick(["", "$", "", ""]) + str(rng.integers(1, 5000)) + pick(["", ".5", " %", " km", "th"])
+
+    def cell() -> str:
+        return number() if rng.random() < 0.5 else prose(1, 5)
+
+    def grid() -> str:
+        wide = int(rng.integers(1, 5))
+        rows = [[f"<{t}>\x01{cell()}</{t}>" for _ in range(wide)] for t in (["th"] if rng.random() < 0.4 else []) + ["td"] * int(rng.integers(1, 7))]
+        inner = "".join(f"<tr>{''.join(r)}</tr>" for r in rows)
+        inner = f"<tbody>{inner}</tbody>" if rng.random() < 0.4 else inner
+        return element(pick(["table", "table", "table data", f"table {word()}"]), (f"<caption>\x01{prose(2, 9)}</caption>" if rng.random() < 0.3 else "") + inner)
+
+    def code() -> str:
+        lines = [pick(["", "  ", "    "]) + word() + pick([" = ", "(", ".", " -> ", ": "]) + word() + pick([")", ";", "", " {", " + 1"]) for _ in range(int(rng.integers(1, 9)))]
+        text = "\x01" + "\n".join(lines)
+        return f"<pre>{text}</pre>" if rng.random() < 0.5 else f"<pre><code>{text}</code></pre>"
+
+    def figure() -> str:
+        shown = pick([f'<img src="/{word()}.png" alt="{word()}">', "", f"<svg><text>\x01{word()}</text></svg>", code() if rng.random() < 0.3 else ""])
+        if rng.random() < 0.75:
+            return element(pick(["figure", "figure image", "figure"]), f"{shown}<figcaption>\x01{prose(2, 20)}</figcaption>")
+        return element(pick(["div figure", "div caption", "div image"]), f"{shown}<p>\x01{prose(2, 20)}</p>")
+
+    def listing() -> str:
+        least = 1 if rng.random() < 0.5 else 3
+        items = "".join(f"<li>\x01{prose(least, 15 if least > 1 else 3)}" + pick(["</li>", "</li>", ""]) for _ in range(rng.integers(1, 7)))
+        return element(pick(["ul", "ul", "ol", f"ul {word()}"]), items)
+
+    def terms() -> str:
+        return "<dl>" + "".join(f"<dt>\x01{prose(1, 4)}</dt><dd>\x01{prose(2, 20)}</dd>" for _ in range(rng.integers(1, 5))) + "</dl>"
+
+    def paragraph() -> str:
+        t = prose(1, 6) if rng.random() < 0.25 else prose(8, 120)
+        if rng.random() < 0.1:
+            t += f' <a href="/{word()}">{word()}</a> ' + prose(3, 20)
+        return element(pick(["p"] * 12 + ["div", f"p {word()}"]), pick(["", "", "<b>", "<em>"]) + "\x01" + t + pick(["", "", "<br>"]))
+
     def body() -> str:
         parts = [f"<{h}>\x01{prose(3, 12)}</{h}>" for h in ["h1"] if rng.random() < 0.85]
+        rich = rng.random() < 0.7  # else little but paragraphs
         for _ in range(int(rng.integers(1, 14))):
             kind = rng.random()
-            if kind < 0.78:
-                t = prose(1, 6) if rng.random() < 0.25 else prose(8, 120)
-                if rng.random() < 0.1:
-                    t += f' <a href="/{word()}">{word()}</a> ' + prose(3, 20)
-                parts.append(element("p", pick(["", "<b>", "<em>"]) + "\x01" + t + pick(["", "", "<br>"])))
-            elif kind < 0.86:
-                parts.append("<ul>" + "".join(f"<li>\x01{prose(2, 15)}</li>" for _ in range(rng.integers(2, 6))) + "</ul>")
-            elif kind < 0.92:
-                h = pick(["h2", "h3"])
-                parts.append(f"<{h}>\x01{prose(2, 8)}</{h}>")
-            elif kind < 0.98:
-                parts.append(f"<blockquote>\x01{prose(10, 40)}</blockquote>")
+            if kind < (0.5 if rich else 0.88):
+                parts.append(paragraph())
+            elif kind < (0.56 if rich else 0.95):
+                h = pick(["h2", "h2", "h3", "h4"])
+                parts.append(f"<{h}>\x01{prose(1, 8)}</{h}>")
+            elif kind < 0.93:
+                parts.append(pick([grid, code, figure, listing, listing, terms, lambda: f"<blockquote>\x01{prose(6, 40)}</blockquote>", lambda: f"<details><summary>\x01{prose(1, 5)}</summary>{paragraph()}</details>"])())
             else:
-                parts.append(rough(pick(["advert", "share", "form", "side"])))
+                parts.append(rough(pick(["advert", "share", "form", "side", "comments", "comments", "notice", "menu"])))
+                if rng.random() < 0.85:  # the article goes on
+                    parts += [paragraph() for _ in range(rng.integers(1, 3))]
+        if rng.random() < 0.25 and len(parts) > 2:
+            at = int(rng.integers(1, len(parts)))
+            parts = parts[:at] + [element(pick(["section", "div", f"div {word()}", f"section {word()}"]), "".join(parts[at:]))]
         return "".join(parts)
 
     before = [k for k in ("notice", "header", "menu", "advert", "form", "share") if rng.random() < 0.55]
@@ -490,5 +535,20 @@ def extract(pages: DataFrame, model: Labeller) -> DataFrame:
     return given.mapInArrow(work, "page_id long, url string, text string, n_chars long")
 
 
+def save(model: Labeller, path: str = WEIGHTS) -> None:
+    np.savez_compressed(path, **{k: v.astype(np.float32) for k, v in model.p.items()})
+
+
+def load(path: str = WEIGHTS) -> Labeller:
+    model = Labeller()
+    with np.load(path) as held:
+        model.p = {k: held[k] for k in model.p}
+    return model
+
+
 def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract(table(prepare(spark), sf_dir, "pages"), train())
+    return extract(table(prepare(spark), sf_dir, "pages"), load())
+
+
+if __name__ == "__main__":
+    save(train())
