@@ -440,9 +440,11 @@ def make_page(rng: np.random.Generator) -> str:
     def body() -> str:
         parts = [f"<{h}>\x01{prose(3, 12)}</{h}>" for h in ["h1"] if rng.random() < 0.85]
         rich = rng.random() < 0.7  # else little but paragraphs
-        for _ in range(int(rng.integers(1, 14))):
+        for _ in range(int(rng.integers(1, 14)) if rng.random() < 0.9 else int(rng.integers(14, 70))):
             kind = rng.random()
-            if kind < (0.5 if rich else 0.88):
+            if kind < 0.02:  # one line over and over
+                parts += [paragraph()] * int(rng.integers(2, 40))
+            elif kind < (0.5 if rich else 0.88):
                 parts.append(paragraph())
             elif kind < (0.56 if rich else 0.95):
                 h = pick(["h2", "h2", "h3", "h4"])

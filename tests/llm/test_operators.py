@@ -424,7 +424,7 @@ def test_pieces_follow_the_distribution(word):
 
 @pytest.fixture(scope="module")
 def labeller():
-    return html.train()
+    return html.load()
 
 
 def test_labeller_on_generated_pages(labeller):
