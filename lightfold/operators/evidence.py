@@ -97,12 +97,12 @@ def liveness(age: Column, live: float = 45.0, alarm: float = 120.0) -> Column:
 
 
 def supersede(outcomes: DataFrame, key: list[str], order: str, outcome: str) -> DataFrame:
-    """The outcomes of each key that differ from the one before, in order: their revision number, the row
-    each invalidates, and a name with the revision from the second on."""
+    """The outcomes of each key that differ from the one before, in order: the row each invalidates, its
+    revision (how often that outcome came before), and a name with the revision where it came back."""
     w = Window.partitionBy(*key).orderBy(order)
     before = F.lag(outcome).over(w)
     changed = outcomes.withColumn("_was", before).filter(F.col("_was").isNull() | (F.col("_was") != F.col(outcome))).drop("_was")
-    n = F.row_number().over(w).cast("long")
+    n = (F.row_number().over(Window.partitionBy(*key, outcome).orderBy(order)) - 1).cast("long")
     out = changed.withColumn("revision", n).withColumn("invalidates", F.lag(order).over(w))
-    suffix = F.when(F.col("revision") > 1, F.concat(F.lit(":r"), F.col("revision").cast("string"))).otherwise(F.lit(""))
-    return out.withColumn("name", F.concat(F.concat_ws(":", *(F.col(k).cast("string") for k in key)), suffix))
+    suffix = F.when(F.col("revision") > 0, F.concat(F.lit("-rev-"), F.col("revision").cast("string"))).otherwise(F.lit(""))
+    return out.withColumn("name", F.concat(F.concat_ws(":", *(F.col(k).cast("string") for k in key), outcome), suffix))

@@ -159,10 +159,10 @@ def missing_coordinates(s, d):
 
 
 @query("supersession", W + EVID + """, p AS (SELECT tic, kind, evidence_id, coalesce(verdict, '-') AS outcome, lag(evidence_id) OVER w AS before, lag(coalesce(verdict, '-')) OVER w AS was FROM evid WINDOW w AS (PARTITION BY tic, kind ORDER BY evidence_id)),
-c AS (SELECT * FROM p WHERE was IS NULL OR was <> outcome), x AS (SELECT *, row_number() OVER (PARTITION BY tic, kind ORDER BY evidence_id) AS revision, lag(evidence_id) OVER (PARTITION BY tic, kind ORDER BY evidence_id) AS invalidates FROM c)
-SELECT tic, kind, evidence_id, outcome, revision, invalidates, tic || ':' || kind || CASE WHEN revision > 1 THEN ':r' || revision ELSE '' END AS name FROM x""")
+c AS (SELECT * FROM p WHERE was IS NULL OR was <> outcome), x AS (SELECT *, row_number() OVER (PARTITION BY tic, kind, outcome ORDER BY evidence_id) - 1 AS revision, lag(evidence_id) OVER (PARTITION BY tic, kind ORDER BY evidence_id) AS invalidates FROM c)
+SELECT tic, kind, evidence_id, outcome, revision, invalidates, tic || ':' || kind || ':' || outcome || CASE WHEN revision > 0 THEN '-rev-' || revision ELSE '' END AS name FROM x""")
 def supersession(s, d):
-    """Outcomes of one campaign and star in order: an equal one is a replay, another one invalidates the last and is a revision."""
+    """Outcomes of one campaign and star in order: an equal one is a replay, another one invalidates the last; one that comes back is a revision of itself."""
     return evidence.supersede(evid(s, d).select("tic", "kind", "evidence_id", F.coalesce("verdict", F.lit("-")).alias("outcome")), ["tic", "kind"], "evidence_id", "outcome")
 
 
