@@ -24,6 +24,7 @@ whatever their names.
 from __future__ import annotations
 
 import html
+import math
 import os
 import re
 import zlib
@@ -37,10 +38,10 @@ from pyspark.sql import functions as F
 from .common import prepare, table
 
 PATH, WORDS, COUNTS = 96, 32, 8
-HIDDEN = 16
-PAGES = 2400
-EPOCHS = 8
-SEED = 17
+HIDDEN = 20
+PAGES = 4000
+EPOCHS = 10
+SEED = 22
 WEIGHTS = os.path.join(os.path.dirname(os.path.abspath(__file__)), "labeller.npz")
 BLOCK = frozenset("address article aside blockquote body button center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -359,7 +360,7 @@ _PARTS = {
     "comments": (["section comments", "div comments", "div comment list", "ol commentlist", "div disqus thread", "div reader comments"], "says Reply comment posted by user hours ago likes Great article thanks".split()),
     "share": (["div share", "div social", "ul share buttons"], "Share Tweet Facebook Print Email this Follow us".split()),
 }
-_HOMES = ["article", "main", "div content", "div main content", "div post body", "div article body", "section article", "div entry content", "article post", "div story", "main content", "div", "section", "body"]
+_HOMES = ["article", "article", "article", "article article", "article story", "main", "main article", "div content", "div main content", "div post body", "div article body", "section article", "div entry content", "article post", "div story", "main content", "div", "section", "body"]
 
 
 def make_page(rng: np.random.Generator) -> str:
@@ -378,7 +379,7 @@ def make_page(rng: np.random.Generator) -> str:
 
     def element(mark: str, inner: str) -> str:
         name, *words = mark.split()
-        if words and rng.random() < 0.1:
+        if words and rng.random() < 0.05:
             words = [word() for _ in words]
         attr = f' {pick(["class", "class", "id"])}="{" ".join(words)}"' if words else ""
         return f"<{name}{attr}>{inner}" + ("" if name in ("p", "li") and rng.random() < 0.2 else f"</{name}>")
@@ -449,11 +450,11 @@ def make_page(rng: np.random.Generator) -> str:
             elif kind < (0.56 if rich else 0.95):
                 h = pick(["h2", "h2", "h3", "h4"])
                 parts.append(f"<{h}>\x01{prose(1, 8)}</{h}>")
-            elif kind < 0.93:
+            elif kind < 0.9:
                 parts.append(pick([grid, code, figure, listing, listing, terms, lambda: f"<blockquote>\x01{prose(6, 40)}</blockquote>", lambda: f"<details><summary>\x01{prose(1, 5)}</summary>{paragraph()}</details>"])())
             else:
                 parts.append(rough(pick(["advert", "share", "form", "side", "comments", "comments", "notice", "menu"])))
-                if rng.random() < 0.85:  # the article goes on
+                if rng.random() < 0.92:  # the article goes on
                     parts += [paragraph() for _ in range(rng.integers(1, 3))]
         if rng.random() < 0.25 and len(parts) > 2:
             at = int(rng.integers(1, len(parts)))
@@ -484,8 +485,9 @@ def train(pages: int = PAGES, epochs: int = EPOCHS, seed: int = SEED) -> Labelle
     model = Labeller(seed=seed)
     first = {k: np.zeros_like(v) for k, v in model.p.items()}
     second = {k: np.zeros_like(v) for k, v in model.p.items()}
+    mean = {k: v.copy() for k, v in model.p.items()}  # running mean of the weights, steadier than the last ones
     step = 0
-    for epoch in range(epochs):
+    for _ in range(epochs):
         order = rng.permutation(len(data))
         order = order[np.argsort([len(data[i][1]) // 8 for i in order], kind="stable")]
         starts = np.arange(0, len(order), 16)
@@ -497,12 +499,14 @@ def train(pages: int = PAGES, epochs: int = EPOCHS, seed: int = SEED) -> Labelle
             for i, (_, t) in enumerate(some):
                 y[: len(t), i] = t
             step += 1
-            rate = 0.01 if epoch < epochs - 2 else 0.003
+            rate = 0.0001 + 0.004 * (1 + math.cos(math.pi * step / (epochs * len(starts))))
             for k, g in model.gradients(x, mask, y).items():
                 g = np.clip(g, -1, 1)
                 first[k] = 0.9 * first[k] + 0.1 * g
                 second[k] = 0.999 * second[k] + 0.001 * g * g
                 model.p[k] -= rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
+                mean[k] += (model.p[k] - mean[k]) / min(step, 400)
+    model.p = mean
     return model
 
 
