@@ -94,43 +94,6 @@ def detrended(lc: DataFrame, window: float, gap: float, method: str = "biweight"
     return lc.select(key, "t", "y").groupBy(key).applyInPandas(one, f"{key} {kind}, t double, y double, trend double")
 
 
-def single_events(lc: DataFrame, durations: list[float], threshold: float, gap: float, most: int = 20, key: str = "star") -> DataFrame:
-    """Box-matched single events: depth and significance, less those without points on both sides."""
-
-    def one(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t")
-        t, r = pdf["t"].to_numpy(), 1.0 - pdf["y"].to_numpy()
-        s = _scatter(np.diff(r)) / np.sqrt(2) if len(r) > 2 else float("nan")
-        found = []
-        if s > 0:
-            edges = np.array([(t[x.start], t[x.stop - 1]) for x in pieces(t, gap)])
-            for d in durations:
-                for c in np.arange(t[0], t[-1], d / 3):
-                    a, b = np.searchsorted(t, [c - d / 2, c + d / 2])
-                    n = b - a
-                    if n < 3:
-                        continue
-                    depth = r[a:b].mean()
-                    sig = depth * np.sqrt(n) / s
-                    inside = np.flatnonzero((edges[:, 0] <= c) & (c <= edges[:, 1]))
-                    left, right = np.searchsorted(t, c - 1.5 * d), np.searchsorted(t, c + 1.5 * d)
-                    if sig < threshold or depth > 0.05 or a - left < 3 or right - b < 3 or not len(inside):
-                        continue
-                    if c - edges[inside[0], 0] < d or edges[inside[0], 1] - c < d:
-                        continue
-                    found.append((c, d, depth, sig))
-        kept = []
-        for c, d, depth, sig in sorted(found, key=lambda e: (-e[3], e[0])):
-            if all(abs(c - x) > (d + w) / 2 for x, w, *_ in kept):
-                kept.append((c, d, depth, sig))
-                if len(kept) == most:
-                    break
-        return pd.DataFrame([(k[0], i + 1, *e) for i, e in enumerate(kept)], columns=[key, "rank", "center", "duration", "depth", "significance"])
-
-    kind = lc.schema[key].dataType.simpleString()
-    return lc.select(key, "t", "y").groupBy(key).applyInPandas(one, f"{key} {kind}, rank long, center double, duration double, depth double, significance double")
-
-
 def seeded(seed: int, *key: object) -> np.random.Generator:
     """A generator that the key fixes, whatever the partitions."""
     return np.random.default_rng([seed, zlib.crc32("|".join(map(str, key)).encode())])

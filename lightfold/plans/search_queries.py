@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..config import ALIAS_RATIOS
-from ..operators import boxsearch, search, series
+from ..operators import boxsearch, rolling, search, series
 from .series_queries import NOISE
 from .views import LC, LCC, STAR_EPH, lc, lcc, query, r, star_eph
 
@@ -135,3 +135,47 @@ def alias_ladder(s, d):
     x = lc(s, d)
     got = boxsearch.alias_ladder(x, star_eph(s, d), series.point_noise(x))
     return got.select("star", r("ratio").alias("ratio"), r("period").alias("period"), r("snr", 5).alias("snr"), r("event_share").alias("event_share"), r("skipped", 5).alias("skipped"), r("score", 5).alias("score"), "chosen")
+
+
+#: Series about 1, as deep as their scatter allows.
+LEVEL = "x AS (SELECT star, t, 1 + (y - m) / 1e5 AS y, row_number() OVER (PARTITION BY star ORDER BY t, y) - 1 AS i, count(*) OVER (PARTITION BY star) AS n FROM lc JOIN (SELECT star, median(y) AS m FROM lc GROUP BY star) USING (star))"
+
+
+def _level(s, d):
+    x = lc(s, d)
+    mid = x.groupBy("star").agg(F.median("y").alias("m"))
+    return x.join(mid, "star").select("star", "t", (1 + (F.col("y") - F.col("m")) / 1e5).alias("y"))
+
+
+@query("lc_rolling_scatter", W + LC + ", " + LEVEL + """, w AS (SELECT star, i, t, n, mad(y) OVER v AS mad, stddev_pop(y) OVER v AS dev FROM x WINDOW v AS (PARTITION BY star ORDER BY i ROWS BETWEEN 9 PRECEDING AND 9 FOLLOWING))
+SELECT star, i, round(t, 6) AS t, round(CASE WHEN mad > 0 THEN 1.4826 * mad WHEN dev > 0 THEN dev END * 1e5, 4) AS scatter FROM w""")
+def lc_rolling_scatter(s, d):
+    return rolling.rolling_scatter(_level(s, d), 9).select("star", "i", r("t").alias("t"), r(F.col("scatter") * 1e5, 4).alias("scatter"))
+
+
+DURATIONS, THRESHOLD, GAP = [2.0, 4.0], 1.5, 1.0
+CANDIDATES = LEVEL + f""", cad AS (SELECT star, median(dt) AS cadence FROM (SELECT star, t - lag(t) OVER (PARTITION BY star ORDER BY t) AS dt FROM lc) WHERE dt IS NOT NULL GROUP BY star HAVING median(dt) > 0),
+sp AS (SELECT star, n, d, span, greatest(span // 2, 1) AS half, greatest(span // 3, 1) AS step FROM (SELECT DISTINCT star, n, d, round_even(d / cadence, 0)::BIGINT AS span FROM x JOIN cad USING (star), (VALUES {", ".join(f"({v}::DOUBLE)" for v in DURATIONS)}) v(d) WHERE n >= 50) WHERE span >= 3),
+c AS (SELECT sp.*, c FROM sp, unnest(range(half, n - half, step)) u(c)),
+sc AS (SELECT star, d, c, 1.4826 * mad(y) AS mad, stddev_pop(y) AS dev FROM c JOIN x USING (star) WHERE i BETWEEN c - 6 * span AND c + 6 * span GROUP BY ALL),
+pts AS (SELECT c.star, d, c, x.t, x.y, (x.t - o.t) / d AS off, o.t AS tc FROM c JOIN x ON x.star = c.star AND x.i BETWEEN c - half AND c + half JOIN x o ON o.star = c.star AND o.i = c),
+shp AS (SELECT *, CASE WHEN abs(off) <= 0.5 THEN 1 - 0.35::DOUBLE * (1 - sqrt(1 - least(1, 4 * off * off))) - 0.23::DOUBLE * pow(1 - sqrt(1 - least(1, 4 * off * off)), 2) ELSE 0 END AS s FROM pts),
+fit AS (SELECT star, d, c, any_value(tc) AS tc, sum(s * (1 - y)) / sum(s * s) AS depth, sum(s * s) AS s2, count(*) FILTER (s > 0.5) AS points, min(t) AS a, max(t) AS z FROM shp GROUP BY star, d, c),
+edges AS (SELECT DISTINCT star, unnest([i, i + 1]) AS e FROM (SELECT star, i, lead(t) OVER (PARTITION BY star ORDER BY i) - t AS dt FROM x) WHERE dt > {GAP} UNION SELECT star, 0 FROM x UNION SELECT star, n - 1 FROM x),
+cand AS (SELECT f.star, f.d AS duration, f.c AS i, tc AS t, depth, depth * sqrt(s2) / CASE WHEN mad > 0 THEN mad ELSE dev END AS significance, points, (SELECT count(*) FROM x WHERE x.star = f.star AND x.t < f.a AND x.t > f.a - f.d) AS before, (SELECT count(*) FROM x WHERE x.star = f.star AND x.t > f.z AND x.t < f.z + f.d) AS after,
+EXISTS (SELECT 1 FROM edges e WHERE e.star = f.star AND abs(f.c - e.e) <= sp.span) AS edge FROM fit f JOIN sc USING (star, d, c) JOIN sp ON sp.star = f.star AND sp.d = f.d WHERE s2 > 0 AND depth > 0),
+e AS (SELECT * FROM cand WHERE significance >= {THRESHOLD})"""
+
+
+@query("lc_event_candidates", W + LC + ", " + CANDIDATES + " SELECT star, duration, i, round(t, 6) AS t, round(depth * 1e5, 4) AS depth, round(significance, 5) AS significance, points, before, after, edge FROM e")
+def lc_event_candidates(s, d):
+    e = rolling.event_candidates(_level(s, d), DURATIONS, THRESHOLD, GAP)
+    return e.select("star", "duration", "i", r("t").alias("t"), r(F.col("depth") * 1e5, 4).alias("depth"), r("significance", 5).alias("significance"), "points", "before", "after", "edge")
+
+
+@query("lc_single_events", W + "RECURSIVE " + LC + ", " + CANDIDATES + """, o AS (SELECT *, row_number() OVER (PARTITION BY star ORDER BY round(significance, 9) DESC, duration, i) AS k FROM e),
+walk AS (SELECT star, k, [{'t': t, 'd': duration}] AS kept, true AS taken FROM o WHERE k = 1 UNION ALL SELECT star, k, CASE WHEN x THEN list_append(kept, {'t': t, 'd': duration}) ELSE kept END, x FROM (SELECT o.star, o.k, o.t, o.duration, kept, len(list_filter(kept, lambda q: abs(o.t - q.t) < greatest(o.duration, q.d))) = 0 AND len(kept) < 20 AS x FROM walk JOIN o ON o.star = walk.star AND o.k = walk.k + 1))
+SELECT star, row_number() OVER (PARTITION BY star ORDER BY k) AS rank, duration, i, round(significance, 5) AS significance, concat_ws('; ', CASE WHEN points < 3 THEN 'fewer_than_minimum_cadences_in_event' END, CASE WHEN before = 0 OR after = 0 THEN 'no_two_sided_local_baseline' END, CASE WHEN edge THEN 'adjacent_to_segment_edge_or_gap' END, CASE WHEN depth > 0.05 THEN 'depth_over_5_percent' END) AS vetoes FROM walk JOIN o USING (star, k) WHERE taken""")
+def lc_single_events(s, d):
+    e = rolling.single_events(rolling.vetoes(rolling.event_candidates(_level(s, d), DURATIONS, THRESHOLD, GAP)))
+    return e.select("star", F.col("rank").cast("long").alias("rank"), "duration", "i", r("significance", 5).alias("significance"), F.concat_ws("; ", "vetoes").alias("vetoes"))

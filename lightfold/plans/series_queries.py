@@ -170,13 +170,6 @@ def lc_detrend_savgol(s, d):
     return kernels.detrended(lc(s, d), 3.0, 2.0, "savgol").groupBy("star").agg(F.count(F.lit(1)).alias("n"), F.median("y").alias("mid"))
 
 
-@query("lc_single_events")
-def lc_single_events(s, d):
-    x = lcc(s, d)
-    mid = x.groupBy("star").agg(F.median("y").alias("m"))
-    return kernels.single_events(x.join(mid, "star").select("star", "t", (1 + (F.col("y") - F.col("m")) / 1e5).alias("y")), [0.1, 0.25], 1.0, 0.5)
-
-
 @query("lc_scramble")
 def lc_scramble(s, d):
     return kernels.scrambled(lc(s, d), 0.5, 7).groupBy("star").agg(F.count(F.lit(1)).alias("n"), F.median("y").alias("mid"))
