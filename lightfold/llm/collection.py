@@ -176,7 +176,8 @@ class Collection:
         symbol = self._before(string, t)
         name = ((string.astype(self.kind) << 8) | self.kind(t)).astype(self.kind)
         total, old = self.rows + len(place), 0
-        out = {k: open(self._file(k, self.turn + 1), "wb") for k in ("bwt", "lcp", "name")}  # noqa: SIM115
+        # the files of the turn before last are written over, since every turn's are longer; emptying them first is slow
+        out = {k: open(self._file(k, self.turn + 1), "r+b" if self.turn else "wb") for k in ("bwt", "lcp", "name")}  # noqa: SIM115
         for a in range(0, total, self.chunk):
             n = min(self.chunk, total - a)
             i, j = np.searchsorted(place, [a, a + n])
