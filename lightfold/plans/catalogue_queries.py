@@ -8,7 +8,7 @@ from ..config import ALIAS_NAMES, ALIAS_RATIOS, ORBIT_DAYS, ORBIT_RATIOS
 from ..functions import ephemeris as ep
 from ..functions import sky as sk
 from ..functions import text
-from ..operators import calibration, catalogue, joins, pixels, population, screening, sweep
+from ..operators import calibration, catalogue, joins, pixelchecks, pixels, population, screening, sweep
 from .views import CAT, EPH, LC, SKY, cat, eph, haversine_sql, lc, query, r, sky, table
 
 W = "WITH "
@@ -410,3 +410,60 @@ def aperture_growth(s, d):
 def weighted_centroid(s, d):
     x = eph(s, d).select("host", F.col("period").alias("x"), (0.1 + F.col("snr") / 100).alias("error"))
     return pixels.weighted_centroids(x, "host").select("host", "n", r("mean", 5).alias("mean"), r("chi2", 4).alias("chi2"))
+
+
+BOOT = 24
+_POISSON = " + ".join(f"(u > {p!r}::DOUBLE)::INT" for p in pixelchecks.POISSON)
+_IN = "off <= duration / 2"
+PMARK = "pm AS (SELECT px.star, t, row, col, flux, " + _IN + " AS inside FROM (SELECT px.*, duration, abs(" + mod("t - epoch + period / 2", "period") + " - period / 2) AS off FROM px JOIN pe USING (star)) px WHERE " + _IN + " OR off BETWEEN 1.5::DOUBLE * duration AND 5.0::DOUBLE * duration)"
+CENTROIDS = PMARK + f""", enough AS (SELECT star FROM pm GROUP BY star HAVING count(DISTINCT CASE WHEN inside THEN t END) >= 3 AND count(DISTINCT CASE WHEN NOT inside THEN t END) >= 10),
+cads AS (SELECT DISTINCT star, t, s AS sample FROM pm JOIN enough USING (star), range({BOOT}) g(s)),
+drawn AS (SELECT star, t, sample, {_POISSON} AS w FROM (SELECT *, (('0x' || md5('7|' || star || '|' || round(t * 1e6::DOUBLE)::BIGINT || '|' || sample)[1:8])::BIGINT + 0.5::DOUBLE) / 4294967296 AS u FROM cads)),
+rep AS (SELECT star, t, sample, unnest(range(w)) AS k FROM drawn), img AS (SELECT star, sample, row, col, median(flux) FILTER (NOT inside) - median(flux) FILTER (inside) AS lost FROM pm JOIN rep USING (star, t) GROUP BY ALL),
+lev AS (SELECT star, sample, median(lost) AS m FROM img GROUP BY ALL), cen AS (SELECT star, sample, sum(row * greatest(lost - m, 0)) / sum(greatest(lost - m, 0)) AS r, sum(col * greatest(lost - m, 0)) / sum(greatest(lost - m, 0)) AS c FROM img JOIN lev USING (star, sample) WHERE lost IS NOT NULL GROUP BY ALL HAVING sum(greatest(lost - m, 0)) > 0),
+boot AS (SELECT star, count(r) AS samples, CASE WHEN count(r) >= 2 THEN avg(r) END AS row, CASE WHEN count(r) >= 2 THEN avg(c) END AS col, CASE WHEN count(r) >= 2 THEN stddev_samp(r) END AS row_error, CASE WHEN count(r) >= 2 THEN stddev_samp(c) END AS col_error FROM enough LEFT JOIN cen USING (star) GROUP BY star)"""
+
+
+@query("bootstrap_centroid", W + PX + ", " + PEPH + ", " + CENTROIDS + " SELECT star, samples, round(row, 5) AS row, round(col, 5) AS col, round(row_error, 5) AS row_error, round(col_error, 5) AS col_error, CASE WHEN samples >= 2 THEN 'measured' ELSE 'not_evaluable' END AS verdict FROM boot")
+def bootstrap_centroid(s, d):
+    c = pixelchecks.bootstrap_centroids(*_px(s, d), samples=BOOT, seed=7)
+    return c.select("star", "samples", *(r(x, 5).alias(x) for x in ("row", "col", "row_error", "col_error")), "verdict")
+
+
+@query("centroid_offset", W + PX + ", " + PEPH + ", " + CENTROIDS + """, o AS (SELECT star, row_error > 1e-9::DOUBLE AND col_error > 1e-9::DOUBLE AS known, sqrt(pow(row - 2, 2) + pow(col - 2, 2)) AS off, row - 2 AS dr, col - 2 AS dc, row_error, col_error FROM boot),
+e AS (SELECT *, CASE WHEN known THEN sqrt(pow(dr / off * row_error, 2) + pow(dc / off * col_error, 2)) END AS error FROM o)
+SELECT star, round(off, 5) AS offset, round(error, 5) AS error, round(off / error, 4) AS significance, CASE WHEN off IS NULL THEN 'not_evaluable' WHEN error IS NULL THEN 'measured_without_uncertainty' WHEN off / error >= 3 THEN 'off_target' ELSE 'consistent_with_on_target' END AS verdict FROM e""")
+def centroid_offset(s, d):
+    px, e = _px(s, d)
+    t = e.select("star", F.lit(2.0).alias("target_row"), F.lit(2.0).alias("target_col"))
+    o = pixelchecks.offsets(pixelchecks.bootstrap_centroids(px, e, samples=BOOT, seed=7), t)
+    return o.select("star", r("offset", 5).alias("offset"), r("error", 5).alias("error"), r("significance", 4).alias("significance"), "verdict")
+
+
+HOSTS = "hosts AS (SELECT star, i AS identifier, CASE i WHEN 0 THEN 2.0::DOUBLE WHEN 1 THEN 0.0::DOUBLE ELSE 2.0::DOUBLE END AS hr, CASE i WHEN 0 THEN 2.0::DOUBLE WHEN 1 THEN (star % 5)::DOUBLE ELSE 3.0::DOUBLE END AS hc, i = 0 AS is_target FROM pe, range(3) g(i))"
+
+
+def _hosts(e):
+    i = F.explode(F.sequence(F.lit(0), F.lit(2))).alias("identifier")
+    h = e.select("star", i)
+    return h.select("star", F.col("identifier").cast("long").alias("identifier"), F.when(F.col("identifier") == 1, 0.0).otherwise(2.0).alias("row"), F.when(F.col("identifier") == 0, 2.0).when(F.col("identifier") == 1, (F.col("star") % 5).cast("double")).otherwise(3.0).alias("col"), (F.col("identifier") == 0).alias("is_target"))
+
+
+@query("neighbour_extraction", W + PX + ", " + PEPH + ", " + PMARK + ", " + HOSTS + """, su AS (SELECT pm.star, identifier, hr, hc, is_target, t, inside, sum(flux) AS light FROM pm JOIN hosts USING (star) WHERE sqrt(pow(row - hr, 2) + pow(col - hc, 2)) <= 1 GROUP BY ALL),
+de AS (SELECT star, identifier, hr, hc, is_target, (o - n) / o AS depth, CASE WHEN s > 0 THEN (o - n) / s WHEN o - n > 0 THEN 'inf'::DOUBLE ELSE '-inf'::DOUBLE END AS snr FROM (SELECT star, identifier, hr, hc, is_target, median(light) FILTER (NOT inside) AS o, median(light) FILTER (inside) AS n, stddev_pop(light) FILTER (NOT inside) AS s FROM su GROUP BY ALL)),
+tg AS (SELECT star, depth AS td, hr AS tr, hc AS tc FROM de WHERE is_target),
+ot AS (SELECT de.star, identifier, depth, snr, row_number() OVER (PARTITION BY de.star ORDER BY depth IS NULL, -coalesce(depth, 0), identifier) AS k, count(*) OVER (PARTITION BY de.star) AS resolvable FROM de JOIN tg USING (star) WHERE NOT is_target AND sqrt(pow(hr - tr, 2) + pow(hc - tc, 2)) >= 2),
+j AS (SELECT d.star, tg.td, ot.* EXCLUDE (star), tg.star IS NULL AS lost FROM (SELECT DISTINCT star FROM de) d LEFT JOIN tg USING (star) LEFT JOIN (SELECT * FROM ot WHERE k = 1) ot ON ot.star = d.star),
+v AS (SELECT *, CASE WHEN lost THEN 'not_evaluable' WHEN resolvable IS NULL THEN 'not_resolvable' WHEN depth IS NULL OR depth <= 0 OR snr IS NULL OR snr < 3 THEN 'no_significant_neighbour_depth' WHEN td IS NULL OR td <= 0 OR (depth - td) / depth >= 0.25::DOUBLE THEN 'signal_belongs_to_neighbour' ELSE 'target_is_best_host' END AS verdict FROM j)
+SELECT star, coalesce(resolvable, 0) AS resolvable, CASE WHEN verdict = 'signal_belongs_to_neighbour' THEN identifier WHEN NOT lost THEN 0 END AS best_host, round(td, 6) AS target_depth, round(depth, 6) AS neighbour_depth, verdict FROM v""")
+def neighbour_extraction(s, d):
+    px, e = _px(s, d)
+    got = pixelchecks.reassignment(pixelchecks.host_depths(px, e, _hosts(e)))
+    return got.select("star", "resolvable", "best_host", r("target_depth").alias("target_depth"), r("neighbour_depth").alias("neighbour_depth"), "verdict")
+
+
+@query("star_pixel_checks")
+def star_pixel_checks(s, d):
+    """Growth, offset and best host of each star in one row."""
+    px, e = _px(s, d)
+    return pixelchecks.star_checks(px, e, _hosts(e), BOOT)
