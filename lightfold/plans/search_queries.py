@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..config import ALIAS_RATIOS
-from ..operators import boxsearch, rolling, search, series
+from ..operators import boxsearch, calibration, events, injection, rolling, search, series
 from .series_queries import NOISE
 from .views import LC, LCC, STAR_EPH, lc, lcc, query, r, star_eph
 
@@ -179,3 +179,50 @@ SELECT star, row_number() OVER (PARTITION BY star ORDER BY k) AS rank, duration,
 def lc_single_events(s, d):
     e = rolling.single_events(rolling.vetoes(rolling.event_candidates(_level(s, d), DURATIONS, THRESHOLD, GAP)))
     return e.select("star", F.col("rank").cast("long").alias("rank"), "duration", "i", r("significance", 5).alias("significance"), F.concat_ws("; ", "vetoes").alias("vetoes"))
+
+
+#: A box planted at each star's ephemeris, and preparation by medians of bins of half a day.
+TRANSFER = f"""{STAR_EPH}, off AS (SELECT star, t, y, abs((t - epoch + period / 2) - period * floor((t - epoch + period / 2) / period) - period / 2) AS off, duration FROM lc JOIN eph USING (star)),
+pl AS (SELECT star, t, y - CASE WHEN off <= duration / 2 THEN 8.0::DOUBLE ELSE 0 END AS y FROM off), raw AS (SELECT 'raw' AS tag, star, t, y FROM lc UNION ALL SELECT 'raw_planted', star, t, y FROM pl),
+med AS (SELECT tag, star, floor(t / 0.5::DOUBLE) AS bin, median(y) AS m FROM raw GROUP BY ALL), four AS (SELECT * FROM raw UNION ALL SELECT replace(r.tag, 'raw', 'prepared'), r.star, r.t, CASE WHEN m <> 0 THEN r.y / m END FROM raw r JOIN med ON med.tag = r.tag AND med.star = r.star AND med.bin = floor(r.t / 0.5::DOUBLE)),
+d AS (SELECT tag, f.star, count(*) FILTER (off <= duration / 2) AS n_in, count(*) FILTER (off >= duration) AS n_out, median(f.y) FILTER (off >= duration) - median(f.y) FILTER (off <= duration / 2) AS depth FROM four f JOIN off o ON o.star = f.star AND o.t = f.t GROUP BY ALL),
+p AS (SELECT star, max(depth) FILTER (tag = 'raw_planted') - max(depth) FILTER (tag = 'raw') AS a, max(depth) FILTER (tag = 'prepared_planted') - max(depth) FILTER (tag = 'prepared') AS b FROM (SELECT tag, star, CASE WHEN n_in >= 3 AND n_out >= 20 THEN depth END AS depth FROM d) GROUP BY star)"""
+
+
+@query("depth_transfer", W + LC + ", " + TRANSFER + " SELECT star, CASE WHEN b IS NOT NULL THEN round(a, 5) END AS input_depth, CASE WHEN a IS NOT NULL THEN round(b, 5) END AS prepared_depth, CASE WHEN a > 0 AND b IS NOT NULL THEN round(abs(b - a) / a, 5) END AS bias, CASE WHEN a IS NULL OR b IS NULL THEN 'insufficient_fixed_ephemeris_samples' WHEN a <= 0 THEN 'nonpositive_input_depth' ELSE 'measured' END AS status FROM p")
+def depth_transfer(s, d):
+    x, e = lc(s, d), star_eph(s, d)
+    planted = events.injected(x, e.withColumn("depth", F.lit(8.0)))
+    got = injection.depth_transfer(x, planted, lambda one: series.step_detrend(one, 0.5), e)
+    return got.select("star", r("input_depth", 5).alias("input_depth"), r("prepared_depth", 5).alias("prepared_depth"), r("bias", 5).alias("bias"), "status")
+
+
+#: Each long series as it is, mirrored, and with a box planted, under names of their own.
+VARIANTS = LC + """, base AS (SELECT cohort AS star, t, y FROM lc), mid AS (SELECT star, median(y) AS m FROM base GROUP BY star), lcc AS (SELECT star || '|baseline' AS star, t, y FROM base UNION ALL SELECT star || '|inverted', t, 2 * m - y FROM base JOIN mid USING (star)
+UNION ALL SELECT star || '|planted', t, y - CASE WHEN abs((t - 0.4::DOUBLE + 1.25::DOUBLE) - 2.5::DOUBLE * floor((t - 0.4::DOUBLE + 1.25::DOUBLE) / 2.5::DOUBLE) - 1.25::DOUBLE) <= 0.1::DOUBLE THEN 30.0::DOUBLE ELSE 0 END FROM base)"""
+
+
+@query("variant_search", W + VARIANTS + ", " + powers_sql(GRID) + ", " + BEST + " SELECT split_part(star, '|', 1) AS star, split_part(star, '|', 2) AS tag, grid, round(period, 6) AS period, round(power, 4) AS power FROM best")
+def variant_search(s, d):
+    """Baseline, mirrored and planted series through one search."""
+    x = lcc(s, d)
+    e = x.select("star").distinct().select("star", F.lit(2.5).alias("period"), F.lit(0.4).alias("epoch"), F.lit(0.2).alias("duration"), F.lit(30.0).alias("depth"))
+    got = injection.variant_search({"baseline": x, "inverted": calibration.inverted(x), "planted": events.injected(x, e)}, GRID)
+    return got.select("star", "tag", "grid", r("period").alias("period"), r("power", 4).alias("power"))
+
+
+@query("recovery_grid")
+def recovery_grid(s, d):
+    """Boxes of a grid of periods and depths planted in each long series and searched for."""
+    return injection.recovery_grid(lcc(s, d), [1.7, 2.9, 4.3], [5.0, 40.0], 0.4, 0.2, GRID)
+
+
+@query("planted_transits")
+def planted_transits(s, d):
+    """Limb-darkened transits of a wanted depth in every star's series: the ratio found, and what the series lost."""
+    e = star_eph(s, d)
+    k = F.col("star")
+    plan = e.select("star", (F.col("period") + 1).alias("period"), "epoch", (0.0005 * (1 + k % 9)).alias("depth"), ((k % 10) / 10.0).alias("impact"), (0.5 + (k % 7) / 5.0).alias("radius"), F.when(k % 3 != 0, 0.9).alias("mass"), (3500.0 + k % 5 * 800).alias("teff"))
+    p = injection.planned(plan)
+    lost = injection.plant(lc(s, d), p).groupBy("star").agg(F.count_if(F.col("loss") > 0).alias("touched"), F.max("loss").alias("deepest"))
+    return p.join(lost, "star", "left").select("star", "ratio", "a_over_r", "duration", "state", "touched", "deepest")
