@@ -8,7 +8,7 @@ from ..config import ALIAS_NAMES, ALIAS_RATIOS, ORBIT_DAYS, ORBIT_RATIOS
 from ..functions import ephemeris as ep
 from ..functions import sky as sk
 from ..functions import text
-from ..operators import calibration, catalogue, joins, pixelchecks, pixels, population, screening, sweep
+from ..operators import calibration, catalogue, identity, joins, pixelchecks, pixels, population, screening, sweep
 from .views import CAT, EPH, LC, SKY, cat, eph, haversine_sql, lc, query, r, sky, table
 
 W = "WITH "
@@ -467,3 +467,32 @@ def star_pixel_checks(s, d):
     """Growth, offset and best host of each star in one row."""
     px, e = _px(s, d)
     return pixelchecks.star_checks(px, e, _hosts(e), BOOT)
+
+
+_LINE = "c_custkey || ':' || c_name || '|' || c_nationkey"
+_HASH = "h AS (SELECT sha256((row_number() OVER (ORDER BY c_acctbal, c_custkey) - 1) || '|' || " + _LINE + ") AS h, row_number() OVER (ORDER BY c_acctbal, c_custkey) AS i FROM customer)"
+_XOR = " || ".join(f"printf('%08x', bit_xor(('0x' || h[{8 * i + 1}:{8 * i + 8}])::BIGINT))" for i in range(8))
+
+
+@query("cohort_hash", W + _HASH + f", c AS (SELECT 'all' AS cohort, h FROM h UNION ALL SELECT 'first 100', h FROM h WHERE i <= 100) SELECT cohort, count(*) AS rows, {_XOR} AS hash FROM c GROUP BY cohort")
+def cohort_hash(s, d):
+    """Identity of a cohort in its order of magnitude and id, and of its first hundred."""
+    c = table(s, d, "customer")
+    line = F.concat(F.col("c_custkey").cast("string"), F.lit(":"), F.col("c_name"), F.lit("|"), F.col("c_nationkey").cast("string"))
+    one = lambda name, first: identity.ordered_hash(c, ["c_acctbal", "c_custkey"], line, first).select(F.lit(name).alias("cohort"), "rows", "hash")
+    c = c.select("c_acctbal", "c_custkey", "c_name", "c_nationkey")
+    return one("all", None).union(one("first 100", 100))
+
+
+OUT = SKY + """, g AS (SELECT tic, tic % 8 AS field, radians(tic % 8 * 40 + (ra - 180) / 30) AS a, radians(dec / 4 + 60) AS b FROM targets), v AS (SELECT *, cos(b) * cos(a) AS vx, cos(b) * sin(a) AS vy, sin(b) AS vz FROM g),
+m AS (SELECT field, atan2(avg(vy), avg(vx)) AS a0, asin(avg(vz) / sqrt(pow(avg(vx), 2) + pow(avg(vy), 2) + pow(avg(vz), 2))) AS b0 FROM v GROUP BY field),
+pl AS (SELECT tic, field, degrees(cos(b) * sin(a - a0) / c) AS x, degrees((cos(b0) * sin(b) - sin(b0) * cos(b) * cos(a - a0)) / c) AS y FROM (SELECT *, sin(b0) * sin(b) + cos(b0) * cos(b) * cos(a - a0) AS c FROM v JOIN m USING (field)) WHERE c > 1e-6),
+ed AS (SELECT p.field, p.tic AS i, q.tic AS j FROM pl p JOIN pl q ON p.field = q.field AND p.tic <> q.tic WHERE NOT EXISTS (SELECT 1 FROM pl r WHERE r.field = p.field AND r.tic <> p.tic AND r.tic <> q.tic AND (q.x - p.x) * (r.y - p.y) - (q.y - p.y) * (r.x - p.x) <= 0))"""
+
+
+@query("field_outlines", W + OUT + " SELECT field, round(x, 5) AS x, round(y, 5) AS y FROM pl WHERE tic IN (SELECT i FROM ed UNION SELECT j FROM ed)")
+def field_outlines(s, d):
+    """Corners of the outline of each field's targets on its tangent plane."""
+    t, _ = sky(s, d)
+    f = t.select((F.col("tic") % 8).alias("field"), (F.col("tic") % 8 * 40 + (F.col("ra") - 180) / 30).alias("ra"), (F.col("dec") / 4 + 60).alias("dec"))
+    return identity.outlines(f, ["field"]).select("field", r("x", 5).alias("x"), r("y", 5).alias("y"))
