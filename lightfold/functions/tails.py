@@ -47,8 +47,13 @@ def gaussian_tail(x: float) -> float:
 
 
 def _each(f, *cols: pd.Series) -> pd.Series:
+    """f of each row, computed once for each different row of arguments; null where one is."""
     ok = np.logical_and.reduce([c.notna().to_numpy() for c in cols])
-    return pd.Series([f(*v) if o else None for o, *v in zip(ok, *cols)], dtype="float64")
+    out = np.full(len(ok), np.nan)
+    if ok.any():
+        different, of = np.unique(np.stack([c[ok].to_numpy(float) for c in cols], 1), axis=0, return_inverse=True)
+        out[ok] = np.array([f(*row) for row in different.tolist()])[of.ravel()]
+    return pd.Series(out)
 
 
 def _udf(f):

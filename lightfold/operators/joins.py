@@ -34,18 +34,34 @@ def interval_join(points: DataFrame, spans: DataFrame, on: list[str], t: str, st
     return p.join(s, [*on, "_bucket"]).filter(F.col(t).between(F.col(start), F.col(stop))).drop("_bucket")
 
 
+def _sky_cells(band: Column, high: float, radius: float) -> Column:
+    """How many cells of right ascension a band of declination has: as wide as two points within the radius can differ there, 1 where fewer than 3 fit."""
+    far = F.least(F.lit(90.0), F.greatest(F.abs(band * high), F.abs((band + 1) * high)) + radius)
+    reach = F.least(F.lit(1.0), math.sin(math.radians(radius) / 2) / F.greatest(F.cos(F.radians(far)), F.lit(1e-12)))
+    n = F.floor(2 * math.pi / F.greatest(2 * F.asin(reach), F.lit(1e-9)))
+    return F.when(n >= 3, n).otherwise(1)
+
+
 def sky_join(left: DataFrame, right: DataFrame, radius_deg: float, ra: tuple[str, str], dec: tuple[str, str]) -> DataFrame:
-    """Pairs within radius_deg, with separation_deg. Bands of declination as high as the radius, the right side in three."""
+    """Pairs within radius_deg, with separation_deg.
+
+    Cells are bands of declination as high as the radius, cut in right ascension; the right side is
+    listed in the cells around its own, over 0 degrees too, the left side in one.
+    """
     high = max(radius_deg, 1e-6)
+    at = lambda a, n: F.least(F.floor(F.pmod(a, F.lit(360.0)) / 360.0 * n), n - 1)
     l = left.withColumn("_band", F.floor(F.col(dec[0]) / high))
+    l = l.withColumn("_cell", at(F.col(ra[0]), _sky_cells(F.col("_band"), high, radius_deg)))
     band = F.floor(F.col(dec[1]) / high)
-    r = right.withColumn("_band", F.explode(F.array(band - 1, band, band + 1)))
-    return l.join(r, "_band").withColumn("separation_deg", separation_deg(ra[0], dec[0], ra[1], dec[1])).filter(F.col("separation_deg") <= radius_deg).drop("_band")
+    r = right.withColumn("_band", F.explode(F.array(band - 1, band, band + 1))).withColumn("_n", _sky_cells(F.col("_band"), high, radius_deg))
+    own = at(F.col(ra[1]), F.col("_n"))
+    r = r.withColumn("_cell", F.explode(F.array_distinct(F.array(*(F.pmod(own + k, F.col("_n")) for k in (-1, 0, 1)))))).drop("_n")
+    return l.join(r, ["_band", "_cell"]).withColumn("separation_deg", separation_deg(ra[0], dec[0], ra[1], dec[1])).filter(F.col("separation_deg") <= radius_deg).drop("_band", "_cell")
 
 
 def nearest(left: DataFrame, right: DataFrame, on: list[str], key: str, a: str, b: str, fraction: float, keep: list[str]) -> DataFrame:
-    """For each left row (by key) the right row with equal `on` whose b is nearest to a, within fraction of a."""
-    near = left.join(right, on).withColumn("_d", F.abs(F.col(a) - F.col(b))).filter(F.col("_d") <= fraction * F.col(a))
+    """For each left row (by key) the right row with equal `on` whose b is nearest to a, within fraction of a; both positive."""
+    near = band_join(left, right, on, a, b, fraction).withColumn("_d", F.abs(F.col(a) - F.col(b))).filter(F.col("_d") <= fraction * F.col(a))
     best = F.min_by(F.struct(*keep), F.struct("_d", *keep)).alias("_best")
     found = near.groupBy(key).agg(best).select(key, *(F.col("_best")[k].alias(k) for k in keep))
     return left.join(found, key, "left")

@@ -16,20 +16,6 @@ def n():
     return F.count(F.lit(1)).alias("n")
 
 
-@query("tightest_cover", W + """f AS (SELECT p_partkey % 60 AS lo, p_partkey % 60 + p_size AS hi, min(p_partkey) AS entry FROM part GROUP BY ALL), q AS (SELECT s_suppkey AS request, s_suppkey % 50 AS a, s_suppkey % 50 + s_suppkey % 7 AS z FROM supplier),
-k AS (SELECT request, a, z, entry, lo, hi, row_number() OVER (PARTITION BY request ORDER BY hi - lo, lo) AS rn FROM q LEFT JOIN f ON lo <= a AND hi >= z) SELECT request, entry, lo::BIGINT AS lo, hi::BIGINT AS hi FROM k WHERE rn = 1""")
-def tightest_cover(s, d):
-    """For each asked range the narrowest file range that holds it. Ranges are of whole sectors, so both sides
-    shrink to their different ranges (some thousand at most) before they meet."""
-    lo = F.col("p_partkey") % 60
-    files = table(s, d, "part").groupBy(lo.cast("long").alias("lo"), (lo + F.col("p_size")).cast("long").alias("hi")).agg(F.min("p_partkey").alias("entry"))
-    k = F.col("s_suppkey")
-    asked = table(s, d, "supplier").select(k.alias("request"), (k % 50).alias("a"), (k % 50 + k % 7).alias("z"))
-    ranges = asked.select("a", "z").distinct().join(F.broadcast(files), (F.col("lo") <= F.col("a")) & (F.col("hi") >= F.col("z")))
-    best = ranges.groupBy("a", "z").agg(F.min_by(F.struct("entry", "lo", "hi"), F.struct(F.col("hi") - F.col("lo"), "lo")).alias("b"))
-    return asked.join(best, ["a", "z"], "left").select("request", "b.entry", "b.lo", "b.hi")
-
-
 @query("required_sources", W + EPH + " SELECT count(*) AS n, (events <> 0 AND camera <> 1 AND status <> 'P') AS complete FROM eph GROUP BY 2")
 def required_sources(s, d):
     """Whether every source that must be asked is there and ended well."""
@@ -61,16 +47,6 @@ def known_hosts(s, d):
     return star(s, d).select("tic").join(ids.distinct(), "tic", "left_semi")
 
 
-@query("kernel_comparison", W + EVID + """, k AS (SELECT *, row_number() OVER (PARTITION BY tic, kind ORDER BY evidence_id DESC) AS rn FROM evid), a AS (SELECT * FROM k WHERE rn = 1 AND kind = 'A'), b AS (SELECT * FROM k WHERE rn = 1 AND kind = 'N')
-SELECT a.verdict IS NOT DISTINCT FROM b.verdict AS same_verdict, a.signature IS NOT DISTINCT FROM b.signature AS same_signature, a.affects_state = b.affects_state AS same_vote, count(*) AS n FROM a JOIN b USING (tic) GROUP BY 1, 2, 3""")
-def kernel_comparison(s, d):
-    """Two runs over the same stars, compared field by field, nulls equal to nulls."""
-    new = joins.latest(evid(s, d).select("tic", "kind", "evidence_id", "verdict", "signature", "affects_state"), ["tic", "kind"], F.col("evidence_id"))
-    a, b = (new.filter(F.col("kind") == k).select("tic", F.struct("verdict", "signature", "affects_state").alias(k)) for k in "AN")
-    same = [F.col(f"A.{c}").eqNullSafe(F.col(f"N.{c}")).alias(x) for c, x in (("verdict", "same_verdict"), ("signature", "same_signature"), ("affects_state", "same_vote"))]
-    return a.join(b, "tic").groupBy(*same).agg(n())
-
-
 @query("recovery_by_provenance", W + EVID + " SELECT coalesce(signature, 'unknown') AS provenance, count(*) AS n, round(count(*) FILTER (verdict IS NOT NULL)::DOUBLE / count(*), 6) AS found, round(count(*) FILTER (verdict = 'automated_survivor')::DOUBLE / count(*), 6) AS survived FROM evid GROUP BY 1")
 def recovery_by_provenance(s, d):
     rate = lambda c: r(F.count_if(F.coalesce(c, F.lit(False))) / F.count(F.lit(1)))
@@ -111,15 +87,6 @@ def screening_winner(s, d):
     return got.select("tic", "w.evidence_id", "w.verdict", (F.col("w.affects_state") == 1).alias("active"))
 
 
-@query("sector_choice", W + EPH + ", l AS (SELECT host, list_distinct(list(camera * 10 + ccd)) AS available, min(camera * 10 + ccd) AS first FROM eph GROUP BY host), o AS (SELECT host, first, list_slice(list_reverse_sort(list_filter(available, lambda x: x <> first)), 1, 2) AS later FROM l) SELECT host, first AS discovery, list_sort(later)[1] AS a, list_sort(later)[2] AS b FROM o")
-def sector_choice(s, d):
-    """The discovery sector and the two latest others."""
-    sector = (F.col("camera") * 10 + F.col("ccd")).alias("sector")
-    l = eph(s, d).groupBy("host").agg(F.collect_set(sector).alias("available"), F.min(sector).alias("first"))
-    later = F.array_sort(F.slice(F.sort_array(F.array_except("available", F.array("first")), False), 1, 2))
-    return l.select("host", F.col("first").alias("discovery"), later.alias("later")).select("host", "discovery", F.get("later", F.lit(0)).alias("a"), F.get("later", F.lit(1)).alias("b"))
-
-
 @query("neighbour_hosts", W + EPH + ", e AS (SELECT host, tic, CASE WHEN events <> 0 THEN depth_ppm END AS depth FROM eph) SELECT host, tic, row_number() OVER (PARTITION BY host ORDER BY depth DESC NULLS LAST, tic) AS rank FROM e")
 def neighbour_hosts(s, d):
     e = eph(s, d).select("host", "tic", F.when(F.col("events") != 0, F.col("depth_ppm")).alias("depth"))

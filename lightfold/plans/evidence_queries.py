@@ -101,11 +101,6 @@ def review_queue(s, d):
     return evid(s, d).groupBy("tic").agg(F.sum(w).alias("score")).orderBy(F.desc("score"), "tic").limit(100)
 
 
-@query("followup_queue", W + EPH + " SELECT tic, host, round(snr, 6) AS snr FROM eph WHERE snr >= 20 AND events >= 2")
-def followup_queue(s, d):
-    return eph(s, d).filter((F.col("snr") >= 20) & (F.col("events") >= 2)).select("tic", "host", r("snr").alias("snr"))
-
-
 @query("history_queue", W + EPH + ", k AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY snr DESC, tic) AS rn, count(*) OVER (PARTITION BY host) AS fits FROM eph) SELECT host, tic, fits FROM k WHERE rn = 1")
 def history_queue(s, d):
     e = eph(s, d)
