@@ -41,7 +41,7 @@ UNKNOWN = -10.0  # log weight of a character in bytes; it has no other way, so t
 LIFT = 5.0  # log weight that every character adds to every segmentation alike, against underflow
 SEED = 5
 LONG = 32  # chunks with more characters are passed one by one
-SCAN = 800_000
+SCAN = 1_600_000
 _BASE = 0x9E3779B97F4A7C15 | 1
 _U = np.uint64
 
