@@ -3,6 +3,10 @@
 run(spark, sf_dir) applies STAGES to documents. No SQL can express the stages (an iterated
 label model, connected components, a suffix collection and a genetic algorithm), so ORACLE_SQL
 is None and tests hold each stage against a brute-force version.
+
+All stages count null texts as empty, treat repeated rows as rows of their own, give an empty
+table back for an empty one, and carry further columns along whatever their names, but for the
+last, whose columns are those of the packing.
 """
 
 from __future__ import annotations
