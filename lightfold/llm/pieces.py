@@ -14,8 +14,10 @@ a row's segmentation does not depend on partitions, order, batches or retries.
 
 Decoding joins the pieces: U+2581 in a piece is a space, and U+2581 in a text is spelled in bytes,
 so every text comes back exactly. Null text counts as empty (no ids). Rows with null doc_id share
-one key. Repeated rows with one key and text get one segmentation. An empty table gives an
-empty result.
+one key with doc_id 0. Repeated rows with one key and text get one segmentation. An empty table gives an
+empty result. Further columns are ignored, whatever their names. Words of over LONG letters draw a
+number a step; shorter chunks draw all their steps from one number of 53 bits, so segmentations of
+a chunk rarer than about 1 in 2 ** 53 don't come up.
 """
 
 from __future__ import annotations

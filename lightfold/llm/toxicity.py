@@ -14,7 +14,9 @@ and goes to the executors as it is. doc_id, lang and source are no inputs.
 
 Null and empty texts hold no term and score sigmoid(w0). Without labels of both classes in the
 training folds the score is the smoothed share of toxic rows. Repeated rows get a row each; null
-doc_id stays null and is not held out; an empty table gives an empty result.
+doc_id stays null and is not held out; an empty table gives an empty result. Terms seen fewer
+than three times and words of digits only are no terms. Ties of the G-test go to the smaller hash.
+Further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
