@@ -292,7 +292,12 @@ def instant_counts(s, d):
     return population.instant_bins(eph(s, d), ["campaign"])[1].select("campaign", "bin", "stars")
 
 
-@query("shared_instants")
+#: Poisson tails as sums of their terms; where fewer stars than expected are seen the tail is far above any threshold.
+FLAGGED = INST + f""", ic AS (SELECT campaign, bin, count(DISTINCT tic) AS stars FROM ib GROUP BY ALL), ti AS (SELECT campaign, bin, list_sum(list_transform(range(stars, stars + 300), lambda i: exp(i * ln(expected) - expected - lgamma(i + 1)))) AS tail, floor((high - low) / {population.BIN_DAYS!r}::DOUBLE) + 1 AS bins FROM ic JOIN sp USING (campaign) WHERE stars > expected),
+fl AS (SELECT campaign, bin FROM ti WHERE tail < 0.05::DOUBLE / bins), iv AS (SELECT campaign, tic, count(*) AS events, count(fl.bin) AS hits FROM ib LEFT JOIN fl USING (campaign, bin) GROUP BY campaign, tic)"""
+
+
+@query("shared_instants", W + FLAGGED + " SELECT campaign, CASE WHEN hits > 0 AND hits::DOUBLE / events >= 0.5::DOUBLE THEN 'shared_instant' ELSE 'independent_instants' END AS verdict, count(*) AS n FROM iv GROUP BY ALL")
 def shared_instants(s, d):
     ev, bins = population.instant_bins(eph(s, d), ["campaign"])
     flagged = population.instants(bins).filter("flagged")
@@ -399,11 +404,15 @@ def pixel_centroid(s, d):
     return c.join(pixels.on_target(c, t), "star").select("star", r("row", 5).alias("row"), r("col", 5).alias("col"), "on_target")
 
 
-@query("aperture_growth")
+@query("aperture_growth", W + PX + ", " + PEPH + """, ap AS (SELECT px.star, radius, t, sum(flux) AS flux FROM px, (VALUES (1.0::DOUBLE), (3.0::DOUBLE)) v(radius) WHERE sqrt(pow(row - 2, 2) + pow(col - 2, 2)) <= radius GROUP BY ALL),
+ao AS (SELECT ap.*, duration, abs(""" + mod("t - epoch + period / 2", "period") + """ - period / 2) AS off FROM ap JOIN pe USING (star)), dp AS (SELECT star, radius, (o - i) / nullif(o, 0) AS depth FROM (SELECT star, radius, median(flux) FILTER (off >= duration) AS o, median(flux) FILTER (off <= duration / 2) AS i FROM ao GROUP BY ALL)),
+gr AS (SELECT star, max(depth) FILTER (radius = 1) AS inner_, max(depth) FILTER (radius = 3) AS outer_ FROM dp GROUP BY star), ri AS (SELECT *, (outer_ - inner_) / nullif(greatest(abs(inner_), abs(outer_)), 0) AS rise FROM gr)
+SELECT star, round(inner_, 6) AS inner, round(outer_, 6) AS outer, round(rise, 6) + 0.0 AS growth, CASE WHEN inner_ IS NULL OR inner_ <= 0 THEN 'no_depth_in_target_aperture' WHEN rise >= 0.5::DOUBLE THEN 'contaminating' WHEN rise >= 0.2::DOUBLE THEN 'flagged' ELSE 'clean' END AS verdict FROM ri""")
 def aperture_growth(s, d):
     px, e = _px(s, d)
     t = e.select("star", F.lit(2.0).alias("target_row"), F.lit(2.0).alias("target_col"))
-    return pixels.growth(pixels.aperture_depths(px, e, t))
+    g = pixels.growth(pixels.aperture_depths(px, e, t))
+    return g.select("star", r("inner").alias("inner"), r("outer").alias("outer"), (r("growth") + 0.0).alias("growth"), "verdict")
 
 
 @query("weighted_centroid", W + EPH + ", w AS (SELECT host, period AS x, 0.1::DOUBLE + snr / 100 AS error FROM eph), m AS (SELECT host, sum(x / (error * error)) / sum(1 / (error * error)) AS mean, count(*) AS n FROM w GROUP BY host) SELECT host, n, round(any_value(mean), 5) AS mean, round(sum(pow((x - mean) / error, 2)) / greatest(1, n - 1), 4) AS chi2 FROM w JOIN m USING (host) GROUP BY host, n")

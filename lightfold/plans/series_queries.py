@@ -256,9 +256,17 @@ def interval_veto(s, d):
     return interval_join(lc(s, d), w, ["cohort"], "t", "start", "stop", WIDE).groupBy("cohort", "star").agg(F.count(F.lit(1)).alias("hits"))
 
 
-@query("artifact_epochs")
+#: Binomial tails as sums of their terms.
+ARTIFACTS = COUNTS + """, bg AS (SELECT cohort, sum(dips)::DOUBLE / sum(observed) AS p FROM counts GROUP BY cohort),
+te AS (SELECT cohort, bin, dips::DOUBLE / observed AS share, CASE WHEN dips = 0 THEN 1 ELSE least(1, list_sum(list_transform(range(dips, observed + 1), lambda i: exp(lgamma(observed + 1) - lgamma(i + 1) - lgamma(observed - i + 1) + i * ln(p) + (observed - i) * ln(1 - p))))) END AS tail FROM counts JOIN bg USING (cohort) WHERE observed >= 3),
+ba AS (SELECT *, bin - row_number() OVER (PARTITION BY cohort ORDER BY bin) AS g FROM te WHERE tail <= 0.05::DOUBLE), ru AS (SELECT cohort, g, min(bin) AS first, max(bin) AS last, arg_max({'bin': bin, 'share': share, 'tail': tail}, (share, -bin)) AS p FROM ba GROUP BY cohort, g),
+rk AS (SELECT *, row_number() OVER (PARTITION BY cohort ORDER BY p.share DESC, p.bin) AS rank FROM ru)"""
+
+
+@query("artifact_epochs", W + LC + ", " + ARTIFACTS + " SELECT cohort, rank, p.bin AS bin, round(p.share, 6) AS share, round(p.tail, 9) AS tail, first, last FROM rk WHERE rank <= 5")
 def artifact_epochs(s, d):
-    return population.artifact_bins(_counts(s, d), ["cohort"], 0.05, 3, 5)
+    a = population.artifact_bins(_counts(s, d), ["cohort"], 0.05, 3, 5)
+    return a.select("cohort", F.col("rank").cast("long").alias("rank"), "bin", r("share").alias("share"), r("tail", 9).alias("tail"), "first", "last")
 
 
 @query("rle_encode", W + LC + ", b AS (SELECT DISTINCT star, floor(t)::BIGINT AS bin FROM lc), g AS (SELECT star, bin, bin - row_number() OVER (PARTITION BY star ORDER BY bin) AS g FROM b), s AS (SELECT star, min(bin) AS first, max(bin) AS last FROM g GROUP BY star, g) SELECT star, string_agg(first || '-' || last, ',' ORDER BY first) AS spans FROM s GROUP BY star")
