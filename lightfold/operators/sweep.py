@@ -72,21 +72,22 @@ def tiled(left: DataFrame, right: DataFrame, work: Callable[[pd.DataFrame, pd.Da
     return a.groupBy("_tile", "_block").cogroup(b.groupBy("_tile", "_block")).applyInPandas(both, schema)
 
 
-def _sharing(x: pd.DataFrame, y: pd.DataFrame) -> np.ndarray:
-    """Which fits of y lie in the bands of those of x and share their phase, itself left out."""
+def _sharing(x: pd.DataFrame, y: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Places (in x, in y) of the fits of y that lie in the bands of those of x and share their phase, itself left out."""
     low, high, rank = (c.to_numpy()[:, None] for c in (x["low"], x["high"], x["rank"]))
     other = y["rank"].to_numpy()[None, :]
-    near = (other >= low) & (other < high) & (other != rank)
-    p = x["period"].to_numpy()[:, None]
-    off = np.mod(y["epoch"].to_numpy()[None, :] - x["epoch"].to_numpy()[:, None], p)
+    i, j = np.nonzero((other >= low) & (other < high) & (other != rank))
+    p = x["period"].to_numpy()[i]
+    off = np.mod(y["epoch"].to_numpy()[j] - x["epoch"].to_numpy()[i], p)
     off = np.where(off > p / 2, off - p, off)
-    return near & (np.abs(off) <= x["tolerance"].to_numpy()[:, None])
+    ok = np.abs(off) <= x["tolerance"].to_numpy()[i]
+    return i[ok], j[ok]
 
 
-def _apart(x: pd.DataFrame, y: pd.DataFrame) -> np.ndarray:
-    """Degrees between all of x and all of y."""
+def _apart(x: pd.DataFrame, y: pd.DataFrame, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Degrees between fits i of x and j of y."""
     a, d, b, e = (np.radians(c.to_numpy()) for c in (x["ra"], x["dec"], y["ra"], y["dec"]))
-    h = np.sin((e[None, :] - d[:, None]) / 2) ** 2 + np.cos(d)[:, None] * np.cos(e)[None, :] * np.sin((b[None, :] - a[:, None]) / 2) ** 2
+    h = np.sin((e[j] - d[i]) / 2) ** 2 + np.cos(d)[i] * np.cos(e)[j] * np.sin((b[j] - a[i]) / 2) ** 2
     return np.degrees(2 * np.arcsin(np.sqrt(np.clip(h, 0, 1))))
 
 
@@ -95,11 +96,13 @@ def sharers(fits: DataFrame, campaign: list[str], fraction: float, tile: int = T
     phase, the cameras and detectors these lie on (bit sets), and the largest separation from one of them."""
 
     def work(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        s = _sharing(x, y)
-        away = np.where(s, _apart(x, y), -1.0).max(1)
-        bit = lambda v: np.bitwise_or.reduce(np.where(s, np.where(v.notna(), 1 << v.fillna(0).to_numpy(np.int64), 0)[None, :], 0), axis=1)
-        out = pd.DataFrame({"rank": x["rank"], "n": s.sum(1), "cameras": bit(y["camera"]), "detectors": bit(y["camera"] * 4 + y["ccd"]), "spread": away})
-        return out[out["n"] > 0]
+        i, j = _sharing(x, y)
+        if not len(i):
+            return pd.DataFrame({"rank": [], "n": [], "cameras": [], "detectors": [], "spread": []})
+        who, start, n = np.unique(i, return_index=True, return_counts=True)  # i rises
+        bit = lambda v: np.bitwise_or.reduceat(np.where(v.notna(), 1 << v.fillna(0).to_numpy(np.int64), 0)[j], start)
+        away = np.maximum.reduceat(_apart(x, y, i, j), start)
+        return pd.DataFrame({"rank": x["rank"].to_numpy()[who], "n": n, "cameras": bit(y["camera"]), "detectors": bit(y["camera"] * 4 + y["ccd"]), "spread": away})
 
     b = keep(banded(fits, campaign, "period", fraction, key), "bands")
     right = b.select("rank", "period", "epoch", "camera", "ccd", "ra", "dec")
@@ -121,10 +124,10 @@ def median_separation(shared: DataFrame, tile: int = TILE, rounds: int = 4) -> D
     right = shared.select("rank", "period", "epoch", "ra", "dec")
 
     def work(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        s, d = _sharing(x, y), _apart(x, y)
-        a, z = x["a"].to_numpy()[:, None], x["z"].to_numpy()[:, None]
-        i, j = np.nonzero(s & (d >= a) & (d < z))
-        bins = np.minimum(((d[i, j] - a[i, 0]) / (z - a)[i, 0] * BINS).astype(np.int64), BINS - 1)
+        i, j = _sharing(x, y)
+        d, a, z = _apart(x, y, i, j), x["a"].to_numpy()[i], x["z"].to_numpy()[i]
+        here = (d >= a) & (d < z)
+        i, bins = i[here], np.minimum(((d - a) / (z - a) * BINS).astype(np.int64), BINS - 1)[here]
         code, n = np.unique(i * BINS + bins, return_counts=True)
         return pd.DataFrame({"rank": x["rank"].to_numpy()[code // BINS], "bin": code % BINS, "n": n})
 
