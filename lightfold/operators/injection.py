@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ephemeris import limb_darkening, mass_for_injection
-from .boxsearch import DIGITS, Periodic, powers
+from .boxsearch import DIGITS, Periodic, facts, powers
 from .events import ephemeris_support, injected
 
 _X, _W = np.polynomial.legendre.leggauss(40)
@@ -128,10 +128,11 @@ def depth_transfer(lc: DataFrame, planted: DataFrame, prepare: Callable[[DataFra
     return p.select(key, F.when(whole, F.col("input_depth")).alias("input_depth"), F.when(whole, F.col("prepared_depth")).alias("prepared_depth"), F.when(said == "measured", F.abs(F.col("prepared_depth") - F.col("input_depth")) / F.col("input_depth")).alias("bias"), said.alias("status"))
 
 
-def variant_search(series: dict[str, DataFrame], s: Periodic, key: str = "star") -> DataFrame:
+def variant_search(series: dict[str, DataFrame], s: Periodic, key: str = "star", fallback: bool = True) -> DataFrame:
     """The strongest period of every variant of every star, all through one search: (star, tag, grid, period, power, depth)."""
     v = tagged(series, key)
-    found = powers(v.select("_id", "t", "y"), s, key="_id")
+    x = v.select("_id", "t", "y")
+    found = powers(x, s, facts(x, s, "_id", fallback), key="_id")
     best = found.groupBy("_id").agg(F.max_by(F.struct("grid", "period", "power", "depth"), F.struct(F.round("power", DIGITS), -F.col("grid"))).alias("b"))
     return best.join(v.select("_id", key, "tag").distinct(), "_id").select(key, "tag", "b.*")
 

@@ -171,3 +171,11 @@ def test_no_rows(spark):
     short = spark.createDataFrame([(1, 0.0, 1.0), (1, 0.5, 1.1), (1, 0.9, 0.9)], SCHEMA)
     assert b.powers(short, S).collect() == []
     assert kernels.pieces(np.array([0.0]), 1.0) == [slice(0, 1)]
+
+
+def test_named_series_in_blocks(spark, lc):
+    named = lc.select(F.concat(F.lit("s"), F.col("star").cast("string")).alias("star"), "t", "y")
+    whole = {(r["star"], r["grid"]): r["power"] for r in b.powers(named, S).collect()}
+    parts = {(r["star"], r["grid"]): r["power"] for r in b.powers(named, S, block=500).collect()}  # no series is short
+    assert whole.keys() == parts.keys() and len(whole) > 200
+    assert all(parts[k] == pytest.approx(p, rel=1e-9) for k, p in whole.items())
