@@ -12,8 +12,8 @@ from .views import CAT, EPH, EVID, LC, STAR, cat, eph, evid, lc, query, r, star,
 W = "WITH "
 
 
-def n():
-    return F.count(F.lit(1)).alias("n")
+def n(name="n"):
+    return F.count(F.lit(1)).alias(name)
 
 
 @query("required_sources", W + EPH + " SELECT count(*) AS n, (events <> 0 AND camera <> 1 AND status <> 'P') AS complete FROM eph GROUP BY 2")
@@ -30,8 +30,10 @@ def required_sources(s, d):
 
 @query("same_signal", W + EPH + ", " + CAT + ", p AS (SELECT round(period, 1) AS a, round(cat_period, 1) AS b FROM eph e JOIN cat c ON e.host % 500 = c.slot) SELECT abs(a - b) <= greatest(1e-10::DOUBLE * greatest(abs(a), abs(b)), 1e-10::DOUBLE) AS same, count(*) AS n FROM p GROUP BY 1")
 def same_signal(s, d):
-    e = eph(s, d).select("tic", r("period", 1).alias("a"), (F.col("host") % 500).alias("slot")).repartition("tic")
-    return e.join(cat(s, d).select("slot", r("cat_period", 1).alias("b")), "slot").groupBy(ep.same_signal("a", "b").alias("same")).agg(n())
+    """Pairs of different periods with how often each side has them."""
+    e = eph(s, d).groupBy((F.col("host") % 500).alias("slot"), r("period", 1).alias("a")).agg(n("_e"))
+    c = cat(s, d).groupBy("slot", r("cat_period", 1).alias("b")).agg(n("_c"))
+    return e.join(c, "slot").groupBy(ep.same_signal("a", "b").alias("same")).agg(F.sum(F.col("_e") * F.col("_c")).alias("n"))
 
 
 @query("blank_targets", W + STAR + ", " + EPH + ", " + EVID + " SELECT tic, lane FROM star WHERE tic NOT IN (SELECT host FROM eph WHERE snr > 30) AND tic NOT IN (SELECT tic FROM evid WHERE kind = 'R')")
