@@ -137,10 +137,12 @@ def supersession(s, d):
 
 @query("vote_toggle", W + EVID + " SELECT tic, kind, source, CASE WHEN evidence_id % 10 = 0 THEN 1 - affects_state ELSE affects_state END AS affects_state FROM evid")
 def vote_toggle(s, d):
-    """Rows named in a change set take its flag, all others keep theirs."""
-    e = evid(s, d).select("evidence_id", "tic", "kind", "source", "affects_state")
-    change = e.filter("evidence_id % 10 = 0").select("evidence_id", (1 - F.col("affects_state")).alias("new"))
-    return e.join(change, "evidence_id", "left").select("tic", "kind", "source", F.coalesce("new", "affects_state").alias("affects_state"))
+    """Rows named in a change set take its flag, all others keep theirs. Sources over 24,999 give rows of two stars one id, so the set names the whole key."""
+    key = ["evidence_id", "tic", "kind", "source"]
+    e = evid(s, d).select(*key, "affects_state")
+    change = e.filter("evidence_id % 10 = 0").select(*(F.col(c).alias(f"_{c}") for c in key), (1 - F.col("affects_state")).alias("new"))
+    named = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key]  # a kind may be null
+    return e.join(change, named, "left").select("tic", "kind", "source", F.coalesce("new", "affects_state").alias("affects_state"))
 
 
 @query("vetting_progress", W + EVID + ", p AS (SELECT tic, count(*) AS total, count(verdict) AS done, (max(evidence_id) - min(evidence_id))::DOUBLE AS elapsed FROM evid GROUP BY tic) SELECT tic, done, total - done AS remaining, round(CASE WHEN elapsed > 0 THEN done / elapsed END, 9) AS rate, round(CASE WHEN elapsed > 0 AND done > 0 THEN (total - done) / (done / elapsed) END, 3) AS eta FROM p")
