@@ -62,10 +62,10 @@ def adjudicate(related: DataFrame, key: str = "tic") -> DataFrame:
     return got.select(key, "rows", status.alias("status"), F.col("_planet").alias("blocked"), "conflict")
 
 
-def rank_counterparts(pairs: DataFrame, key: str = "tic", name: str = "identifier") -> DataFrame:
-    """Counterparts by plausible brightness, then separation; ranks from 1."""
+def rank_counterparts(pairs: DataFrame, key: str = "tic", name: str = "identifier", within: tuple[str, ...] = ()) -> DataFrame:
+    """Counterparts by plausible brightness, then separation; ranks from 1. `within`: columns that the key fixes and that pairs are dealt by."""
     plausible = F.coalesce(F.abs(F.col("magnitude") - F.col("target_magnitude")) <= MAGNITUDES, F.lit(True))
-    w = Window.partitionBy(key).orderBy(F.col("plausible").desc(), "separation_arcsec", name)
+    w = Window.partitionBy(*within, key).orderBy(F.col("plausible").desc(), "separation_arcsec", name)
     return pairs.filter(F.col("separation_arcsec") <= RADIUS_ARCSEC).withColumn("plausible", plausible).withColumn("rank", F.row_number().over(w))
 
 

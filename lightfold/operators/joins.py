@@ -13,6 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sky import separation_deg
+from ..session import shuffled
+
+CELLS = ("_band", "_cell")
 
 
 def band_join(left: DataFrame, right: DataFrame, on: list[str], a: str, b: str, fraction: float, how: str = "inner") -> DataFrame:
@@ -42,12 +45,21 @@ def _sky_cells(band: Column, high: float, radius: float) -> Column:
     return F.when(n >= 3, n).otherwise(1)
 
 
-def sky_join(left: DataFrame, right: DataFrame, radius_deg: float, ra: tuple[str, str], dec: tuple[str, str]) -> DataFrame:
+def sky_join(left: DataFrame, right: DataFrame, radius_deg: float, ra: tuple[str, str], dec: tuple[str, str], cells: bool = False) -> DataFrame:
     """Pairs within radius_deg, with separation_deg.
 
     Cells are bands of declination as high as the radius, cut in right ascension; the right side is
-    listed in the cells around its own, over 0 degrees too, the left side in one.
+    listed in the cells around its own, over 0 degrees too, the left side in one. The left side is
+    dealt by its cells before it becomes pairs, into as many tasks as a shuffle has: small inputs
+    make many pairs. With `cells` the columns of CELLS stay: all pairs of a left row lie in one
+    cell, so groupings by these columns and the row's key move nothing.
     """
+    slack, dot = math.cos(math.radians(min(radius_deg, 180.0))) - 1e-12, F.col("_x") * F.col("_x2") + F.col("_y") * F.col("_y2") + F.col("_z") * F.col("_z2")
+
+    def placed(df: DataFrame, a: str, d: str, end: str) -> DataFrame:
+        a, d = F.radians(a), F.radians(d)
+        return df.withColumn(f"_x{end}", F.cos(d) * F.cos(a)).withColumn(f"_y{end}", F.cos(d) * F.sin(a)).withColumn(f"_z{end}", F.sin(d))
+
     high = max(radius_deg, 1e-6)
     at = lambda a, n: F.least(F.floor(F.pmod(a, F.lit(360.0)) / 360.0 * n), n - 1)
     l = left.withColumn("_band", F.floor(F.col(dec[0]) / high))
@@ -56,7 +68,11 @@ def sky_join(left: DataFrame, right: DataFrame, radius_deg: float, ra: tuple[str
     r = right.withColumn("_band", F.explode(F.array(band - 1, band, band + 1))).withColumn("_n", _sky_cells(F.col("_band"), high, radius_deg))
     own = at(F.col(ra[1]), F.col("_n"))
     r = r.withColumn("_cell", F.explode(F.array_distinct(F.array(*(F.pmod(own + k, F.col("_n")) for k in (-1, 0, 1)))))).drop("_n")
-    return l.join(r, ["_band", "_cell"]).withColumn("separation_deg", separation_deg(ra[0], dec[0], ra[1], dec[1])).filter(F.col("separation_deg") <= radius_deg).drop("_band", "_cell")
+    l = placed(l, ra[0], dec[0], "").repartition(shuffled(left), *CELLS)
+    # the product of unit vectors leaves few pairs to the exact test
+    near = l.join(placed(r, ra[1], dec[1], "2"), list(CELLS)).filter(dot >= slack).drop("_x", "_y", "_z", "_x2", "_y2", "_z2")
+    near = near.withColumn("separation_deg", separation_deg(ra[0], dec[0], ra[1], dec[1])).filter(F.col("separation_deg") <= radius_deg)
+    return near if cells else near.drop(*CELLS)
 
 
 def nearest(left: DataFrame, right: DataFrame, on: list[str], key: str, a: str, b: str, fraction: float, keep: list[str]) -> DataFrame:

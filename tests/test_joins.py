@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lightfold.functions import tails
-from lightfold.operators import joins
+from lightfold.operators import catalogue, joins
 
 
 @pytest.mark.parametrize("radius", [0.05, 1.0, 7.0, 60.0])
@@ -28,6 +28,19 @@ def test_sky_join_equals_all_pairs(spark, radius):
     assert sorted((x["i"], x["j"]) for x in got.collect()) == want and want
 
 
+def test_sky_pairs_of_one_small_part_are_made_in_all_tasks(spark):
+    left = spark.range(200).select(F.col("id").alias("tic"), (F.col("id") * 1.7).alias("ra"), (F.col("id") * 0.8 - 80).alias("dec"), F.lit(0.0).alias("target_magnitude")).coalesce(1)
+    right = left.select(F.col("tic").alias("identifier"), F.col("ra").alias("ra2"), F.col("dec").alias("dec2"), F.lit(1.0).alias("magnitude"))
+    pairs = joins.sky_join(left, right, 2.0, ("ra", "ra2"), ("dec", "dec2"), cells=True)
+    ranked = catalogue.rank_counterparts(pairs.withColumn("separation_arcsec", F.col("separation_deg")), within=joins.CELLS)
+    where = ranked.select("tic", "rank", F.spark_partition_id().alias("p")).collect()
+    assert len({x["p"] for x in where}) == 4
+    by = {}
+    for x in where:
+        by.setdefault(x["tic"], []).append(x["rank"])
+    assert all(sorted(v) == list(range(1, len(v) + 1)) for v in by.values()) and len(by) == 200
+
+
 def test_nearest_within_a_fraction(spark):
     left = spark.createDataFrame([(1, 0, 10.0), (2, 0, 5.0), (3, 1, 10.0)], "k long, slot long, a double")
     right = spark.createDataFrame([(0, 10.4, "x"), (0, 9.7, "y"), (0, 9.6, "z"), (1, 20.0, "w")], "slot long, b double, name string")
