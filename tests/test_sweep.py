@@ -1,6 +1,8 @@
 """Ranks, bands and sharers against all pairs, crowded periods included."""
 
 import numpy as np
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from lightfold.operators import sweep
@@ -51,6 +53,38 @@ def test_sharers_equal_all_pairs_across_tiles(spark):
             assert r["spread"] is None and r["rank"] not in mid
 
 
+@pytest.mark.parametrize("wide", [1, 2, 64])
+def test_medians_whole_and_by_rounds(spark, wide):
+    """Tiles that meet all blocks at once and those that meet them one by one give the same."""
+    rows = fits(300, 120, 2)
+    shared = sweep.sharers(spark.createDataFrame(rows, SCHEMA), ["campaign"], 0.02, tile=32)
+    mid = {r["rank"]: r["median"] for r in sweep.median_separation(shared, tile=32, wide=wide).collect()}
+    want = brute(rows)
+    for r in shared.collect():
+        assert (r["rank"] in mid) == (want[r["tic"]][1] > 0) and (r["rank"] not in mid or abs(mid[r["rank"]] - want[r["tic"]][5]) < 1e-6)
+
+
+def test_only_pairs_in_phase_are_looked_at(monkeypatch):
+    """All fits of one period, spread over its phases: looked at are those near in phase, not all."""
+    n = 2000
+    x = pd.DataFrame({"rank": np.arange(n), "low": 0, "high": n, "period": 5.0, "epoch": np.random.default_rng(1).uniform(0, 30, n), "tolerance": 0.02})
+    seen = []
+    repeat = np.repeat
+    monkeypatch.setattr(sweep.np, "repeat", lambda *a, **k: seen.append(len(out := repeat(*a, **k))) or out)
+    pairs = sum(len(i) for i, _ in sweep._sharing(x, x))
+    off = np.mod(x["epoch"].to_numpy()[None, :] - x["epoch"].to_numpy()[:, None], 5.0)
+    assert pairs == (np.minimum(off, 5.0 - off) <= 0.02).sum() - n
+    assert sum(seen) < n * n / 10
+    for odd in ({"period": 0.01}, {"period": 1e-5}, {"tolerance": 3.0}, {"epoch": np.nan}):
+        y = x.iloc[:50].assign(high=50, **odd)
+        e, p = y["epoch"].to_numpy(), y["period"].to_numpy()[:, None]
+        off = np.mod(e[None, :] - e[:, None], p)
+        near = np.abs(np.where(off > p / 2, off - p, off)) <= y["tolerance"].to_numpy()[:, None]
+        np.fill_diagonal(near, False)
+        got = [(a, b) for i, j in sweep._sharing(y, y) for a, b in zip(i, j)]
+        assert sorted(got) == sorted(zip(*np.nonzero(near)))
+
+
 def test_rows_of_a_crowded_period_stay_linear(spark):
     """Four times the fits of one period make four times the rows, not sixteen."""
     made = []
