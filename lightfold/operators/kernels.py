@@ -36,13 +36,59 @@ def pieces(t: np.ndarray, gap: float) -> list[slice]:
     return [slice(a, b) for a, b in zip(edges, edges[1:])]
 
 
-def biweight_trend(t: np.ndarray, y: np.ndarray, window: float, gap: float) -> np.ndarray:
-    out = np.empty(len(t))
+CELLS = 1 << 20  # values of windows looked at together
+
+
+def _medians(v: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Median of the first n of each row of v, whose other places hold infinity. NaN among the first n gives NaN."""
+    v = np.sort(v, axis=1)  # infinities, then NaN come last
+    row = np.arange(len(v))
+    mid = np.where(n % 2, v[row, n // 2], (v[row, np.maximum(n // 2 - 1, 0)] + v[row, n // 2]) / 2)
+    return np.where(np.isnan(v[:, -1]), np.nan, mid)
+
+
+def biweight_locations(y: np.ndarray, lo: np.ndarray, hi: np.ndarray, rounds: int = 10, c: float = 5.0) -> np.ndarray:
+    """biweight_location of y[lo:hi] for many windows; windows of like length go together, as rows of an array."""
+    n, out = hi - lo, np.empty(len(lo))
+    order = np.argsort(n, kind="stable")
+    a = 0
+    while a < len(order):
+        z = a + max(1, int(np.searchsorted(n[order[a:]] * np.arange(1, len(order) - a + 1), CELLS)))
+        own = order[a:z]
+        a = z
+        k = n[own]
+        at = np.arange(k[-1])[None, :]
+        inside = at < k[:, None]
+        x = np.where(inside, y[np.minimum(lo[own][:, None] + at, len(y) - 1)], np.inf)
+        mid, live = _medians(x, k), np.arange(len(own))
+        for _ in range(rounds):
+            part, m = x[live], mid[live][:, None]
+            away = np.abs(part - m)
+            s = _medians(away, k[live])
+            go = s != 0
+            live, part, m, away, s = live[go], part[go], m[go], away[go], s[go]
+            if not len(live):
+                break
+            u = (part - m) / (c * s[:, None])
+            with np.errstate(invalid="ignore", over="ignore"):
+                w = np.where(np.abs(u) < 1, (1 - u**2) ** 2, 0.0)
+            new = (w * np.where(w > 0, part, 0.0)).sum(1) / w.sum(1)
+            moved = ~(np.abs(new - m[:, 0]) < 1e-10)
+            mid[live] = new
+            live = live[moved]
+        out[own] = mid
+    return out
+
+
+def biweight_trend(t: np.ndarray, y: np.ndarray, window: float, gap: float, last: int | None = None) -> np.ndarray:
+    """Biweight location of the points within half a window of each point and no gap from it; only of the `last` points, if given."""
+    out = []
     for s in pieces(t, gap):
         ts, ys = t[s], y[s]
-        lo, hi = np.searchsorted(ts, ts - window / 2), np.searchsorted(ts, ts + window / 2, side="right")
-        out[s] = [biweight_location(ys[a:b]) for a, b in zip(lo, hi)]
-    return out
+        at = ts[max(0, len(t) - last - s.start) :] if last is not None else ts
+        lo, hi = np.searchsorted(ts, at - window / 2), np.searchsorted(ts, at + window / 2, side="right")
+        out.append(biweight_locations(ys, lo, hi))
+    return np.concatenate(out)
 
 
 def savgol_trend(y: np.ndarray, width: int, order: int = 2, rounds: int = 3, sigma: float = 3.0) -> np.ndarray:
@@ -134,14 +180,16 @@ def edge_bias(lc: DataFrame, window: float, cuts: int, seed: int, key: str = "st
     def one(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("t")
         t, y = pdf["t"].to_numpy(), pdf["y"].to_numpy()
-        whole = biweight_trend(t, y, window, np.inf)
         rng = seeded(seed, k[0])
         rows = []
         for _ in range(cuts):
             n = int(rng.integers(len(t) // 2, len(t)))
-            part = biweight_trend(t[:n], y[:n], window, np.inf)
+            # no other points of either trend are looked at
+            edge = np.arange(max(n - 5, 1), n)
+            part = biweight_trend(t[:n], y[:n], window, np.inf, last=len(edge))
+            whole = biweight_locations(y, np.searchsorted(t, t[edge] - window / 2), np.searchsorted(t, t[edge] + window / 2, side="right"))
             for back in range(1, min(6, n)):
-                rows.append((k[0], back, float(part[n - back] / whole[n - back] - 1) if whole[n - back] else 0.0))
+                rows.append((k[0], back, float(part[-back] / whole[-back] - 1) if whole[-back] else 0.0))
         return pd.DataFrame(rows, columns=[key, "from_edge", "bias"])
 
     kind = lc.schema[key].dataType.simpleString()

@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -95,3 +96,27 @@ def test_signatures():
     rows = [(2, "b"), (1, "a")]
     assert signatures.campaign("t", {"x": 1, "execution": 4}, rows) == signatures.campaign("t", {"x": 1, "storage_retention": 2}, rows[::-1])
     assert signatures.positions([(1.0000000001, 2.0)]) == signatures.positions([(1.0, 2.0)])
+
+
+def test_biweight_of_many_windows_equals_one_by_one():
+    r = np.random.default_rng(1)
+    for n in (1, 2, 5, 70, 900):
+        t, y = np.sort(r.uniform(0, 30, n)), r.normal(100, 5, n)
+        y[::7], y[: n // 3] = 100.0, 50.0  # windows without scatter too
+        for window, gap in ((3.0, 2.0), (0.5, 0.1), (3.0, np.inf)):
+            want = np.concatenate([[kernels.biweight_location(y[s][np.abs(t[s] - x) <= window / 2]) for x in t[s]] for s in kernels.pieces(t, gap)])
+            assert np.allclose(kernels.biweight_trend(t, y, window, gap), want, rtol=1e-12, atol=0)
+            assert np.allclose(kernels.biweight_trend(t, y, window, gap, last=4), want[-4:], rtol=1e-12, atol=0)
+
+
+def test_edge_bias_is_that_of_whole_trends(spark):
+    t = np.linspace(0, 30, 400)
+    y = np.random.default_rng(2).normal(100, 5, 400)
+    got = kernels.edge_bias(spark.createDataFrame(pd.DataFrame({"star": 1, "t": t, "y": y})), 3.0, 2, 7).collect()
+    rng, want = kernels.seeded(7, 1), []
+    whole = kernels.biweight_trend(t, y, 3.0, np.inf)
+    for _ in range(2):
+        n = int(rng.integers(200, 400))
+        part = kernels.biweight_trend(t[:n], y[:n], 3.0, np.inf)
+        want += [part[n - b] / whole[n - b] - 1 for b in range(1, 6)]
+    assert np.allclose([r["bias"] for r in got], want, rtol=1e-9, atol=1e-12) and [r["from_edge"] for r in got] == [1, 2, 3, 4, 5] * 2
