@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import STATUSES
+from ..session import shuffled
 
 KEY = ("tic", "kind", "source")
 
@@ -33,9 +34,14 @@ def state(evidence: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
 
 def append(store: DataFrame, new: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
     """store and the rows of new whose key it lacks, the first of each key; existing rows stay untouched."""
-    first = F.row_number().over(Window.partitionBy(*key).orderBy("evidence_id"))
-    fresh = new.join(store.select(*key), list(key), "left_anti").withColumn("_n", first).filter("_n = 1").drop("_n")
-    return store.unionByName(fresh)
+    # one pass over both: a new row stays if it comes first, behind all of the store; a null equals nothing in the store
+    unknown = F.lit(False)
+    for k in key:
+        unknown = unknown | F.col(k).isNull()
+    both = store.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1))).repartition(shuffled(store), *key)
+    both = both.withColumn("_apart", F.when(unknown, F.col("_new")))
+    first = F.row_number().over(Window.partitionBy(*key, "_apart").orderBy("_new", "evidence_id"))
+    return both.withColumn("_n", first).filter("_new = 0 OR _n = 1").drop("_new", "_apart", "_n")
 
 
 def numbered(rows: DataFrame, order: list[str], name: str = "evidence_id") -> DataFrame:

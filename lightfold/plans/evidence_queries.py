@@ -54,10 +54,16 @@ def status_by_lane(s, d):
 
 @query("summary_payload", W + EVID + " SELECT count(DISTINCT tic) AS stars, count(*) AS rows, count(*) FILTER (verdict IS NULL) AS silent, count(DISTINCT tic) FILTER (kind = 'A') AS stars_a, count(*) FILTER (affects_state = 1) AS voting, round(count(*) FILTER (kind = 'R')::DOUBLE / count(*), 4) AS share_r, max(evidence_id) AS newest, max(score) AS top FROM evid")
 def summary_payload(s, d):
-    return evid(s, d).agg(
-        F.countDistinct("tic").alias("stars"), F.count(F.lit(1)).alias("rows"), F.count_if(F.col("verdict").isNull()).alias("silent"),
-        F.countDistinct(F.when(F.col("kind") == "A", F.col("tic"))).alias("stars_a"), F.count_if(F.col("affects_state") == 1).alias("voting"),
-        r(F.count_if(F.col("kind") == "R") / F.count(F.lit(1)), 4).alias("share_r"), F.max("evidence_id").alias("newest"), F.max("score").alias("top"),
+    # stars are counted as groups, so rows are not spread out for each distinct count
+    n = F.count(F.lit(1))
+    per = evid(s, d).groupBy("tic").agg(
+        n.alias("rows"), F.count_if(F.col("verdict").isNull()).alias("silent"), F.count_if(F.col("kind") == "A").alias("a"), F.count_if(F.col("affects_state") == 1).alias("voting"),
+        F.count_if(F.col("kind") == "R").alias("r"), F.max("evidence_id").alias("newest"), F.max("score").alias("top"),
+    )
+    sums = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return per.agg(
+        F.count("tic").alias("stars"), sums("rows").alias("rows"), sums("silent").alias("silent"), F.count_if((F.col("a") > 0) & F.col("tic").isNotNull()).alias("stars_a"), sums("voting").alias("voting"),
+        r(F.try_divide(F.sum("r"), F.sum("rows")), 4).alias("share_r"), F.max("newest").alias("newest"), F.max("top").alias("top"),
     )
 
 
