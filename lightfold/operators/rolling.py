@@ -9,10 +9,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .groups import mapped
 from .series import differences
 from .sweep import running_count
 
@@ -26,8 +26,8 @@ def numbered(lc: DataFrame, key: str = "star") -> DataFrame:
     return c.join(per, key).select(key, "t", "y", (F.col("_c") - F.col("_first")).alias("i"), "n")
 
 
-def blockwise(rows: DataFrame, halo, work: Callable[[pd.DataFrame, int, int], pd.DataFrame], schema: str, block: int = BLOCK, key: str = "star", extra: tuple[str, ...] = ()) -> DataFrame:
-    """work(rows of a block and its halo in order, first row of its own, one past the last) for every block.
+def blockwise(rows: DataFrame, halo, work: Callable[[dict[str, np.ndarray], int, int], tuple], schema: str, block: int = BLOCK, key: str = "star", extra: tuple[str, ...] = ()) -> DataFrame:
+    """work(rows of a block and its halo in order, first row of its own, one past the last) for every block: a tuple of columns.
 
     rows: star, t, y, i, n and the extra columns; halo is a number or column of rows.
     """
@@ -36,48 +36,53 @@ def blockwise(rows: DataFrame, halo, work: Callable[[pd.DataFrame, int, int], pd
     first = F.greatest(F.lit(0), F.floor((F.col("i") - h) / block))
     dealt = rows.withColumn("_b", F.explode(F.sequence(first, F.least(last, F.floor((F.col("i") + h) / block)))))
 
-    def one(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("i")
-        at = pdf["i"].to_numpy()
-        lo, hi = np.searchsorted(at, [k[1] * block, (k[1] + 1) * block])
-        out = work(pdf, int(lo), int(hi))
-        out.insert(0, key, k[0])
-        return out
+    def one(g: dict[str, np.ndarray]) -> tuple:
+        lo, hi = np.searchsorted(g["i"], [g["_b"][0] * block, (g["_b"][0] + 1) * block])
+        out = work(g, int(lo), int(hi))
+        return (np.zeros(len(out[0]), np.int64), *out)
 
-    kind = rows.schema[key].dataType.simpleString()
-    return dealt.select(key, "_b", "t", "y", "i", "n", *extra).groupBy(key, "_b").applyInPandas(one, f"{key} {kind}, {schema}")
+    return mapped(dealt, [key, "_b"], ["i"], [key], ["_b", "t", "y", "i", "n", *extra], one, schema)
 
 
-def windows(y: np.ndarray, lo: int, hi: int, half: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Median, MAD and deviation of y over up to half rows on either side, for rows lo to hi; cut off at the ends of y."""
-    size = 2 * half + 1
-    wide = np.concatenate((np.full(half, np.nan), y, np.full(half, np.nan)))
-    mid, mad, dev = (np.empty(hi - lo) for _ in range(3))
-    step = max(1, 4_000_000 // size)
-    for s in range(lo, hi, step):
-        e = min(hi, s + step)
-        w = np.lib.stride_tricks.sliding_window_view(wide[s : e + 2 * half], size)
-        m = np.nanmedian(w, axis=1)
-        mid[s - lo : e - lo], mad[s - lo : e - lo], dev[s - lo : e - lo] = m, np.nanmedian(np.abs(w - m[:, None]), axis=1), np.nanstd(w, axis=1)
-    return mid, mad, dev
-
-
-def local_scatter(y: np.ndarray, lo: int, hi: int, half: int) -> np.ndarray:
-    """Robust scatter around rows lo to hi, the deviation where that is 0. A series of under 8 rows has that of all its rows."""
+def medians(w: np.ndarray) -> np.ndarray:
+    """Median of each row, nan left out."""
+    w = np.sort(w, axis=1)  # nan comes last
+    n, rows = np.count_nonzero(~np.isnan(w), axis=1), np.arange(len(w))
+    return (w[rows, (n - 1) // 2] + w[rows, n // 2]) / 2
+
+
+def local_scatter(y: np.ndarray, at: np.ndarray, half: int) -> np.ndarray:
+    """Robust scatter of up to half rows on either side of the rows `at` (rising), the deviation where that is 0.
+
+    Windows are cut off at the ends of y. A series of under 8 rows has that of all its rows.
+    """
     if half < 7:
-        raise ValueError("windows at the ends need 8 rows")
-    _, mad, dev = windows(y, lo, hi, half)  # 8 rows or more in each, or all of a short series
-    out = 1.4826 * mad
-    out = np.where(out > 0, out, dev)
-    return np.where(out > 0, out, np.nan)
+        raise ValueError("windows at the ends need 8 rows")  # 8 rows or more in each, or all of a short series
+    half = min(half, len(y))
+    # rows that see the same part of y have the same scatter
+    ends = np.stack((np.maximum(at - half, 0), np.minimum(at + half, len(y))))
+    new = np.append(True, (ends[:, 1:] != ends[:, :-1]).any(0))[: len(at)]
+    one = at[new]
+    wide = np.concatenate((np.full(half, np.nan), y, np.full(half, np.nan)))
+    out = np.empty(len(one))
+    step = max(1, 4_000_000 // (2 * half + 1))
+    for s in range(0, len(one), step):
+        w = wide[one[s : s + step, None] + np.arange(2 * half + 1)]
+        mad = 1.4826 * medians(np.abs(w - medians(w)[:, None]))
+        flat = ~(mad > 0)
+        if flat.any():
+            none = np.isnan(w[flat]).all(1)
+            w[np.flatnonzero(flat)[none]] = 0.0
+            mad[flat] = np.nanstd(w[flat], axis=1)
+        out[s : s + step] = mad
+    return np.where(out > 0, out, np.nan)[np.cumsum(new) - 1]
 
 
 def rolling_scatter(lc: DataFrame, half: int, block: int = BLOCK, key: str = "star") -> DataFrame:
     """(star, i, t, scatter): robust scatter of the rows within half rows of each."""
 
-    def work(pdf: pd.DataFrame, lo: int, hi: int) -> pd.DataFrame:
-        got = local_scatter(pdf["y"].to_numpy(), lo, hi, half)
-        return pd.DataFrame({"i": pdf["i"].to_numpy()[lo:hi], "t": pdf["t"].to_numpy()[lo:hi], "scatter": got})
+    def work(g: dict[str, np.ndarray], lo: int, hi: int) -> tuple:
+        return g["i"][lo:hi], g["t"][lo:hi], local_scatter(g["y"], np.arange(lo, hi), half)
 
     return blockwise(numbered(lc, key), half, work, "i long, t double, scatter double", block, key)
 
@@ -105,11 +110,11 @@ def event_candidates(lc: DataFrame, durations: list[float], threshold: float = 8
     longest = F.rint(F.lit(max(durations)) / F.col("cadence")).cast("long")
     rows = numbered(lc, key).filter("n >= 50").join(cadence, key)
 
-    def work(pdf: pd.DataFrame, lo: int, hi: int) -> pd.DataFrame:
-        t, y, base, n, step0 = pdf["t"].to_numpy(), pdf["y"].to_numpy(), int(pdf["i"].iloc[0]), int(pdf["n"].iloc[0]), float(pdf["cadence"].iloc[0])
+    def work(g: dict[str, np.ndarray], lo: int, hi: int) -> tuple:
+        t, y, base, n, step0 = g["t"], g["y"], int(g["i"][0]), int(g["n"][0]), float(g["cadence"][0])
         cuts = np.flatnonzero(np.diff(t) > gap)
         edges = np.unique(np.concatenate((cuts, cuts + 1, [-base, n - 1 - base])))
-        found = []
+        found = [np.zeros((10, 0))]
         for d in durations:
             span = int(np.rint(d / step0))
             if span < 3:
@@ -121,19 +126,22 @@ def event_candidates(lc: DataFrame, durations: list[float], threshold: float = 8
             at = np.arange(start, min(hi + base, n - half), step) - base
             if not len(at):
                 continue
-            sigma = local_scatter(y, int(at[0]), int(at[-1]) + 1, REACH * span)[at - at[0]]
+            sigma = local_scatter(y, at, REACH * span)
             near = at[:, None] + np.arange(-half, half + 1)[None, :]
             dip = shape((t[near] - t[at][:, None]) / d)
             weight = (dip**2).sum(1) / sigma**2
             depth = (dip * (1 - y[near])).sum(1) / np.maximum((dip**2).sum(1), 1e-300)
             sure = depth * np.sqrt(weight)
-            for c in np.flatnonzero((weight > 0) & (sure >= threshold) & (depth > 0)):
-                a, z = t[at[c] - half], t[at[c] + half]
-                e = np.searchsorted(edges, [at[c] - span, at[c] + span + 1])
-                before = np.searchsorted(t, a) - np.searchsorted(t, a - d, side="right")
-                after = np.searchsorted(t, z + d) - np.searchsorted(t, z, side="right")
-                found.append((d, at[c] + base, t[at[c]], depth[c], 1 / np.sqrt(weight[c]), sure[c], int((dip[c] > 0.5).sum()), int(before), int(after), bool(e[1] > e[0])))
-        return pd.DataFrame(found, columns=[c.split()[0] for c in EVENTS.split(", ")])
+            c = np.flatnonzero((weight > 0) & (sure >= threshold) & (depth > 0))
+            a, z = t[at[c] - half], t[at[c] + half]
+            edge = np.searchsorted(edges, at[c] + span + 1) > np.searchsorted(edges, at[c] - span)
+            before = np.searchsorted(t, a) - np.searchsorted(t, a - d, side="right")
+            after = np.searchsorted(t, z + d) - np.searchsorted(t, z, side="right")
+            # whole numbers are far below 2^53
+            found.append(np.stack((np.full(len(c), d), at[c] + base, t[at[c]], depth[c], 1 / np.sqrt(weight[c]), sure[c], (dip[c] > 0.5).sum(1), before, after, edge)))
+        out = np.concatenate(found, axis=1)
+        whole = {1: np.int64, 6: np.int64, 7: np.int64, 8: np.int64, 9: bool}
+        return tuple(x.astype(whole.get(j, float)) for j, x in enumerate(out))
 
     # a row's halo: the scatter's window and the event's own half beyond it
     return blockwise(rows, (REACH + 2) * longest + 8, work, EVENTS, block, key, ("cadence",))
@@ -154,17 +162,14 @@ def single_events(candidates: DataFrame, most: int = 20, key: str = "star") -> D
     Equal significances (to some digits) go to the shorter duration, then to the earlier centre.
     """
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.iloc[np.lexsort((pdf["i"], pdf["duration"], -pdf["significance"].round(9)))]
-        t, d, kept = pdf["t"].to_numpy(), pdf["duration"].to_numpy(), []
-        free = np.ones(len(pdf), bool)
+    def one(g: dict[str, np.ndarray]) -> tuple:
+        at = np.lexsort((g["i"], g["duration"], -g["significance"].round(9)))
+        t, d, kept = g["t"][at], g["duration"][at], []
+        free = np.ones(len(at), bool)
         while len(kept) < most and free.any():
             k = int(free.argmax())
             kept.append(k)
             free &= np.abs(t - t[k]) >= np.maximum(d, d[k])
-        out = pdf.iloc[kept].copy()
-        out["rank"] = np.arange(1, len(out) + 1)
-        return out
+        return at[kept], np.arange(1, len(kept) + 1)
 
-    schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in candidates.schema] + ["rank int"])
-    return candidates.groupBy(key).applyInPandas(one, schema)
+    return mapped(candidates, [key], ["i"], candidates.columns, ["i", "t", "duration", "significance"], one, "rank int")
