@@ -23,13 +23,17 @@ CHUNK = 1 << 21
 class _Minima:
     """Minima of ranges (l, r] of an array, r inclusive."""
 
-    SIDE = 64
+    SIDE = 16
+    BEFORE = np.where(np.arange(SIDE) < np.arange(SIDE + 1)[:, None], 255, 0).astype(np.uint8)  # row i hides the first i places
+    FROM = ~BEFORE  # row i hides all but those
 
     def __init__(self, values: np.ndarray):
         n = len(values)
         pad = -n % self.SIDE
         self.v = np.concatenate((values, np.full(pad, 255, np.uint8))) if pad else values
-        level = self.v.reshape(-1, self.SIDE).min(1)
+        level = self.v
+        while len(level) * self.SIDE > len(self.v):
+            level = np.minimum(level[::2], level[1::2])
         self.levels = [level]
         while len(level) > 2:
             step = 1 << (len(self.levels) - 1)
@@ -46,11 +50,12 @@ class _Minima:
         return out
 
     def _some(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        side, cols = self.SIDE, np.arange(self.SIDE)
+        side = self.SIDE
         ba, bb = a // side, (b - 1) // side
-        one = self.v.reshape(-1, side)
-        head = np.where((cols >= (a - ba * side)[:, None]) & (cols < (b - ba * side)[:, None]), one[ba], 255).min(1)
-        tail = np.where((cols < (b - bb * side)[:, None]) & (cols >= (a - bb * side)[:, None]), one[bb], 255).min(1)
+        one, same = self.v.reshape(-1, side), ba == bb
+        end = b - bb * side
+        head = (one[ba] | self.BEFORE[a - ba * side] | self.FROM[np.where(same, end, side)]).min(1)
+        tail = (one[bb] | self.FROM[end] | self.BEFORE[np.where(same, a - ba * side, 0)]).min(1)
         out = np.minimum(head, tail)
         inner = np.flatnonzero(bb - ba > 1)
         if len(inner):
@@ -114,7 +119,7 @@ class Collection:
         seen = np.zeros(256, np.int64)
         low, was_new = np.zeros(256, np.uint8), np.zeros(256, bool)  # since a symbol's last row: least prefix, was it new
         place = np.empty(len(row), np.int64)
-        moved_at, moved_to = [], []
+        moved_at, moved_to, risen = [], [], []
         for a in range(0, self.rows, self.chunk):
             sym = np.fromfile(self._file("bwt", self.turn), np.uint8, self.chunk, offset=a)
             lcp = np.fromfile(self._file("lcp", self.turn), np.uint8, self.chunk, offset=a)
@@ -130,9 +135,10 @@ class Collection:
             q = np.flatnonzero(fresh)
             s = sym[order[q]]
             at = first[s] + seen[s] + (q - start[s])
-            back = np.empty(len(q), np.int64)
-            back[np.searchsorted(here, order[q])] = at
-            place[i:j] = back
+            # within a chunk new places rise with q
+            rising = i + np.searchsorted(here, order[q])
+            place[rising] = at
+            risen.append(rising)
             # rows whose prefix changes: new ones, and those right after a new one among equal symbols
             change = fresh.copy()
             change[1:] |= fresh[:-1]
@@ -152,6 +158,8 @@ class Collection:
                     least[atop] = np.minimum(low[s[atop]], minima(np.full(len(atop), -1), cur[atop])).astype(np.int64) + 1
                 moved_at.append(first[s] + seen[s] + (q - start[s]))
                 moved_to.append(np.minimum(least, self.cap).astype(np.uint8))
+            if a + n >= self.rows:
+                break
             # what the next chunk needs of this one
             there = np.flatnonzero(size)
             absent = np.flatnonzero(size == 0)
@@ -164,12 +172,17 @@ class Collection:
                 tail[more] = suffix_min[last[more] + 1 - (last[more].min() + 1)]
             low[there], was_new[there] = tail, new[last]
             seen += size
-        sort = np.argsort(place)
+        one = self.rows <= self.chunk
+        sort = np.concatenate(risen)
+        if not one:
+            sort = sort[np.argsort(place[sort], kind="stable")]  # a run a chunk
         place, string = place[sort], string[sort]
         change_at = np.concatenate(moved_at) if moved_at else np.zeros(0, np.int64)
         change_to = np.concatenate(moved_to) if moved_to else np.zeros(0, np.uint8)
-        sort = np.argsort(change_at)
-        self._merge(t, string, place, change_at[sort], change_to[sort])
+        if not one:
+            sort = np.argsort(change_at, kind="stable")
+            change_at, change_to = change_at[sort], change_to[sort]
+        self._merge(t, string, place, change_at, change_to)
         return string, place
 
     def _merge(self, t: int, string: np.ndarray, place: np.ndarray, change_at: np.ndarray, change_to: np.ndarray) -> None:

@@ -47,7 +47,7 @@ LONGER = 48  # bytes of the strings that a window's second key is the least hash
 LONGEST = 64  # windows in a segment
 MANY = 4_000  # different segments of a key that are brought together; those of other keys are dealt by both keys
 COLLECTION = 8 << 20  # bytes of different segments in one collection
-SCAN = 4 << 20  # bytes of text that are hashed at once
+SCAN = 1 << 17  # bytes of text that are hashed at once: arrays of numbers for each byte then stay in a core's cache
 LAST = (1 << 63) - 1
 _BYTES = np.random.default_rng(77).integers(0, 2**63, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _ODD = (np.random.default_rng(78).integers(0, 2**63, 8).astype(np.uint64) | np.uint64(1)).tolist()
@@ -55,6 +55,8 @@ _ODD = (np.random.default_rng(78).integers(0, 2**63, 8).astype(np.uint64) | np.u
 
 def window_keys(buf: np.ndarray, short: int = SHORT) -> np.ndarray:
     """For each LENGTH-byte window of buf the least hash of its `short`-byte strings; short is a multiple of 8."""
+    if len(buf) > 2 * SCAN:
+        return np.concatenate([window_keys(buf[a : a + SCAN + LENGTH - 1], short) for a in range(0, len(buf) - LENGTH + 1, SCAN)])
     h, m, done = _BYTES[buf], 1, {}
     while m * 2 <= short:
         h = h[:-m] * np.uint64(_ODD[m.bit_length() - 1]) + h[m:]
@@ -141,22 +143,28 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def piece(m: np.ndarray, k: np.ndarray):
         nonlocal one_m, one_k, many
-        m, k, old = np.concatenate((one_m, m)), np.concatenate((one_k, k)), np.arange(len(one_m) + len(m)) < len(one_m)
-        o = np.lexsort((~old, k, m))
-        m, k, old = m[o], k[o], old[o]
-        same = np.zeros(len(m), bool)
-        same[1:] = (m[1:] == m[:-1]) & (k[1:] == k[:-1])
-        m, k = m[~same], k[~same]
+        m, k = np.concatenate((one_m, m)), np.concatenate((one_k, k))
+        if not len(m):
+            return m, k
+        o = np.argsort(m)
+        m, k = m[o], k[o]
         first = np.ones(len(m), bool)
         first[1:] = m[1:] != m[:-1]
         at = np.flatnonzero(first)
-        size = np.diff(np.append(at, len(m)))
-        known = np.isin(m[at], many, assume_unique=False)
-        hot = (size > 1) | known
-        out = np.repeat(hot, size)
+        least, most = np.minimum.reduceat(k, at), np.maximum.reduceat(k, at)
+        known = np.zeros(len(at), bool)
+        if len(many):
+            known = many[np.minimum(np.searchsorted(many, m[at]), len(many) - 1)] == m[at]
+        hot = (least < most) | known
+        out = np.repeat(hot, np.diff(np.append(at, len(m))))
         many = np.union1d(many, m[at][hot & ~known])
-        one_m, one_k = m[~out], k[~out]
-        return m[out], k[out]
+        one_m, one_k = m[at][~hot], least[~hot]
+        m, k = m[out], k[out]
+        o = np.lexsort((k, m))
+        m, k = m[o], k[o]
+        new = np.ones(len(m), bool)
+        new[1:] = (m[1:] != m[:-1]) | (k[1:] != k[:-1])
+        return m[new], k[new]
 
     ms, ks, n = [], [], 0
     for b in batches:
