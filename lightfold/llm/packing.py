@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import grouped, runs
-from .common import cut, prepare, table
+from .common import cut, discard, prepare, table
 from .tokens import END, VOCABULARY, encoder
 
 LENGTH = 2048
@@ -224,6 +224,28 @@ def _epoch(cap: int, epoch: int):
 _FOUND = "shard long, island int, row long, length long, source int, bin int, offset long, load long, bins long, energy long, least long"
 
 
+def _judge(last: bool):
+    """Of each shard (a group of its islands' packings) the best packing where it ends; else every island's
+    packing for that island and for its neighbour in the ring. A row for each piece of a packing: nothing is joined."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, start in runs(batches, ["shard"]):
+            n = np.diff(np.append(start, t.num_rows))
+            island, bins, energy, least = (t.column(c).to_numpy() for c in ("island", "bins", "energy", "least"))
+            of = np.repeat(np.arange(len(start)), n)
+            first = np.lexsort((island, -energy, bins, of))[start]  # a row of the best island of each shard
+            ends = np.full(len(start), last) | (bins[first] <= np.minimum.reduceat(least, start))
+            done = np.flatnonzero(ends[of] & (island == island[first][of]))
+            going = np.flatnonzero(~ends[of])
+            rows = np.concatenate((done, going, going))
+            to = np.concatenate((island[done], island[going], (island[going] + 1) % ISLANDS))
+            out = t.take(pa.array(rows)).combine_chunks()
+            out = out.set_column(1, "island", pa.array(to, pa.int32())).append_column("ends", pa.array(ends[of[rows]]))
+            yield from out.to_batches()
+
+    return work
+
+
 def pack_level(rows: DataFrame, n: int, level: int, length: int = LENGTH) -> DataFrame:
     """One level: n rows (row, length) packed shard by shard; returns shard, row, length, bin, offset, load."""
     shards = max(1, -(-n // SHARD))
@@ -234,16 +256,13 @@ def pack_level(rows: DataFrame, n: int, level: int, length: int = LENGTH) -> Dat
     for epoch in range(EPOCHS):
         now = grouped(now.select("shard", "island", "row", "length", "source", "bin"), ["shard", "island"])
         now = cut(now.mapInArrow(_epoch(length, epoch), _FOUND), "elites")
-        best = now.groupBy("shard").agg(F.min(F.struct("bins", -F.col("energy"), "island")).alias("best"), F.min("least").alias("least"))
-        ends = F.lit(True) if epoch == EPOCHS - 1 else F.col("best.bins") <= F.col("least")
-        best = cut(best.select("shard", F.col("best.island").alias("island"), ends.alias("ends")), "best")
-        done = now.join(best.filter("ends").select("shard", "island"), ["shard", "island"])
+        judged = grouped(now, ["shard"]).mapInArrow(_judge(epoch == EPOCHS - 1), _FOUND + ", ends boolean")
+        judged = cut(judged, "judged")
+        discard(now)
+        done, now = judged.filter("ends"), judged.filter("not ends")
         out = out.union(done) if out else done
-        open_ = best.filter("not ends")
-        if not open_.take(1):
+        if not now.take(1):
             return out
-        kept = now.join(open_.select("shard"), "shard")
-        now = kept.union(kept.withColumn("island", F.pmod(F.col("island") + 1, F.lit(ISLANDS)).cast("int")))
     return out
 
 
