@@ -6,6 +6,9 @@ suffix's first symbol, so the new row follows from counting (the LF mapping), an
 prefix with the rows above and below follows from the smallest common prefix between equal
 symbols (Bauer, Cox & Rosone 2013; Cox, Garofalo, Rosone & Sciortino 2016).
 
+A symbol is a byte, or two: a string of bytes then is two strings, of the pairs from its first
+and from its second byte on, which takes half the rounds (see paired).
+
 BWT symbols, common prefixes and suffix names lie in files that each round reads and writes
 once, front to back, CHUNK rows at a time; in memory are one chunk and three numbers a string.
 """
@@ -73,7 +76,7 @@ class _Minima:
 class Collection:
     """The sorted suffixes of strings, as files in folder: bwt, lcp (at most cap) and name.
 
-    strings are given as one byte array with first and length of each. A name is
+    strings are given as one array of uint8 or uint16 with first and length of each. A name is
     (string << 8 | suffix length) where lengths stay below 256, as they must.
     """
 
@@ -83,6 +86,7 @@ class Collection:
         self.data, self.first, self.length = data, first.astype(np.int64), length.astype(np.int64)
         self.cap, self.chunk, self.folder = min(cap, 254), chunk, folder
         self.kind = np.uint32 if len(length) < 1 << 24 else np.uint64
+        self.symbols = max(256, int(data.max(initial=0)) + 2)
         self.rows, self.turn = len(length), 0
         self._build()
 
@@ -90,9 +94,9 @@ class Collection:
         return os.path.join(self.folder, f"{what}{turn % 2}")
 
     def _before(self, strings: np.ndarray, t: int) -> np.ndarray:
-        """Symbol before the suffix of length t of each string: byte + 1, or 0 at its start."""
+        """Symbol before the suffix of length t of each string, plus 1, or 0 at its start."""
         at = self.length[strings] - t - 1
-        out = np.zeros(len(strings), np.uint8)
+        out = np.zeros(len(strings), self.data.dtype)
         ok = at >= 0
         out[ok] = self.data[self.first[strings[ok]] + at[ok]] + 1  # UTF-8 has no byte 255
         return out
@@ -104,7 +108,7 @@ class Collection:
         np.zeros(m, np.uint8).tofile(self._file("lcp", 0))
         (every.astype(self.kind) << 8).astype(self.kind).tofile(self._file("name", 0))
         string, row = every, every.copy()
-        self.count = np.bincount(self._before(every, 0), minlength=256)
+        self.count = np.bincount(self._before(every, 0), minlength=self.symbols)
         for t in range(1, int(self.length.max(initial=0)) + 1):
             ok = self.length[string] >= t
             string, row = string[ok], row[ok]
@@ -116,12 +120,12 @@ class Collection:
         count = self.count.copy()
         count[0] = 0
         first = m + np.cumsum(count) - count  # first row of each symbol
-        seen = np.zeros(256, np.int64)
-        low, was_new = np.zeros(256, np.uint8), np.zeros(256, bool)  # since a symbol's last row: least prefix, was it new
+        seen = np.zeros(self.symbols, np.int64)
+        low, was_new = np.zeros(self.symbols, np.uint8), np.zeros(self.symbols, bool)  # since a symbol's last row: least prefix, was it new
         place = np.empty(len(row), np.int64)
         moved_at, moved_to, risen = [], [], []
         for a in range(0, self.rows, self.chunk):
-            sym = np.fromfile(self._file("bwt", self.turn), np.uint8, self.chunk, offset=a)
+            sym = np.fromfile(self._file("bwt", self.turn), self.data.dtype, self.chunk, offset=a * self.data.itemsize)
             lcp = np.fromfile(self._file("lcp", self.turn), np.uint8, self.chunk, offset=a)
             n = len(sym)
             i, j = np.searchsorted(row, [a, a + n])
@@ -129,7 +133,7 @@ class Collection:
             new = np.zeros(n, bool)
             new[here] = True
             order = np.argsort(sym, kind="stable")
-            size = np.bincount(sym, minlength=256)
+            size = np.bincount(sym, minlength=self.symbols)
             start = np.cumsum(size) - size
             fresh = new[order]
             q = np.flatnonzero(fresh)
@@ -197,7 +201,7 @@ class Collection:
             new = np.zeros(n, bool)
             new[place[i:j] - a] = True
             kept, rest = ~new, n - (j - i)
-            for what, values, kind in (("bwt", symbol, np.uint8), ("lcp", None, np.uint8), ("name", name, self.kind)):
+            for what, values, kind in (("bwt", symbol, self.data.dtype), ("lcp", None, np.uint8), ("name", name, self.kind)):
                 block = np.zeros(n, kind)
                 block[kept] = np.fromfile(self._file(what, self.turn), kind, rest, offset=old * np.dtype(kind).itemsize)
                 if values is None:
@@ -210,7 +214,7 @@ class Collection:
         for f in out.values():
             f.close()
         self.turn, self.rows = self.turn + 1, total
-        self.count = self.count + np.bincount(symbol, minlength=256)
+        self.count = self.count + np.bincount(symbol, minlength=self.symbols)
 
     def sorted_suffixes(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Chunks of (string, suffix length, common prefix with the row before), in order."""
@@ -220,6 +224,22 @@ class Collection:
             yield (name >> self.kind(8)).astype(np.int64), (name & self.kind(255)).astype(np.int64), lcp
 
 
+def paired(data: np.ndarray, first: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(data, first, length, string, offset): the pairs of bytes of strings, from offset 0 and from offset 1 on.
+
+    Equal pairs are equal numbers, counted from 0 on.
+    """
+    string = np.repeat(np.arange(len(length)), 2)
+    offset = np.tile([0, 1], len(length))
+    size = (length[string] - offset) // 2
+    begin = np.cumsum(size) - size
+    at = 2 * (np.arange(size.sum()) - np.repeat(begin, size)) + np.repeat(first[string] + offset, size)
+    pairs = (data[at].astype(np.uint16) << np.uint16(8)) | data[at + 1]
+    used = np.zeros(1 << 16, bool)
+    used[pairs] = True
+    return (np.cumsum(used) - 1).astype(np.uint16)[pairs], begin, size, string, offset
+
+
 def least_owner(c: Collection, owner: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(values, firsts): for each string and each of its windows of width symbols, the least owner
     of any string that holds the same window. Windows of string i start at values[firsts[i]]."""

@@ -11,8 +11,8 @@ A byte goes if a LENGTH-byte string over it also starts in a document with a sma
    strings, is in one segment alone are left out, and what is then equal is collapsed again. The strings of all keys that still have
    several form collections. Of a key with more than MANY segments the windows are dealt by both
    keys, so that no task holds all its segments. Each collection's Burrows-Wheeler transform and common prefixes are
-   built column by column in files (see collection); rows with common prefixes of 50 or more are
-   equal windows, and each window learns the least doc_id that holds it. A key left with a single
+   built column by column in files, on pairs of bytes (see collection); rows with common prefixes of 25 pairs
+   or more are equal windows, and each window learns the least doc_id that holds it. A key left with a single
    string needs no construction: that string's owner is known.
 4. Windows whose least doc_id is smaller than their document's are removed from its text.
 
@@ -22,7 +22,8 @@ never cross documents.
 
 Null text counts as empty. A null doc_id counts as larger than all others, and rows of equal
 doc_id do not remove each other's bytes. Texts shorter than LENGTH lose nothing. Very long
-texts and very many repeats only add rows. An empty table gives an empty result. Other columns
+texts and very many repeats only add rows. What passes in large numbers (keys, ranges) is packed: a row
+holds the numbers of one part of DEALT or TEXTS, as bytes, and a task that brings texts together holds one part at a time. An empty table gives an empty result. Other columns
 may have any names: report_repeats ignores them, remove_repeats keeps them.
 """
 
@@ -38,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import grouped, runs
-from .collection import Collection, least_owner
+from .collection import Collection, least_owner, paired
 from .common import cut, discard, drop_tmp, fresh, prepare, table, task_tmp
 
 LENGTH = 50
@@ -47,7 +48,9 @@ LONGER = 48  # bytes of the strings that a window's second key is the least hash
 LONGEST = 64  # windows in a segment
 MANY = 4_000  # different segments of a key that are brought together; those of other keys are dealt by both keys
 COLLECTION = 8 << 20  # bytes of different segments in one collection
-SCAN = 1 << 17  # bytes of text that are hashed at once: arrays of numbers for each byte then stay in a core's cache
+SCAN = 1 << 15  # bytes of text that are hashed at once: arrays of numbers for each byte then stay in a core's cache
+DEALT = 1 << 12  # parts that keys are dealt into; a row holds a part's keys of many texts
+TEXTS = 1 << 10  # parts that texts are dealt into when what was found of them is brought together
 LAST = (1 << 63) - 1
 _BYTES = np.random.default_rng(77).integers(0, 2**63, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _ODD = (np.random.default_rng(78).integers(0, 2**63, 8).astype(np.uint64) | np.uint64(1)).tolist()
@@ -87,20 +90,23 @@ def segments(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
         size = np.array([len(x) for x in some])
         first = np.cumsum(size) - size
         key = window_keys(buf)
-        text = np.repeat(np.arange(len(some)), size)[: len(key)]
-        whole = np.arange(len(key)) + LENGTH <= (first + size)[text]
-        new = whole.copy()
-        new[1:] &= (key[1:] != key[:-1]) | (text[1:] != text[:-1])
+        new = np.ones(len(key), bool)
+        np.not_equal(key[1:], key[:-1], out=new[1:])
+        fits = np.flatnonzero(size >= LENGTH)
+        new[first[fits]] = True
+        end = first + np.maximum(size - LENGTH + 1, 0)  # where a text's windows end
+        for a, z in zip(end.tolist(), (first + size).tolist()):
+            new[a:z] = False
         start = np.flatnonzero(new)
         if not len(start):
             return
-        held = np.concatenate(([0], np.cumsum(whole)))
-        n = held[np.append(start[1:], len(key))] - held[start]
+        text = fits[np.searchsorted(first[fits], start, "right") - 1]
+        n = np.minimum(np.append(start[1:], len(key)), end[text]) - start
         pieces = -(-n // LONGEST)
         if pieces.max() > 1:
             back = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-            start, n = np.repeat(start, pieces) + back * LONGEST, np.minimum(np.repeat(n, pieces) - back * LONGEST, LONGEST)
-        parts.append((text[start] + lo, start - first[text[start]], n, key[start]))
+            text, start, n = np.repeat(text, pieces), np.repeat(start, pieces) + back * LONGEST, np.minimum(np.repeat(n, pieces) - back * LONGEST, LONGEST)
+        parts.append((text + lo, start - first[text], n, key[start]))
 
     lo, some, size = 0, [], 0
     for i, t in enumerate(texts):
@@ -121,16 +127,39 @@ def _raw(column: pa.Array) -> list[bytes]:
     return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
 
 
+def _packed(parts: int, by: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
+    """(part, held): the rows of 64-bit columns whose `by` is in one of so many parts, as the bytes of their numbers."""
+    part = (by & (parts - 1)).astype(np.uint16)
+    o = np.argsort(part, kind="stable")
+    part = part[o]
+    at = np.flatnonzero(np.append(True, part[1:] != part[:-1])[: len(part)])
+    ends = np.append(at, len(part)) * 8 * len(columns)
+    held = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.stack(columns, axis=1)[o].tobytes())])
+    return pa.RecordBatch.from_arrays([pa.array(part[at].astype(np.int32)), held], ["part", "held"])
+
+
+def _unpacked(column: pa.Array | pa.ChunkedArray, columns: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.int64).reshape(-1, columns).T
+
+
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(m, k): the keys of each text, once a text."""
+    """(m, k) of the keys of each text, packed by m. Of equal texts of a batch only the first gives its keys."""
+    ms, ks, size = [], [], 0
     for b in batches:
-        k = b.column(0).to_numpy()
-        text, _, _, key = segments(_raw(b.column(1)))
+        name = dict(zip(reversed(_raw(b.column(1))), range(b.num_rows - 1, -1, -1)))
+        text, _, _, key = segments(list(name))
         if not len(key):
             continue
-        pair = np.stack([key.view(np.int64), k[text]])
-        pair = np.unique(pair[:, np.lexsort(pair)], axis=1) if len(np.unique(k)) < len(k) else pair
-        yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], ["m", "k"])
+        ms.append(key.view(np.int64))
+        ks.append(b.column(0).to_numpy()[list(name.values())][text])
+        size += len(key)
+        if size >= 1 << 18:
+            m, k = np.concatenate(ms), np.concatenate(ks)
+            ms, ks, size = [], [], 0
+            yield _packed(DEALT, m, m, k)
+    if ms:
+        m, k = np.concatenate(ms), np.concatenate(ks)
+        yield _packed(DEALT, m, m, k)
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,6 +209,26 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(m), pa.array(k)], ["m", "k"])
 
 
+def _shared_packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(m, k) of the shared keys, packed by k, from keys packed by m."""
+    rows = (pa.RecordBatch.from_arrays([pa.array(x) for x in np.ascontiguousarray(_unpacked(b.column(1), 2))], ["m", "k"]) for b in batches)
+    for b in _shared(rows):
+        m, k = b.column(0).to_numpy(), b.column(1).to_numpy()
+        yield _packed(TEXTS, k, m, k)
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(k, ms): the shared keys of each text as the bytes of their numbers, from (m, k) packed by k and sorted by part."""
+    for t, _ in runs(batches, ["part"]):
+        m, k = _unpacked(t.column("held"), 2)
+        o = np.argsort(k)
+        m, k = m[o], k[o]
+        at = np.flatnonzero(np.append(True, k[1:] != k[:-1])[: len(k)])
+        ends = np.append(at, len(k)) * 8
+        ms = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(m.tobytes())])
+        yield pa.RecordBatch.from_arrays([pa.array(k[at]), ms], ["k", "ms"])
+
+
 def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The segments of each text that have shared keys, with their bytes."""
     for b in batches:
@@ -188,9 +237,9 @@ def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         text, start, n, key = segments(raw)
         if not len(key):
             continue
-        of = np.repeat(np.arange(len(raw)), keys.value_lengths().fill_null(0).to_numpy())
+        of = np.repeat(np.arange(len(raw)), pa.compute.binary_length(keys).to_numpy() // 8)
         mark = lambda t, m: m ^ (t.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        ok = np.isin(mark(text, key), mark(of, keys.flatten().to_numpy().view(np.uint64)))
+        ok = np.isin(mark(text, key), mark(of, _unpacked(keys, 1)[0].view(np.uint64)))
         text, start, n, key = text[ok], start[ok], n[ok], key[ok]
         for i in range(0, len(key), 50_000):
             t, s, w = text[i : i + 50_000], start[i : i + 50_000], n[i : i + 50_000]
@@ -216,17 +265,17 @@ def second_runs(data: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[
 
 
 def _second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(m, q, h, at, owner, body): the runs of one second key q of each segment, with their bytes."""
+    """(m, q, h, at, owner, last, body): the runs of one second key q of each segment, with their bytes."""
     for b in batches:
         if not b.num_rows:
             continue
-        m, h, owner, body = (b.column(i) for i in range(4))
+        m, h, owner, last, body = (b.column(i) for i in range(5))
         raw = body.to_pylist()
         size = np.array([len(x) for x in raw], np.int64)
         q, string, start, n = second_runs(np.frombuffer(b"".join(raw), np.uint8), np.cumsum(size) - size, size)
         part = [raw[i][a : a + w] for i, a, w in zip(string.tolist(), start.tolist(), (n + LENGTH - 1).tolist())]
         of = pa.array(string)
-        yield pa.RecordBatch.from_arrays([m.take(of), pa.array(q.view(np.int64)), h.take(of), pa.array(start), owner.take(of), pa.array(part, pa.binary())], ["m", "q", "h", "at", "owner", "body"])
+        yield pa.RecordBatch.from_arrays([m.take(of), pa.array(q.view(np.int64)), h.take(of), pa.array(start), owner.take(of), last.take(of), pa.array(part, pa.binary())], ["m", "q", "h", "at", "owner", "last", "body"])
 
 
 def trimmed(data: np.ndarray, first: np.ndarray, size: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -255,11 +304,21 @@ def trimmed(data: np.ndarray, first: np.ndarray, size: np.ndarray, group: np.nda
 
 
 def _owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each different segment the least owner of each of its windows."""
+    """For each different segment the least owner of each of its windows: windows, owner, windows, owner, and so on.
 
-    def emit(m, h, flat, firsts, n):
-        lists = pa.LargeListArray.from_arrays(pa.array(np.append(firsts, firsts[-1] + n[-1])), pa.array(flat)).cast(pa.list_(pa.int64()))
-        return pa.RecordBatch.from_arrays([pa.array(m), pa.array(h), lists], ["m", "h", "owners"])
+    Segments none of whose windows has an owner below the last text that holds the segment take nothing from any text and are left out.
+    """
+
+    def emit(t: pa.Table, n: np.ndarray, owner: np.ndarray, row: np.ndarray):
+        """n windows with an owner a run, whose segment is a row of t; every row has a run."""
+        used = np.zeros(t.num_rows, bool)
+        used[row[owner < t.column("last").to_numpy()[row]]] = True
+        keep = used[row]
+        flat = np.stack([n[keep], owner[keep]], axis=1).ravel()
+        t = t.select(["m", "h"]).filter(pa.array(used))
+        size = np.bincount(row, minlength=len(used))[used] * 2
+        lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)), pa.int32()), pa.array(flat))
+        return pa.RecordBatch.from_arrays([t.column("m").combine_chunks(), t.column("h").combine_chunks(), lists], ["m", "h", "owners"])
 
     def build(tables: list[pa.Table]):
         t = pa.concat_tables(tables)
@@ -289,14 +348,20 @@ def _owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 long = np.array([len(x) for x in part], np.int64)
                 folder = task_tmp()
                 try:
-                    c = Collection(np.frombuffer(b"".join(part), np.uint8), np.cumsum(long) - long, long, LENGTH, folder)
-                    got, _ = least_owner(c, least[rest_], LENGTH)
+                    pairs, at, size, of, offset = paired(np.frombuffer(b"".join(part), np.uint8), np.cumsum(long) - long, long)
+                    c = Collection(pairs, at, size, LENGTH // 2, folder)
+                    got, at = least_owner(c, least[rest_][of], LENGTH // 2)
                 finally:
                     drop_tmp(folder)
-                values[np.repeat(begin[rest_], width[rest_]) + np.arange(len(got)) - np.repeat(np.cumsum(width[rest_]) - width[rest_], width[rest_])] = got
+                n_at = np.maximum(size - LENGTH // 2 + 1, 0)
+                values[np.repeat(begin[rest_][of] + offset, n_at) + 2 * (np.arange(len(got)) - np.repeat(at, n_at))] = got
             run = np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w)
             flat[np.repeat(firsts[string] + start, w) + run] = values[np.repeat(begin[kind], w) + run]
-        return emit(m, t.column("h").to_numpy(), flat, firsts, n)
+        new = np.ones(len(flat), bool)
+        new[1:] = flat[1:] != flat[:-1]
+        new[firsts] = True
+        at = np.flatnonzero(new)
+        return emit(t, np.diff(np.append(at, len(flat))), flat[at], np.cumsum(np.bincount(firsts, minlength=len(flat)))[at] - 1)
 
     held, size = [], 0
     for t, start in runs(batches, ["m"]):
@@ -305,7 +370,7 @@ def _owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(alone):
             a = t.take(pa.array(alone))
             w = pa.compute.binary_length(a.column("body")).to_numpy().astype(np.int64) - LENGTH + 1
-            yield emit(a.column("m").to_numpy(), a.column("h").to_numpy(), np.repeat(a.column("owner").to_numpy(), w), np.cumsum(w) - w, w)
+            yield emit(a, w, a.column("owner").to_numpy(), np.arange(len(w)))
         if len(alone) < len(start):
             several = t.filter(pa.array(np.repeat(n > 1, n)))
             held.append(several)
@@ -318,24 +383,51 @@ def _owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _runs_removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Byte ranges to remove, from segments with their windows' owners."""
+    """(k, first, a, z) of byte ranges to remove, packed by k, from segments with their windows' owners."""
+    held, size = [], 0
     for b in batches:
         if not b.num_rows:
             continue
         k, first, start, owners = (b.column(i) for i in range(4))
-        n = owners.value_lengths().to_numpy()
-        row = np.repeat(np.arange(len(n)), n)
-        pos = start.to_numpy()[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-        hit = owners.flatten().to_numpy() < first.to_numpy()[row]
-        row, pos = row[hit], pos[hit]
+        flat, each = owners.flatten().to_numpy(), owners.value_lengths().to_numpy() // 2
+        row, n = np.repeat(np.arange(len(each)), each), flat[::2]
+        before = np.cumsum(n) - n
+        pos = start.to_numpy()[row] + before - before[np.cumsum(each) - each][row]
+        hit = flat[1::2] < first.to_numpy()[row]
+        row, pos, n = row[hit], pos[hit], n[hit]
         if not len(row):
             continue
         new = np.ones(len(row), bool)
-        new[1:] = (row[1:] != row[:-1]) | (pos[1:] != pos[:-1] + 1)
+        new[1:] = (row[1:] != row[:-1]) | (pos[1:] != pos[:-1] + n[:-1])
         a = np.flatnonzero(new)
         z = np.append(a[1:], len(row)) - 1
-        of = pa.array(row[a])
-        yield pa.RecordBatch.from_arrays([k.take(of), first.take(of), pa.array(pos[a]), pa.array(pos[z] + LENGTH)], ["k", "first", "a", "z"])
+        held.append((k.to_numpy()[row[a]], first.to_numpy()[row[a]], pos[a], pos[z] + n[z] + LENGTH - 1))
+        size += len(a)
+        if size >= 1 << 18:
+            found = [np.concatenate(x) for x in zip(*held)]
+            held, size = [], 0
+            yield _packed(TEXTS, found[0], *found)
+    if held:
+        found = [np.concatenate(x) for x in zip(*held)]
+        yield _packed(TEXTS, found[0], *found)
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(k, first, spans) with one row a text and overlapping ranges joined, from ranges packed by k and sorted by part."""
+    for t, _ in runs(batches, ["part"]):
+        found = _unpacked(t.column("held"), 4)
+        k, first, a, z = found[:, np.lexsort((found[2], found[1], found[0]))]
+        new = np.append(True, (k[1:] != k[:-1]) | (first[1:] != first[:-1]))[: len(k)]
+        start, text = np.flatnonzero(new), np.cumsum(new) - 1
+        # ends so far, each text's above those of the texts before it
+        step = int(z.max(initial=0)) + 1
+        far = np.maximum.accumulate(z + text * step)
+        new[1:] |= (a + text * step)[1:] > far[:-1]
+        at = np.flatnonzero(new)
+        ends = (far - text * step)[np.append(at[1:], len(a)) - 1]
+        spans = pa.StructArray.from_arrays([pa.array(a[at]), pa.array(ends)], ["a", "z"])
+        lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(text[at], np.arange(len(start) + 1)), pa.int32()), spans)
+        yield pa.RecordBatch.from_arrays([pa.array(k[start]), pa.array(first[start]), lists], ["k", "first", "spans"])
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -349,19 +441,20 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def dealt(segments_: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Owners (m, h, owners, at) of the windows of segments (m, h, owner, body) whose keys have very many, and a table to discard.
+    """Owners (m, h, owners, at) of the windows of segments (m, h, owner, last, body) whose keys have very many, and a table to discard.
 
     Their windows are dealt by both keys, so what meets in a task holds one LONGER-byte string and
     LENGTH - LONGER further bytes a window. Second keys of a single segment are done with before
     bytes are moved, equal strings are collapsed before a collection is built.
     """
-    whole = segments_.select("m", "h", F.expr(f"array_repeat(owner, octet_length(body) - {LENGTH - 1})").alias("owners"), F.lit(0).cast("long").alias("at"))
-    pieces = segments_.select("m", "h", "owner", "body").mapInArrow(_second, "m long, q long, h long, at long, owner long, body binary")
+    windows = (F.octet_length("body") - (LENGTH - 1)).cast("long")
+    whole = segments_.filter("owner < last").select("m", "h", F.array(windows, "owner").alias("owners"), F.lit(0).cast("long").alias("at"))
+    pieces = segments_.select("m", "h", "owner", "last", "body").mapInArrow(_second, "m long, q long, h long, at long, owner long, last long, body binary")
     several = pieces.groupBy("m", "q").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).filter("lo < hi").select("m", "q")
     # a hash of both keys may join groups, whose strings still are compared byte by byte
     g, name = F.xxhash64("m", "q").alias("g"), F.xxhash64("body").alias("s")
-    shared = cut(pieces.join(several, ["m", "q"], "left_semi").select(g, name, "m", "h", "at", "owner", "body"), "dealt")
-    strings = shared.groupBy("g", "body").agg(F.min("owner").alias("owner")).select(F.col("g").alias("m"), "body", F.xxhash64("body").alias("h"), "owner")
+    shared = cut(pieces.join(several, ["m", "q"], "left_semi").select(g, name, "m", "h", "at", "owner", "last", "body"), "dealt")
+    strings = shared.groupBy("g", "body").agg(F.min("owner").alias("owner"), F.max("last").alias("last")).select(F.col("g").alias("m"), "body", F.xxhash64("body").alias("h"), "owner", "last")
     owners = grouped(strings, ["m"]).mapInArrow(_owners, "m long, h long, owners array<long>").withColumnsRenamed({"m": "g", "h": "s"})
     return whole.union(shared.select("g", "s", "m", "h", "at").join(owners, ["g", "s"]).select("m", "h", "owners", "at")), shared
 
@@ -385,27 +478,27 @@ def with_removals(docs: DataFrame) -> tuple[DataFrame, str]:
     order = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("ord")
     long_enough = F.octet_length(raw) >= LENGTH
     given = docs.select(k.alias("k"), k2.alias("k2"), order, raw.alias("t"), long_enough.alias("fits")).filter("fits").drop("fits")
-    pairs = given.select("k", "t").mapInArrow(_keys, "m long, k long")
-    shared = pairs.repartition("m").mapInArrow(_shared, "m long, k long")
+    pairs = given.select("k", "t").mapInArrow(_keys, "part int, held binary")
+    shared = pairs.repartition("part").mapInArrow(_shared_packed, "part int, held binary")
     least = given.groupBy("k", "k2").agg(F.min("ord").alias("first"))
-    wanted = cut(shared.groupBy("k").agg(F.collect_set("m").alias("ms")).join(least, "k"), "wanted")
+    wanted = cut(grouped(shared, ["part"]).mapInArrow(_gathered, "k long, ms binary").join(least, "k"), "wanted")
     texts = given.join(wanted, ["k", "k2"]).filter("ord = first").select("k", "first", "t", "ms")
     parts = cut(texts.mapInArrow(_contents, "m long, body binary, k long, first long, start long"), "segments")
     discard(wanted)
     h = F.xxhash64("body").alias("h")
-    different = cut(parts.groupBy("m", "body").agg(F.min("first").alias("owner")).select("m", "body", h, "owner"), "different")
+    different = cut(parts.groupBy("m", "body").agg(F.min("first").alias("owner"), F.max("first").alias("last")).select("m", "body", h, "owner", "last"), "different")
     hot = cut(different.groupBy("m").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > MANY).select("m"), "hot")
     done, few = [hot], different
     any_hot = bool(hot.take(1))
     if any_hot:
-        few = different.join(hot, "m", "left_anti").select("m", "body", "h", "owner")
+        few = different.join(hot, "m", "left_anti").select("m", "body", "h", "owner", "last")
     owners = grouped(few, ["m"]).mapInArrow(_owners, "m long, h long, owners array<long>").withColumn("at", F.lit(0).cast("long"))
     if any_hot:
         more, shared_runs = dealt(different.join(hot, "m", "left_semi"))
         owners = owners.union(more)
         done.append(shared_runs)
-    found = parts.select("k", "first", "start", "m", h).join(owners, ["m", "h"]).select("k", "first", (F.col("start") + F.col("at")).alias("start"), "owners").mapInArrow(_runs_removed, "k long, first long, a long, z long")
-    spans = cut(found.groupBy("k", "first").agg(F.collect_list(F.struct("a", "z")).alias("spans")), "spans")
+    found = parts.select("k", "first", "start", "m", h).join(owners, ["m", "h"]).select("k", "first", (F.col("start") + F.col("at")).alias("start"), "owners").mapInArrow(_runs_removed, "part int, held binary")
+    spans = cut(grouped(found, ["part"]).mapInArrow(_joined, "k long, first long, spans array<struct<a: long, z: long>>"), "spans")
     discard(parts)
     discard(different)
     for t in done:
