@@ -70,3 +70,10 @@ def test_stars_with_too_few_cadences_have_no_row(spark):
     eph = spark.createDataFrame([("few", 2.0, 0.5, 0.4), ("dark", 2.0, 0.5, 0.4)], EPH)
     got = pc.bootstrap_centroids(spark.createDataFrame(rows, PX), eph, 8, 5).collect()
     assert [(r["star"], r["samples"], r["row"], r["verdict"]) for r in got] == [("dark", 0, None, "not_evaluable")]
+
+
+def test_query_draws_all_resamples(spark):
+    from lightfold.plans import catalog
+
+    got = catalog.QUERIES["bootstrap_centroid"](spark, "/root/testdata/sf0.001").agg({"samples": "max"}).first()[0]
+    assert got > 200 and "range(256)" in catalog.ORACLES["bootstrap_centroid"] and "range(24)" not in catalog.ORACLES["bootstrap_centroid"]
